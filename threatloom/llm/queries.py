@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from threatloom.llm import quality
+from threatloom.llm import packing, quality
 
 
 def queries() -> dict:
     return {
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op8_quality_rules": quality.op8_quality_rules,
     }
 
