@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from threatloom.llm import packing, quality
+from threatloom.llm import lines, packing, quality
 
 
 def queries() -> dict:
     return {
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op6_line_dedup": lines.op6_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op6_line_dedup": lines.OP6_SQL,
+    }
