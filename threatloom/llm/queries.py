@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from threatloom.llm import lines, packing, quality
+from threatloom.llm import jaccard, lines, packing, quality
 
 
 def queries() -> dict:
     return {
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
         "op6_line_dedup": lines.op6_line_dedup,
         "op8_quality_rules": quality.op8_quality_rules,
     }
@@ -15,5 +16,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op5_ngram_jaccard_join": jaccard.OP5_SQL,
         "op6_line_dedup": lines.OP6_SQL,
     }
