@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threatloom.llm import jaccard, lines, packing, quality
+from threatloom.llm import jaccard, lines, lmscore, packing, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
         "op6_line_dedup": lines.op6_line_dedup,
+        "op7_lm_scoring": lmscore.op7_lm_scoring,
         "op8_quality_rules": quality.op8_quality_rules,
     }
 
@@ -18,4 +19,5 @@ def oracle_sql() -> dict:
     return {
         "op5_ngram_jaccard_join": jaccard.OP5_SQL,
         "op6_line_dedup": lines.OP6_SQL,
+        "op7_lm_scoring": lmscore.OP7_SQL,
     }
