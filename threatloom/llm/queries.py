@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
-from threatloom.llm import jaccard, lines, lmscore, packing, quality
+from threatloom.llm import jaccard, lines, lmscore, mixing, packing, quality, urlfilter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_revisits": warc.op1_warc_revisits,
+        "op2_url_filters": urlfilter.op2_url_filters,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_lm_scoring": lmscore.op7_lm_scoring,
         "op8_quality_rules": quality.op8_quality_rules,
+        "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op1_warc_revisits": warc.OP1_SQL,
+        "op2_url_filters": urlfilter.OP2_SQL,
         "op5_ngram_jaccard_join": jaccard.OP5_SQL,
         "op6_line_dedup": lines.OP6_SQL,
         "op7_lm_scoring": lmscore.OP7_SQL,
+        "op9_mixing": mixing.OP9_SQL,
     }
