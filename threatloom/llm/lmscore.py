@@ -27,7 +27,7 @@ from threatloom.runtime import ship, stage, unstage
 
 ALPHA = 0.05
 HOT_SHARE = 1000
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 6_000_000
 BATCH_TOKENS = 1_500_000
 CACHE_WORDS = 500_000
 _LOW = np.uint64(0xFFFFFFFF)
@@ -168,7 +168,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
     order = np.argsort(keys)
     hot = {"key": keys[order], "t": np.array([r["t"] for r in rows], float)[order], "b": np.array([r["b"] for r in rows], float)[order]}
     m = {"alpha": alpha, "vocab": max(1, vocab), "scale": n_t / n_b if n_t else 1.0}
-    n_hot, shards = len(rows), max(12, -(-n_b // SHARD_TOKENS))
+    n_hot, shards = len(rows), max(24, -(-n_b // SHARD_TOKENS))
 
     def hot_pairs(batches):
         for held in _grouped(batches, WordHash()):
@@ -239,14 +239,20 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
         parts: dict[tuple[int, int], list] = {}
 
         def flush():
+            who, sums = [], []
             for (_, kind), held in parts.items():
                 uids = np.concatenate([x[0] for x in held])
                 base = np.cumsum([0, *(x[0].size for x in held[:-1])])
                 doc = np.concatenate([x[3].astype(np.int64) + k for x, k in zip(held, base, strict=True)])
                 flag = np.concatenate([x[1] for x in held])[doc]
-                d, pt, pb = price_shard(np.concatenate([x[2] for x in held]), doc, flag, None if kind == 1 else hot, m)
-                yield result(uids[d], None, np.zeros(d.size, np.int64), pt, pb)
+                d, *both = price_shard(np.concatenate([x[2] for x in held]), doc, flag, None if kind == 1 else hot, m)
+                who.append(uids[d])
+                sums.append(both)
             parts.clear()
+            if who:
+                uid, back = np.unique(np.concatenate(who), return_inverse=True)
+                pt, pb = (np.bincount(back, weights=np.concatenate([x[k] for x in sums]), minlength=uid.size) for k in (0, 1))
+                yield result(uid, None, np.zeros(uid.size, np.int64), pt, pb)
 
         def result(uid, doc_id, n, pt, pb):
             return pa.RecordBatch.from_arrays(
