@@ -214,6 +214,23 @@ def label_quality(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, SCHEMA)
 
 
+def keep_good(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows of docs that label_quality keeps, with all their columns."""
+    import pyarrow as pa
+
+    ship(docs.sparkSession)
+
+    def judge(batches):
+        for batch in batches:
+            keep = []
+            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
+                good, total, _ = (0, 1, 0) if base_row(text)[5] else content_words(text, model)
+                keep.append(good >= share * total)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return label_quality(docs, fit(docs, labels))

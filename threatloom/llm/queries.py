@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threatloom.llm import jaccard, lines, lmscore, mixing, packing, quality, urlfilter, warc
+from threatloom.llm import jaccard, lines, lmscore, mixing, packing, quality, suffix, urlfilter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc_revisits": warc.op1_warc_revisits,
         "op2_url_filters": urlfilter.op2_url_filters,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
         "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
         "op6_line_dedup": lines.op6_line_dedup,
         "op7_lm_scoring": lmscore.op7_lm_scoring,
