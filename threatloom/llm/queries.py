@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from threatloom.llm import jaccard, lines, lmscore, mixing, packing, quality, suffix, urlfilter, warc
+from threatloom.llm import jaccard, lines, lmscore, media, mixing, packing, quality, suffix, urlfilter, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_lm_scoring": lmscore.op7_lm_scoring,
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
+        "op10_media_columns": media.op10_media_columns,
     }
 
 
