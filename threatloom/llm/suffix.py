@@ -4,11 +4,13 @@ Which windows of 200 bytes can repeat is narrowed before any suffix is sorted. E
 40-byte gram in it with the smallest hash (equal windows have equal anchors at equal places); an anchor leads a run of
 windows. A window spans at least 80 bytes before or behind its anchor's gram, so an anchor whose 120-byte strings to both
 sides occur once in the corpus leads no repeat. What is left, the anchor's context (its windows' bytes), is dealt by the
-gram, equal contexts are pre-aggregated to one, and a task builds the suffix array of its contexts' bytes by grouping:
-suffixes are grouped by their Lyndon prefix in descending order of groups, each group lengthening the prefixes that
-previous-smaller pointers name, and the groups' inner order is then emitted in one pass over the array, without recursive
-renaming. Neighbours in the array that share 200 bytes start equal windows. Contexts of a gram with more than ``GROUP``
-different contexts are compared by window over all tasks instead of in one.
+gram, equal contexts are pre-aggregated to one, and a task builds the suffix array of its contexts by grouping: suffixes
+are grouped by their Lyndon prefix in descending order of groups, each group lengthening the prefixes that previous-smaller
+pointers name, and the groups' inner order is then emitted in one pass over the array, without recursive renaming. The
+array's symbols are the contexts' 40-byte blocks, aligned to the anchor (an array over single bytes gives the same result
+at about ten times the CPU): every window holds three whole blocks, so only contexts with neighbours that share three
+symbols can repeat, and their windows are compared exactly. Contexts of a gram with more than ``GROUP`` different contexts
+are compared by window over all tasks instead of in one.
 
 Edge cases: null text is empty; texts under 200 bytes are never touched; equal texts (repeated rows too) remove each other
 wholly; a null doc_id is kept as null; an empty table gives an empty result; extra columns are ignored. Texts are UTF-8
@@ -30,8 +32,10 @@ from threatloom.runtime import ship, stage, unstage
 WINDOW = 200
 GRAM = 40
 SIDE = 80
+#: Whole anchor-aligned GRAM-byte blocks that every window holds.
+WHOLE = 3
 GROUP = 3000
-BLOCK_SYMBOLS = 120_000
+BLOCK_BYTES = 3_000_000
 BROADCAST_BYTES = 64_000_000
 CHUNK = 1 << 21
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
@@ -238,32 +242,42 @@ def window_hashes(b: np.ndarray) -> np.ndarray:
     return x * _A[5]
 
 
-def repeated_starts(contexts: list[bytes]) -> list[np.ndarray]:
-    """For each context, which of its windows also start in another place of these contexts: a suffix array over their
-    bytes, neighbours that share WINDOW bytes or more."""
-    text = b"".join(contexts)
-    b = np.frombuffer(text, np.uint8)
+def repeated_starts(contexts: list[bytes], places: list[int]) -> list[np.ndarray]:
+    """For each context, which of its windows also start in another place of these contexts. places: the anchors in them.
+
+    A suffix array over the contexts' blocks names the contexts that share WHOLE blocks or more with another suffix; only
+    their windows are then compared.
+    """
     sizes = np.array([len(x) for x in contexts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    # each context ends in a symbol of its own kind below all bytes
-    seq = (b.astype(np.int64) + 1).tolist()
-    joined: list[int] = []
-    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        joined += seq[s : s + n]
-        joined.append(0)
-    sa = np.array(suffix_array(joined), np.int64)
-    # places in `text`, suffixes that hold a whole window only; equal windows are neighbours then
-    who = np.repeat(np.arange(sizes.size), sizes + 1)
-    place = sa - who[sa]
-    own = who[sa]
-    whole = place + WINDOW <= starts[own] + sizes[own]
-    place = place[whole]
-    w = window_hashes(b)[place]
-    same = w[1:] == w[:-1]
+    b = np.frombuffer(b"".join(contexts), np.uint8)
+    h = gram_hashes(b)
+    # whole blocks on both sides of the anchor; a zero, below all symbols, ends each context
+    first = np.array(places) % GRAM
+    many = (sizes - first) // GRAM
+    owner = np.repeat(np.arange(sizes.size), many + 1)
+    step = np.arange(owner.size) - np.repeat(np.cumsum(many + 1) - many - 1, many + 1)
+    inside = step < many[owner]
+    at = np.where(inside, starts[owner] + first[owner] + step * GRAM, 0)
+    seq = np.zeros(owner.size, np.int64)
+    seq[inside] = np.unique(h[at[inside]], return_inverse=True)[1] + 1
+    sa = np.array(suffix_array(seq.tolist()), np.int64)
+    pad = np.concatenate([seq, np.zeros(WHOLE, np.int64)])
+    close = np.ones(max(0, sa.size - 1), bool)
+    for d in range(WHOLE):
+        x, y = pad[sa[1:] + d], pad[sa[:-1] + d]
+        close &= (x == y) & (x > 0)
+    named = np.zeros(sizes.size, bool)
+    named[owner[sa[1:][close]]] = True
+    named[owner[sa[:-1][close]]] = True
     hit = np.zeros(b.size, bool)
-    hit[place[1:][same]] = True
-    hit[place[:-1][same]] = True
-    return [hit[s : s + n - WINDOW + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    # places of the windows of the named contexts
+    n = np.where(named, sizes - WINDOW + 1, 0)
+    w_at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+    if w_at.size:
+        _, back, count = np.unique(window_hashes(b)[w_at], return_inverse=True, return_counts=True)
+        hit[w_at[count[back] > 1]] = True
+    return [hit[s : s + k - WINDOW + 1] for s, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
 def _runs(hit: np.ndarray) -> list[int]:
@@ -274,32 +288,32 @@ def _runs(hit: np.ndarray) -> list[int]:
 
 
 def _evaluate(cold: DataFrame) -> DataFrame:
-    """(k, runs) of contexts with repeated windows; rows (g, k, ctx) come dealt and sorted by g."""
+    """(k, runs) of contexts with repeated windows; rows (g, k, o, ctx) come dealt and sorted by g."""
     import pyarrow as pa
 
     def work(batches):
         held: list[tuple[int, int, bytes]] = []
         size, last = 0, None
         for batch in batches:
-            for g, k, ctx in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                if g != last and size > BLOCK_SYMBOLS:
+            for g, k, o, ctx in zip(*(batch.column(j).to_pylist() for j in range(4)), strict=True):
+                if g != last and size > BLOCK_BYTES:
                     yield out(held)
                     held, size = [], 0
                 last = g
-                held.append((g, k, ctx))
+                held.append((k, o, ctx))
                 size += len(ctx)
         if held:
             yield out(held)
 
     def out(held):
         ks, runs = [], []
-        for (_, k, _), hit in zip(held, repeated_starts([x[2] for x in held]), strict=True):
+        for (k, _, _), hit in zip(held, repeated_starts([x[2] for x in held], [x[1] for x in held]), strict=True):
             if hit.any():
                 ks.append(k)
                 runs.append(_runs(hit))
         return pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], names=["k", "runs"])
 
-    return cold.select("g", "k", "ctx").mapInArrow(work, "k long, runs array<int>")
+    return cold.select("g", "k", "o", "ctx").mapInArrow(work, "k long, runs array<int>")
 
 
 def _all_windows(hot: DataFrame) -> DataFrame:
@@ -321,6 +335,26 @@ def _maybe_broadcast(df: DataFrame, size: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_BYTES else df
 
 
+def _merged(spans: DataFrame) -> DataFrame:
+    """(c, runs): a text's runs of window starts in order, joined where their bytes touch."""
+    import pyarrow as pa
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for runs in batch.column(1).to_pylist():
+                spans: list[int] = []
+                for a, e in sorted(zip(runs[::2], runs[1::2], strict=True)):
+                    if spans and a <= spans[-1] + WINDOW:
+                        spans[-1] = max(spans[-1], e)
+                    else:
+                        spans += [a, e]
+                out.append(spans)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["c", "runs"])
+
+    return spans.mapInArrow(work, "c long, runs array<long>")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes (`kept`)."""
     import pyarrow as pa
@@ -353,8 +387,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     hot = windows.join(often, "w").groupBy("k").agg(F.sort_array(F.collect_set("i")).alias("i")).select("k", F.expr("flatten(transform(i, x -> array(x, x)))").alias("runs"))
     whole = distinct.where("many").select("k", F.expr("array(0, cast(octet_length(ctx) as int) - 200)").alias("runs"))
     runs = stage(_evaluate(cold).unionByName(hot).unionByName(whole), "runs")
-    spans = cut.select("c", "l", "k").join(runs, "k").select("c", F.expr("transform(runs, x -> cast(x + l as bigint))").alias("runs")).distinct()
-    spans = spans.groupBy("c").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    spans = cut.select("c", "l", "k").join(runs, "k").select("c", F.expr("transform(runs, x -> cast(x + l as bigint))").alias("runs"))
+    spans = _merged(spans.groupBy("c").agg(F.flatten(F.collect_list("runs")).alias("runs")))
     full = classes.where("n > 1").select("c", F.lit(True).alias("whole"))
     marks = stage(spans.join(full, "c", "full"), "spans")
     unstage(windows, runs, cut, distinct)
