@@ -35,7 +35,7 @@ SIDE = 80
 #: Whole anchor-aligned GRAM-byte blocks that every window holds.
 WHOLE = 3
 GROUP = 3000
-BLOCK_BYTES = 3_000_000
+BLOCK_BYTES = 1_000_000
 BROADCAST_BYTES = 64_000_000
 CHUNK = 1 << 21
 _A = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
