@@ -20,7 +20,7 @@ MAX_BASE64_CHARS, MAX_DATA_CHARS, MAX_PART = 13_656, 13_658, 1_048_576
 
 def header_urls(header: Column) -> Column:
     """List-Unsubscribe: http(s) URLs in angle brackets, at most 100."""
-    inner = F.transform(F.regexp_extract_all(F.coalesce(header, F.lit("")), F.lit("<([^<>]*)>"), F.lit(1)), F.trim)
+    inner = F.transform(F.regexp_extract_all(F.coalesce(header, F.lit("")), F.lit("<([^<>]*)>"), F.lit(1)), lambda x: F.trim(x))
     return F.slice(F.array_distinct(F.filter(inner, lambda u: u.rlike("^[hH][tT][tT][pP][sS]?://"))), 1, MAX_URLS)
 
 
