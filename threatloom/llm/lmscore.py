@@ -28,7 +28,8 @@ from threatloom.runtime import ship, stage, unstage
 ALPHA = 0.05
 HOT_SHARE = 1000
 SHARD_TOKENS = 6_000_000
-BATCH_TOKENS = 1_500_000
+BATCH_TOKENS = 400_000
+PARTS = 8
 CACHE_WORDS = 500_000
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
@@ -243,11 +244,17 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
             for (_, kind), held in parts.items():
                 uids = np.concatenate([x[0] for x in held])
                 base = np.cumsum([0, *(x[0].size for x in held[:-1])])
-                doc = np.concatenate([x[3].astype(np.int64) + k for x, k in zip(held, base, strict=True)])
-                flag = np.concatenate([x[1] for x in held])[doc]
-                d, *both = price_shard(np.concatenate([x[2] for x in held]), doc, flag, None if kind == 1 else hot, m)
-                who.append(uids[d])
-                sums.append(both)
+                doc = np.concatenate([x[3].astype(np.int32) + np.int32(k) for x, k in zip(held, base, strict=True)])
+                flags = np.concatenate([x[1] for x in held])
+                key = np.concatenate([x[2] for x in held])
+                # a part at a time bounds memory; contexts (or pairs of hot contexts) stay whole
+                part = (key >> np.uint64(61) if kind == 1 else key & np.uint64(7)).astype(np.int8)
+                for p in range(PARTS):
+                    at = np.flatnonzero(part == p)
+                    if at.size:
+                        d, *both = price_shard(key[at], doc[at], flags[doc[at]], None if kind == 1 else hot, m)
+                        who.append(uids[d])
+                        sums.append(both)
             parts.clear()
             if who:
                 uid, back = np.unique(np.concatenate(who), return_inverse=True)
