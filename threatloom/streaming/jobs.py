@@ -11,26 +11,31 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _timed(df: DataFrame, ts: str) -> DataFrame:
+    """Watermarks need a timestamp with a zone."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "5 minutes", late: str = "15 minutes") -> DataFrame:
     """Tumbling counts and sums; rows later than the watermark are dropped in a stream."""
-    out = events.withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = _timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), by, "n", "total")
 
 
 def sessions(events: DataFrame, ts: str, by: str, gap: str = "30 minutes", late: str = "15 minutes") -> DataFrame:
-    out = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n"))
+    out = _timed(events, ts).withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n"))
     return out.select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def daily_learns(events: DataFrame, ts: str, account: str, late: str = "1 hour") -> DataFrame:
-    out = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), account).agg(F.count("*").alias("learns"))
+    out = _timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 day"), account).agg(F.count("*").alias("learns"))
     return out.select(F.col("window.start").alias("day"), account, "learns")
 
 
 def best_attempts(decisions: DataFrame, ts: str = "inserted_at", late: str = "1 hour") -> DataFrame:
     """One decision per attempt and hour: a success wins, then the latest, then the highest evaluation_id."""
     rank = F.struct((F.col("scan_status") == "success").alias("ok"), F.col(ts).alias("at"), F.coalesce("evaluation_id", F.lit("")).alias("eval"), F.col("scan_time_ms").alias("ms"))
-    out = decisions.withWatermark(ts, late).groupBy(F.window(ts, "1 hour"), "message_id", "recipient_id", "injection_attempt_id").agg(F.max(rank).alias("best"))
+    out = _timed(decisions, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 hour"), "message_id", "recipient_id", "injection_attempt_id").agg(F.max(rank).alias("best"))
     return out.select("message_id", "recipient_id", "injection_attempt_id", F.col("best.ok").alias("ok"), F.col("best.eval").alias("evaluation_id"), F.col("best.ms").alias("scan_time_ms"))
 
 
