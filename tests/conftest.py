@@ -37,7 +37,9 @@ def same_rows(spark_df, duck_sql: str, folder: str) -> None:
     def text(v):
         if v is None or (isinstance(v, float) and pd.isna(v)) or v is pd.NaT or v is pd.NA:
             return "~"
-        return f"{v:.6f}" if isinstance(v, float) else str(int(v)) if isinstance(v, (bool, int)) or type(v).__name__ in ("bool_", "int32", "int64") else str(v)
+        if isinstance(v, float):
+            return str(int(v)) if v == int(v) else f"{v:.6f}"
+        return str(int(v)) if isinstance(v, (bool, int)) or type(v).__name__ in ("bool_", "int32", "int64") else str(v)
 
     rows = [sorted(tuple(text(v) for v in r) for r in x[sorted(x.columns)].itertuples(index=False)) for x in (a, b)]
     assert rows[0] == rows[1]

@@ -49,6 +49,20 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
+def give_back() -> None:
+    """In a Python worker that is reused: return freed memory to the system before the next task."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
