@@ -23,14 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.runtime import ship, stage, unstage
+from threatloom.runtime import give_back, ship, stage, unstage
 
 ALPHA = 0.05
 HOT_SHARE = 1000
 SHARD_TOKENS = 6_000_000
 BATCH_TOKENS = 400_000
 PARTS = 8
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+BROADCAST_IDS = 500_000
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -158,6 +159,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
     spark = docs.sparkSession
     ship(spark)
     ids = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).dropna().distinct().withColumn("_f", F.lit(True))
+    ids = stage(ids, "target-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids  # ids only; texts are dealt beyond that
     flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("_f", F.lit(False)).alias("_f"))
     flagged = stage(flagged, "flagged")
     words = stage(word_counts(flagged), "words")
@@ -279,6 +282,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
                 read = lambda c, t: np.frombuffer(batch.column(c)[r].as_py(), t)  # noqa: E731, B023
                 parts.setdefault((s, int(kind[r])), []).append((read(7, np.int64), read(8, bool), read(9, np.uint64), read(10, np.uint16)))
         yield from flush()
+        give_back()
 
     priced = flagged.mapInArrow(deal, schema).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(price, "uid long, doc_id long, n long, pt double, pb double")
     sums = priced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("pt").alias("_t"), F.sum("pb").alias("_b"))
