@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.runtime import ship, stage, unstage
+from threatloom.runtime import give_back, ship, stage, unstage
 
 MIN_CHARS = 150
 BLANK = " \t\n\x0b\x0c\r"
@@ -65,6 +65,7 @@ def _line_rows(docs: DataFrame, min_chars: int) -> DataFrame:
                 if len(cols[0]) >= per_batch:
                     yield flush()
         yield flush()
+        give_back()
 
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64("text").alias("_t"), "text"

@@ -22,12 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatloom.runtime import ship, stage
+from threatloom.runtime import give_back, ship, stage
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 ROWS_PER_BUCKET = 20_000
 _TOKENIZERS: dict = {}
 
@@ -108,6 +108,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
                     for c, v in zip(cols, (key, k // (4 * capacity), k // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 

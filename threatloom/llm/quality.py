@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.runtime import ship
+from threatloom.runtime import give_back, ship
 
 SYMBOLS = "#*$%&|<>"
 SPACE = " \t\n\x0b\x0c\r"
@@ -227,6 +227,7 @@ def keep_good(docs: DataFrame, model: dict, share: float = CONTENT_SHARE) -> Dat
                 good, total, _ = (0, 1, 0) if base_row(text)[5] else content_words(text, model)
                 keep.append(good >= share * total)
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(judge, docs.schema)
 

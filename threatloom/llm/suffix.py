@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threatloom.runtime import ship, stage, unstage
+from threatloom.runtime import give_back, ship, stage, unstage
 
 WINDOW = 200
 GRAM = 40
@@ -191,6 +191,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
                     fs, cs, ps, held = [], [], [], 0
             if held:
                 yield rows(fs, cs, ps)
+        give_back()
 
     def rows(fs, cs, ps):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(fs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(ps))], names=["f", "c", "p"])
@@ -223,6 +224,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
                     yield rows(out)
                     out, held = [], 0
             yield rows(out)
+        give_back()
 
     def rows(out):
         cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
@@ -304,6 +306,7 @@ def _evaluate(cold: DataFrame) -> DataFrame:
                 size += len(ctx)
         if held:
             yield out(held)
+        give_back()
 
     def out(held):
         ks, runs = [], []

@@ -73,7 +73,7 @@ FETCHES_SQL = """SELECT page_id * 2 + k AS capture_id, url, page_id * 31 + k * 1
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("threatloom_pages")
     read = lambda q: spark.sql(q.replace("FROM pages", "FROM threatloom_pages"))
-    return judge(read(FETCHES_SQL), read(ENTRIES_SQL))
+    return judge(read(FETCHES_SQL), read(ENTRIES_SQL)).withColumn("entry_id", F.coalesce("entry_id", F.lit(-1)))
 
 
 OP2_SQL = rf"""
@@ -88,5 +88,5 @@ k AS (SELECT DISTINCT capture_id, fetch_time, pattern FROM (
         UNION ALL SELECT capture_id, fetch_time, host || '/' || array_to_string(parts[:i], '/') FROM (SELECT *, unnest(generate_series(1, least(len(parts), 3))) AS i FROM h WHERE len(parts) > 0))),
 a AS (SELECT k.capture_id, v.* FROM k JOIN v ON v.pattern = k.pattern AND k.fetch_time >= v.valid_from AND (v.valid_to IS NULL OR k.fetch_time < v.valid_to)),
 t AS (SELECT *, count(*) OVER (PARTITION BY capture_id) AS n, row_number() OVER (PARTITION BY capture_id ORDER BY length(pattern) DESC, (list_name = 'allow') DESC, pattern DESC, list_name DESC, entry_id DESC) AS rn FROM a)
-SELECT f.capture_id, coalesce(t.n, 0) AS n_active, coalesce(t.list_name, 'none') AS verdict, coalesce(t.pattern, '') AS rule, t.entry_id FROM f LEFT JOIN t ON t.capture_id = f.capture_id AND t.rn = 1
+SELECT f.capture_id, coalesce(t.n, 0) AS n_active, coalesce(t.list_name, 'none') AS verdict, coalesce(t.pattern, '') AS rule, coalesce(t.entry_id, -1) AS entry_id FROM f LEFT JOIN t ON t.capture_id = f.capture_id AND t.rn = 1
 """

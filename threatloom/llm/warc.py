@@ -44,21 +44,21 @@ def resolve_revisits(captures: DataFrame, permitted: list[str] = PERMITTED) -> D
     """
     held = captures.withColumn("canonical_url", canonical_url(F.col("url")))
     full = held.where("record_type = 'response' and capture_id is not null").select(
-        "canonical_url", "fetch_time", F.col("capture_id").alias("_order"), F.struct("capture_id", "etag", "last_modified", "digest", "headers").alias("_prior")
+        "canonical_url", "fetch_time", F.col("capture_id").alias("_threatloom_order"), F.struct("capture_id", "etag", "last_modified", "digest", "headers").alias("_threatloom_prior")
     )
-    again = asof_join(held.where("record_type = 'revisit'"), full, ["canonical_url"], "fetch_time", "_order", "_prior", strict=True)
-    agree = F.when(F.col("etag").isNotNull(), F.coalesce(_tag(F.col("etag")) == _tag(F.col("_prior.etag")), F.lit(False))).otherwise(
-        F.col("last_modified").isNull() | F.coalesce(F.col("last_modified") == F.col("_prior.last_modified"), F.lit(False))
-    ) & F.coalesce(F.col("digest") == F.col("_prior.digest"), F.lit(True))
-    ok = F.col("_prior").isNotNull() & agree
+    again = asof_join(held.where("record_type = 'revisit'"), full, ["canonical_url"], "fetch_time", "_threatloom_order", "_threatloom_prior", strict=True)
+    agree = F.when(F.col("etag").isNotNull(), F.coalesce(_tag(F.col("etag")) == _tag(F.col("_threatloom_prior.etag")), F.lit(False))).otherwise(
+        F.col("last_modified").isNull() | F.coalesce(F.col("last_modified") == F.col("_threatloom_prior.last_modified"), F.lit(False))
+    ) & F.coalesce(F.col("digest") == F.col("_threatloom_prior.digest"), F.lit(True))
+    ok = F.col("_threatloom_prior").isNotNull() & agree
     empty = F.create_map().cast("map<string,string>")
     update = F.map_filter(F.coalesce("headers", empty), lambda k, _: k.isin(permitted))
-    stays = F.map_filter(F.coalesce("_prior.headers", empty), lambda k, _: ~F.array_contains(F.map_keys(update), k))
+    stays = F.map_filter(F.coalesce("_threatloom_prior.headers", empty), lambda k, _: ~F.array_contains(F.map_keys(update), k))
     again = (
-        again.withColumn("refers_to", F.when(ok, F.col("_prior.capture_id")))
-        .withColumn("resolution", F.when(F.col("_prior").isNull(), "no_prior").when(ok, "resolved").otherwise("validator_mismatch"))
+        again.withColumn("refers_to", F.when(ok, F.col("_threatloom_prior.capture_id")))
+        .withColumn("resolution", F.when(F.col("_threatloom_prior").isNull(), "no_prior").when(ok, "resolved").otherwise("validator_mismatch"))
         .withColumn("merged_headers", F.when(ok, F.map_concat(stays, update)).otherwise(F.col("headers")))
-        .drop("_prior")
+        .drop("_threatloom_prior")
     )
     rest = held.where("record_type is null or record_type <> 'revisit'").select(
         "*", F.lit(None).cast("long").alias("refers_to"), F.lit("response").alias("resolution"), F.col("headers").alias("merged_headers")
@@ -91,7 +91,7 @@ def op1_warc_revisits(spark, sf_dir: str) -> DataFrame:
     )
     out = resolve_revisits(captures.withColumn("headers", heads))
     return out.select(
-        "capture_id", "canonical_url", "resolution", "refers_to",
+        "capture_id", "canonical_url", "resolution", F.coalesce("refers_to", F.lit(-1)).alias("refers_to"),
         *(F.coalesce(F.element_at("merged_headers", h), F.lit("")).alias(h.replace("-", "_")) for h in ("date", "content-type", "server")),
     )
 
@@ -111,7 +111,7 @@ j AS (SELECT k.*, p.prior, r.fetch_time AS r_time, r.capture_id AS r_id,
       FROM k LEFT JOIN p ON p.id = k.capture_id LEFT JOIN r ON r.capture_id = p.prior)
 SELECT capture_id, canonical_url,
        CASE WHEN record_type = 'response' THEN 'response' WHEN prior IS NULL THEN 'no_prior' WHEN ok THEN 'resolved' ELSE 'validator_mismatch' END AS resolution,
-       CASE WHEN record_type = 'revisit' AND ok THEN prior END AS refers_to,
+       CASE WHEN record_type = 'revisit' AND ok THEN prior ELSE -1 END AS refers_to,
        CAST(fetch_time AS VARCHAR) AS date,
        CASE WHEN record_type = 'response' OR ok THEN 'text/html' ELSE 'none' END AS content_type,
        's' || CAST(CASE WHEN record_type = 'revisit' AND ok THEN r_id ELSE capture_id END % 3 AS VARCHAR) AS server
