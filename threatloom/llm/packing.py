@@ -27,7 +27,7 @@ from threatloom.runtime import give_back, ship, stage
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-CACHE_WORDS = 250_000
+CACHE_WORDS = 300_000
 ROWS_PER_BUCKET = 20_000
 _TOKENIZERS: dict = {}
 
@@ -43,6 +43,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.marks = {c: array("I", self.tok.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,"}
 
     def ids(self, text: str) -> bytes:
@@ -60,7 +61,12 @@ class Encoder:
         except KeyError:
             pass
         if len(known) > CACHE_WORDS:
-            known.clear()
+            # two generations: what is still in use moves on from the old one
+            self.old, self.known = known, {}
+            known = self.known
+        for w in words:
+            if w not in known and w in self.old:
+                known[w] = self.old[w]
         new = [w for w in dict.fromkeys(words) if w not in known]
         stems = {w: w[:-1] if w[-1:] in self.marks and w[:-1].isalpha() else w for w in new}  # a lone closing mark is a word of its own
         ask = [w for w in dict.fromkeys(stems.values()) if w not in known]
