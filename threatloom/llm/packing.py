@@ -27,7 +27,7 @@ from threatloom.runtime import give_back, ship, stage
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 ROWS_PER_BUCKET = 20_000
 _TOKENIZERS: dict = {}
 
