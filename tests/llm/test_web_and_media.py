@@ -86,3 +86,27 @@ def test_pairs_found_against_brute_force():
             true += same
             found += same and ok and len(keys[i] & keys[j]) > 1
     assert found >= 0.9 * true
+
+
+def test_large_group_has_all_its_links(spark, monkeypatch):
+    """Link counts of a group whose entries are long, next to a second picture, equal brute force over all pairs."""
+    monkeypatch.setattr(media, "BLOCK", 20)
+    imgs = [media.edit(media.draw(name), how, seed) for name in ("hot", "other") for how, seed in [(0, 0), (2, 0), (3, 0), (4, 0), *((1, k) for k in range(3)), *((5, k) for k in range(45))]]
+    feats = [media.describe(x[None])[0] for x in imgs]
+    links = [0] * len(imgs)
+    for i in range(len(imgs)):
+        for j in range(i):
+            if media.inliers(feats[i], feats[j]) >= media.MIN_INLIERS:
+                links[i] += 1
+                links[j] += 1
+    rows = spark.createDataFrame([(k, media.encode_pgm(x)) for k, x in enumerate(imgs)], "media_id long, image binary")
+    got = {r.media_id: (r.class_id, r.n_links) for r in media.copies(rows).collect()}
+    assert got == {k: (k // 52 * 52, n) for k, n in enumerate(links)} and min(links) > media.SHORT
+
+
+def test_pairs_at_a_time_equal_one_by_one():
+    feats = [media.describe(media.edit(media.draw(f"b{k}"), how, k)[None], c)[0] for k in range(3) for how, c in ((0, 24), (1, 24), (5, 24), (4, 60), (3, 5))]
+    i, j = np.nonzero(np.ones((len(feats),) * 2))
+    want = np.array([media.inliers(feats[x], feats[y]) for x, y in zip(i, j, strict=True)])
+    got = media.inliers_of(feats, i, j)
+    assert (got == np.where(want >= media.MIN_INLIERS, want, got)).all() and ((got >= media.MIN_INLIERS) == (want >= media.MIN_INLIERS)).all()
