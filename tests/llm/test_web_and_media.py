@@ -51,6 +51,14 @@ def test_dated_lists(spark):
     assert urlfilter.judge(df.limit(0), entries).count() == 0 and {r.verdict for r in urlfilter.judge(df, entries.limit(0)).collect()} == {"none"}
 
 
+def test_deep_paths(spark):
+    entries = spark.createDataFrame([(1, "block", "a.de/p", "add", 0), (2, "allow", "a.de/p/q/r/s", "add", 0), (3, "block", "a.de/p/q/r/s/t/u", "add", 0)], "entry_id long, list_name string, pattern string, action string, changed long")
+    urls = ["http://a.de/p/q/r", "http://a.de/p/q/r/s", "http://a.de/p/q/r/s/t?x=/u", "http://a.de//p/q/r/s/t/u/v#w", "http://a.de"]
+    df = spark.createDataFrame([(k, u, 1) for k, u in enumerate(urls)], "capture_id long, url string, fetch_time long")
+    got = {r.capture_id: (r.verdict, r.n_active, r.entry_id) for r in urlfilter.judge(df, entries).collect()}
+    assert got == {0: ("block", 1, 1), 1: ("allow", 2, 2), 2: ("allow", 2, 2), 3: ("block", 3, 3), 4: ("none", 0, None)}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 1), (5, 5), (7, 9), (9, 8), (20, 21), *((100, i) for i in range(101, 160))]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

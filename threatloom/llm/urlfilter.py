@@ -28,14 +28,14 @@ def validity(entries: DataFrame) -> DataFrame:
     return change.withColumn("valid_to", F.lead("changed").over(by)).where("action = 'add'").select("list_name", "pattern", F.col("changed").alias("valid_from"), "valid_to", "entry_id")
 
 
-def lookup_keys(url: Column, depth: int = 3) -> Column:
-    """Patterns that could name this URL: host, parent domains of two labels or more, host plus leading path segments."""
+def lookup_keys(url: Column) -> Column:
+    """Patterns that could name this URL: host, parent domains of two labels or more, host plus each number of leading path segments."""
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)", 1))
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    deep = F.least(F.size(parts), F.lit(depth))
+    deep = F.size(parts)
     paths = F.when(deep > 0, F.transform(F.sequence(F.lit(1), deep), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, paths)))
 
