@@ -35,13 +35,29 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = stage(jaccard.near_duplicates(docs, *NEAR).where("n_shingles > 0"), "near")
-    gone = found.where("not doc_id <=> component_id").select("doc_id").distinct()
+    """Of each group of near duplicates one row stays: of those with the smallest id, the one with the smallest set class
+    and then text hash. Rows that share an id, or have none, are documents of their own unless their sets are near."""
+    found = stage(jaccard.near_duplicate_sets(docs, *NEAR), "near")
+    again = stage(found.groupBy("_d").count().where("count > 1").select("_d"), "repeated-ids")
+    some = again.count()
+    again = F.broadcast(again) if some <= jaccard.BROADCAST_TOKENS else again  # ids only
+    mine = docs.withColumn("_near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(jaccard.NO_ID)))
+    gone = found.where("n_shingles > 0 and _d <> _c").select(F.col("_d").alias("_near_id")).distinct()
     gone = F.broadcast(gone) if gone.count() <= jaccard.BROADCAST_TOKENS else gone  # ids only
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if again else out
+    if not some:
+        return mine.join(gone, "_near_id", "left_anti").select(*docs.columns)
+    repeated = again.withColumnRenamed("_d", "_near_id")
+    out = mine.join(repeated, "_near_id", "left_anti").join(gone, "_near_id", "left_anti").select(*docs.columns)
+    # an id doesn't tell these rows apart, so their sets do
+    rows = mine.join(repeated, "_near_id", "left_semi").withColumns({"_near_cls": jaccard.class_of(NEAR[0])(F.col("text")), "_near_text": F.xxhash64("text")})
+    rows = stage(rows, "repeated-rows")
+    of_ids = found.join(again, "_d", "left_semi").select(F.col("_d").alias("_near_id"), F.col("cls").alias("_near_cls"), "n_shingles", "_c", "_top")
+    empty = of_ids.where("n_shingles = 0").select("_near_id", "_near_cls").distinct()
+    first = of_ids.where("n_shingles > 0 and _near_id = _c and _near_cls = _top").select("_near_id", "_near_cls").distinct()
+    held = rows.join(first, ["_near_id", "_near_cls"])
+    least = held.groupBy("_near_id", "_near_cls").agg(F.min("_near_text").alias("_near_text"))
+    held = held.join(least, ["_near_id", "_near_cls", "_near_text"]).dropDuplicates(["_near_id", "_near_cls"])
+    return out.unionByName(held.select(*docs.columns)).unionByName(rows.join(empty, ["_near_id", "_near_cls"]).select(*docs.columns))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,3 +65,18 @@ def test_stages_on_odd_and_empty_rows(spark, odd, none, small):
     left = P.near_duplicates(spark, odd, small).collect()
     assert sum(r.doc_id == 6 for r in left) == 1 and not any(r.doc_id == 5 for r in left)
     assert any(r.text == LONG for r in left) and jaccard.NO_ID < 0
+
+
+def test_near_duplicates_drop_only_copies(spark, odd):
+    """Rows that share an id, or have none, go only with a copy of their own text."""
+    import corpus_pipeline as P
+
+    a, b, c = (" ".join(f"{w}{i}" for i in range(60)) for w in "abc")
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (3, c.upper()), (None, "x y z u v w"), (None, "k l m n o p q"), (None, b + " end"), (4, "k l m n o p q"), (None, ""), (5, "lone text of six words here")]
+    df = spark.createDataFrame([(*r, "en", [1], 7) for r in rows], "doc_id long, text string, lang string, prefix array<long>, cls int")
+    left = P.near_duplicates(spark, df, "")
+    got = sorted(((r.doc_id, (r.text or "").lower()) for r in left.collect()), key=str)
+    assert left.columns == df.columns
+    assert got == sorted([(1, a), (3, c), (None, "x y z u v w"), (None, "k l m n o p q"), (None, b + " end"), (None, ""), (5, "lone text of six words here")], key=str)
+    texts = [r.text for r in P.near_duplicates(spark, odd, "").where("doc_id is null").collect()]
+    assert sorted(map(str, texts)) == ["None", "a b c d e f g"]
