@@ -10,7 +10,8 @@ lines of later copies are deleted; overlapping copies inside one document count
 
 Edge cases: null text is a document without lines and stays null; blank lines never match and are never deleted;
 documents are told apart by (doc_id, text), so repeated rows are one document and get the same result; a null doc_id is
-a value of its own and comes first; an empty table gives an empty result; extra columns pass through untouched.
+a value of its own and comes first; an empty table gives an empty result; extra columns pass through untouched, but for
+those named as the three that are added, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ MIN_CHARS = 150
 BLANK = " \t\n\x0b\x0c\r"
 LINES = "_d long, _t long, _i int, _p int, _w int, _h1 long, _h2 long"
 _KEY = ["_d", "_t", "_i"]
+ADDED = ("_n_lines", "_n_removed", "_n_runs")
 
 
 def _signed(x: int) -> int:
@@ -143,16 +145,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         .join(at.select(*_KEY, "_p"), _KEY)
     )
     gone = gone.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("_i", "_p"))).alias("_gone"))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_t": F.xxhash64("text")})
-    return (
-        keyed.join(gone, ["_d", "_t"], "left")
-        .withColumn("_all", F.split("text", "\n", -1))
-        .withColumn("_n_lines", F.coalesce(F.size(F.filter("_all", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long"))
-        .withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("_n_lines")).cast("long"))
-        .withColumn("_n_removed", F.coalesce(F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")), F.lit(0)).cast("long"))
-        .withColumn("_n_runs", F.expr("case when _gone is null then 0 else 1 + size(filter(sequence(1, size(_gone)), k -> k > 1 and _gone[k - 1]._i - _gone[k - 2]._i > 1)) end").cast("long"))
-        .withColumn("text", F.expr("case when _gone is null then text else array_join(filter(_all, (x, k) -> not array_contains(transform(_gone, g -> g._p), k)), '\n') end"))
-        .select(*docs.columns, "_n_lines", "_n_removed", "_n_runs")
+    mine = [c for c in docs.columns if c not in ADDED]
+    row, d, t, gone_at = (f"_threatloom_{k}" for k in ("row", "d", "t", "gone"))
+    keyed = docs.select(F.struct(*mine).alias(row), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias(d), F.xxhash64("text").alias(t))
+    found = keyed.join(gone.select(F.col("_d").alias(d), F.col("_t").alias(t), F.col("_gone").alias(gone_at)), [d, t], "left")
+    found = found.select(row, F.col(gone_at).alias("gone"), F.split(F.col(row)["text"], "\n", -1).alias("parts"))
+    # the places that stay, by a hash set, so a document costs its lines once
+    stay = "array_except(sequence(0, size(parts) - 1), transform(gone, g -> g._p))"
+    text = F.expr(f"case when gone is null then {row}.text else array_join(transform({stay}, k -> parts[k]), '\n') end")
+    return found.select(
+        *((text if c == "text" else F.col(row)[c]).alias(c) for c in mine),
+        F.when(F.col(row)["text"].isNull(), 0).otherwise(F.size(F.filter("parts", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))).cast("long").alias("_n_lines"),
+        F.expr("case when gone is null then 0 else size(gone) end").cast("long").alias("_n_removed"),
+        F.expr("case when gone is null then 0 else 1 + size(filter(sequence(1, size(gone)), k -> k > 1 and gone[k - 1]._i - gone[k - 2]._i > 1)) end").cast("long").alias("_n_runs"),
     )
 
 
