@@ -9,7 +9,9 @@ the driver (the count is checked), beyond that as tables with the same arithmeti
 Edge cases: null source, lang or topic are a value of their own, the empty string; null and empty texts have no tokens
 and take their cell's probability (1 where a cell has none); a null doc_id hashes to 0 and stays; rows that repeat a
 doc_id are kept or dropped together; an empty table gives an empty result; target values that no document has are ignored
-and the other shares rescaled; extra columns pass through.
+and the other shares rescaled; extra columns pass through, but for n_tokens, p and kept, which the new ones replace, and
+topic, which is taken where docs have it. Where probabilities are cut at 1 the budget is filled from the other cells, and
+the shares that are then reached fall short of the targets; ``shares`` tells them.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from threatloom.runtime import stage, unstage
 
 DIMS = ("source", "lang", "topic")
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.7}
-ROUNDS = 20
+ROUNDS = 200
+TOLERANCE = 1e-10
 FILLS = 12
 BUDGET = 0.5
 MAX_CELLS = 200_000
@@ -54,10 +57,14 @@ def _rake_local(cells: list, targets: dict[str, dict], budget: float, rounds: in
         at = {v: i for i, v in enumerate(values)}
         codes[d] = (np.array([at[r[d]] for r in cells], int), share / share.sum() if share.sum() else share)
     for _ in range(rounds):
+        off = 0.0
         for d in DIMS:
             code, share = codes[d]
             s = np.bincount(code, weights=w, minlength=share.size)
+            off = max(off, np.abs(s - share * total)[s > 0].max(initial=0.0))
             w = w * (share[code] * total / np.where(s[code] > 0, s[code], 1.0))
+        if off <= TOLERANCE * total:
+            break
     r = np.where(t > 0, w / np.where(t > 0, t, 1), 0)
     goal, f = budget * total, budget * total / w.sum() if w.sum() else 0.0
     for _ in range(FILLS):
@@ -77,12 +84,16 @@ def _rake_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float,
         s = here.agg(F.sum("share")).first()[0] or 1.0
         shares[d] = here.select(d, (F.col("share") / s).alias("share"))
     for _ in range(rounds):
-        old = held
+        old, off = held, []
         for d in DIMS:
             sums = held.groupBy(d).agg(F.sum("w").alias("s"))
+            off.append(sums.join(shares[d], d).select(F.abs(F.col("s") - F.col("share") * total).alias("off")))
             held = held.join(sums, d).join(shares[d], d, "left").withColumn("w", F.col("w") * (F.coalesce("share", F.lit(0.0)) * total / F.when(F.col("s") > 0, F.col("s")).otherwise(1.0))).select(*DIMS, "tokens", "w")
+        far = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).first()[0] or 0.0
         held = stage(held, "cells")
         unstage(old)
+        if far <= TOLERANCE * total:
+            break
     r = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens")).otherwise(0.0)
     w = held.agg(F.sum("w")).first()[0] or 0.0
     f = budget * total / w if w else 0.0
@@ -98,29 +109,39 @@ def _rake_table(cells: DataFrame, targets: dict[str, DataFrame], budget: float,
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, max_cells: int = MAX_CELLS) -> DataFrame:
     """docs with topic, n_tokens, p and kept added. targets: per dimension a table of (value, share); default: tempered."""
     spark = docs.sparkSession
+    docs = docs.drop("n_tokens", "p", "kept")
     mine = docs.withColumns({"topic": F.expr(TOPIC_SQL) if "topic" not in docs.columns else F.col("topic"), "n_tokens": F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")})
-    mine = mine.withColumns({f"_{d}": F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMS})
-    cells = stage(cells_of(mine.select(*(F.col(f"_{d}").alias(d) for d in DIMS), "n_tokens")), "cells")
+    cell = {d: f"_threatloom_{d}" for d in DIMS}
+    mine = mine.withColumns({v: F.coalesce(F.col(d).cast("string"), F.lit("")) for d, v in cell.items()})
+    cells = stage(cells_of(mine.select(*(F.col(v).alias(d) for d, v in cell.items()), "n_tokens")), "cells")
     targets = {d: (targets or {}).get(d, tempered(cells, d, POWERS[d])) for d in DIMS}
     n = cells.count()
     if n <= max_cells:
         rows = cells.orderBy(*DIMS).collect()
         local = {d: {r[0]: r[1] for r in targets[d].join(cells.select(d).distinct(), d).select(d, "share").collect()} for d in DIMS}
         p = _rake_local(rows, local, budget, rounds) if rows else []
-        table = spark.createDataFrame([(*(r[d] for d in DIMS), v) for r, v in zip(rows, p, strict=True)], ", ".join(f"_{d} string" for d in DIMS) + ", p double")
+        table = spark.createDataFrame([(*(r[d] for d in DIMS), v) for r, v in zip(rows, p, strict=True)], ", ".join(f"{v} string" for v in cell.values()) + ", p double")
         table = F.broadcast(table)
     else:
-        table = _rake_table(cells, targets, budget, rounds).select(*(F.col(d).alias(f"_{d}") for d in DIMS), "p")
-    out = mine.join(table, [f"_{d}" for d in DIMS], "left").withColumn("kept", unit_hash(F.col("doc_id")) < F.col("p"))
+        table = _rake_table(cells, targets, budget, rounds).select(*(F.col(d).alias(v) for d, v in cell.items()), "p")
+    out = mine.join(table, list(cell.values()), "left").withColumn("kept", unit_hash(F.col("doc_id")) < F.col("p"))
     return out.select(*docs.columns, *(["topic"] if "topic" not in docs.columns else []), "n_tokens", "p", "kept")
 
 
+def shares(mixed: DataFrame, dim: str) -> DataFrame:
+    """(dim, share, expected): the share of the tokens of mix's result that a value has before and after sampling."""
+    by = mixed.groupBy(dim).agg(F.sum("n_tokens").alias("all"), F.sum(F.col("n_tokens") * F.col("p")).alias("kept"))
+    total = by.agg(F.sum("all").alias("all"), F.sum("kept").alias("kept")).first()
+    part = lambda c: F.col(c) / F.lit(float(total[c] or 1))
+    return by.select(dim, part("all").alias("share"), part("kept").alias("expected"))
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("p", 6).alias("p"), "kept")
 
 
-def mixing_ctes(documents: str, budget: float = BUDGET, rounds: int = ROUNDS) -> str:
+def mixing_ctes(documents: str, budget: float = BUDGET, rounds: int = 20) -> str:
     """The operator's arithmetic as DuckDB CTEs over a relation of documents; the last is `mixed`."""
     out = [
         f"md AS MATERIALIZED (SELECT *, coalesce(source, '') AS s0, coalesce(lang, '') AS l0, {TOPIC_SQL} AS topic, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS n_tokens FROM {documents})",
