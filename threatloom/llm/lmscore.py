@@ -284,7 +284,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
         yield from flush()
         give_back()
 
-    priced = flagged.mapInArrow(deal, schema).repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(price, "uid long, doc_id long, n long, pt double, pb double")
+    priced = flagged.mapInArrow(deal, schema).repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(price, "uid long, doc_id long, n long, pt double, pb double")
     sums = priced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("pt").alias("_t"), F.sum("pb").alias("_b"))
     mean = lambda c: F.when(F.col("n_tokens") > 0, -F.col(c) / F.col("n_tokens")).otherwise(0.0)
     return sums.select("doc_id", "n_tokens", mean("_t").alias("loss_target"), mean("_b").alias("loss_background")).withColumn("score", F.col("loss_target") - F.col("loss_background"))
