@@ -12,7 +12,7 @@ def brute(spark, sf):
     model = quality.fit(docs, labels)
     rows = []
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
-        good, total, _ = quality.content_words(r.text or "", model)
+        good, total, *_ = quality.content_words(r.text or "", model)
         if not brute_base(r.text)[5] and good >= quality.CONTENT_SHARE * total:
             rows.append(r)
     first, kept = set(), []

@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import LONG, ODD, PASSAGE
 from threatloom.llm import jaccard, lines, lmscore, mixing, packing, quality, suffix
@@ -225,6 +226,10 @@ def test_lines_edges(odd, none):
     assert len(rows) == len(ODD) and [r.text for r in rows if r.doc_id == 1] == [None]
     assert [r.text for r in rows if r.doc_id == 6] == [PASSAGE + "\nmine"] * 2 and [r.text for r in rows if r.doc_id == 7] == ["x"]
     assert lines.dedup_lines(none).count() == 0
+    assert {(r._d, r.c, tuple(r.prefix)) for r in lines.dedup_lines(odd).collect()} == {(7, 8, (1,))}
+    clash = odd.withColumns({"_n_lines": F.lit("x"), "_threatloom": F.lit(3)})
+    got = lines.dedup_lines(clash)
+    assert got.columns == [*(c for c in clash.columns if c != "_n_lines"), *lines.ADDED] and got.where("_threatloom = 3").count() == len(ODD)
 
 
 # --- quality
@@ -267,6 +272,41 @@ def test_quality_held_out(spark):
     assert sum(r.kept for r in rows if r.quality == 1) >= 0.98 * sum(r.quality == 1 for r in rows)
 
 
+def test_boilerplate_lines_inside_documents():
+    """Documents' labels alone teach the chain to find lines of boilerplate in good documents, and prose in bad ones."""
+    rng = np.random.default_rng(5)
+    prose = lambda: " ".join("".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(rng.integers(6, 15))).capitalize() + "."
+    junk = lambda: " ".join(w + "###" for w in prose().split()[:8])
+    rows, truth = [], []
+    for k in range(400):
+        good = k % 4 != 0
+        ls = [(prose(), True) if (rng.random() < (0.8 if good else 0.2)) else ((("Licensed under the X License.", "a | b | c | d")[k % 2], False) if good else (junk(), False)) for _ in range(8)]
+        words = [len(x.split()) * c for x, c in ls]
+        if (sum(words) >= 0.5 * sum(len(x.split()) for x, _ in ls)) == good:
+            rows.append(("\n".join(x for x, _ in ls), int(good)))
+            truth.append([c for _, c in ls])
+    model = quality.train(rows[:200])
+    told = [(list(quality.line_labels(t, model)[0]), want, y) for (t, y), want in zip(rows[200:], truth[200:], strict=True)]
+    assert np.mean([a == b for got, want, _ in told for a, b in zip(got, want, strict=True)]) > 0.95
+    assert sum(0 < sum(got) < len(got) for got, *_ in told) > len(told) / 2
+    assert np.mean([not a for got, want, y in told if y for a, b in zip(got, want, strict=True) if not b]) > 0.9
+
+
+def test_relabelling_agrees_with_the_document():
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 9, (300, 7))
+    words[:, 0] += 1
+    good, scores = rng.random(300) < 0.5, rng.normal(0, 2, (300, 7))
+    before = (scores > 0) & (words > 0)
+    after = quality._agree(before.copy(), scores, good, words, 0.5)
+    assert ((((after * words).sum(1) >= 0.5 * words.sum(1)) == good)).all()
+    fine = ((before * words).sum(1) >= 0.5 * words.sum(1)) == good
+    assert (after[fine] == before[fine]).all()
+    tr = np.array([[0.7, -0.2], [0.1, 0.4]])
+    for k, path in enumerate(quality._best_paths(scores, tr, np.ones((300, 7)))):
+        assert (path == quality.viterbi(scores[k], tr)).all()
+
+
 def test_quality_edges(spark, odd, none):
     rows = quality.label_quality(odd, quality.PRIOR).collect()
     assert len(rows) == len(ODD) and not any(r.kept for r in rows if r.n_words < 20)
@@ -309,6 +349,17 @@ def test_mixing_holds_its_marginals(spark, small):
     assert np.allclose(share, goal / goal.sum(), atol=0.02)
 
 
+def test_targets_and_clashing_columns(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    clash = docs.withColumns({"p": F.lit("x"), "kept": F.lit(7), "_source": F.lit(1)})
+    assert mixing.mix(clash).columns == [*docs.columns, "_source", "topic", "n_tokens", "p", "kept"]
+    langs = [r[0] for r in docs.select("lang").distinct().orderBy("lang").collect()]
+    targets = {"lang": spark.createDataFrame([(v, float(k + 1)) for k, v in enumerate(langs)], "lang string, share double")}
+    for cells in (mixing.MAX_CELLS, 0):
+        got = {r.lang: r.expected for r in mixing.shares(mixing.mix(docs, targets, budget=0.01, max_cells=cells), "lang").collect()}
+        assert all(abs(got[v] - (k + 1) / sum(range(1, len(langs) + 1))) < 1e-6 for k, v in enumerate(langs))
+
+
 def test_mixing_edges(odd, none):
     out = mixing.mix(odd)
     assert out.columns == [*odd.columns, "topic", "n_tokens", "p", "kept"] and out.count() == len(ODD)

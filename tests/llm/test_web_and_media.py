@@ -22,6 +22,9 @@ def test_revisits(spark):
     merged = warc.resolve_revisits(spark.createDataFrame(rows, CAPTURES).drop("_prior")).where("capture_id = 2").first().merged_headers
     assert merged == {"date": "d1", "content-type": "text/html", "server": "s0"}
     assert warc.resolve_revisits(spark.createDataFrame([], CAPTURES)).count() == 0
+    clash = spark.createDataFrame(rows, CAPTURES).withColumns({"refers_to": F.lit("x"), "canonical_url": F.lit(1), "resolution": F.lit(2), "merged_headers": F.lit(3), "_bucket": F.lit(4), "_last": F.lit(5)})
+    out = warc.resolve_revisits(clash.drop("_prior"))
+    assert {(r.capture_id, r.resolution, r.refers_to, r._bucket, r._last) for r in out.collect()} == {(a, b, c, 4, 5) for a, b, c, _ in got}
 
 
 def test_hot_key_asof(spark):
