@@ -6,7 +6,8 @@ Of the revisit's headers only those that a 304 answer may update replace the sto
 
 Edge cases: a null or empty URL or a null time never resolves (`no_prior`); several full responses at one time: the
 larger capture_id counts; a response at the revisit's own time is not earlier; repeated rows resolve alike; null headers
-are no headers; an empty table gives an empty result; extra columns pass through. A hot URL is split by time.
+are no headers; a null record_type is a response that nothing refers to; an empty table gives an empty result; extra
+columns pass through, but for those named as the four that are added, which the new ones replace. A hot URL is split by time.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.llm.asof import asof_join
+from threatloom.runtime import stage
 
 #: Header fields that a 304 answer may update in a stored response (RFC 9110, 15.4.5; RFC 9111, 3.2).
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
@@ -42,7 +44,9 @@ def resolve_revisits(captures: DataFrame, permitted: list[str] = PERMITTED) -> D
     Adds canonical_url, refers_to (capture_id of the response a revisit stands for), resolution ('response', 'resolved',
     'no_prior' or 'validator_mismatch') and merged_headers.
     """
-    held = captures.withColumn("canonical_url", canonical_url(F.col("url")))
+    captures = captures.drop("canonical_url", "refers_to", "resolution", "merged_headers")
+    # read five times by the join, so written once: URLs are taken apart and pages hashed once
+    held = stage(captures.withColumn("canonical_url", canonical_url(F.col("url"))), "captures")
     full = held.where("record_type = 'response' and capture_id is not null").select(
         "canonical_url", "fetch_time", F.col("capture_id").alias("_threatloom_order"), F.struct("capture_id", "etag", "last_modified", "digest", "headers").alias("_threatloom_prior")
     )
@@ -58,7 +62,7 @@ def resolve_revisits(captures: DataFrame, permitted: list[str] = PERMITTED) -> D
         again.withColumn("refers_to", F.when(ok, F.col("_threatloom_prior.capture_id")))
         .withColumn("resolution", F.when(F.col("_threatloom_prior").isNull(), "no_prior").when(ok, "resolved").otherwise("validator_mismatch"))
         .withColumn("merged_headers", F.when(ok, F.map_concat(stays, update)).otherwise(F.col("headers")))
-        .drop("_threatloom_prior")
+        .select(*held.columns, "refers_to", "resolution", "merged_headers")
     )
     rest = held.where("record_type is null or record_type <> 'revisit'").select(
         "*", F.lit(None).cast("long").alias("refers_to"), F.lit("response").alias("resolution"), F.col("headers").alias("merged_headers")
@@ -66,8 +70,8 @@ def resolve_revisits(captures: DataFrame, permitted: list[str] = PERMITTED) -> D
     return rest.unionByName(again)
 
 
-#: Captures of the pages table, in SQL that both engines read: every page is fetched three times and robots.txt of its
-#: host with it; later fetches are mostly 304s.
+#: Captures of the pages table, in SQL that both engines read (from page_id, url, md5 of the html and k): every page is
+#: fetched three times and robots.txt of its host with it; later fetches are mostly 304s.
 CAPTURES_SQL = r"""
 SELECT page_id * 8 + k AS capture_id,
        CASE WHEN k >= 4 THEN concat(regexp_extract(url, '^[a-z]+://[^/]+', 0), '/robots.txt')
@@ -76,16 +80,18 @@ SELECT page_id * 8 + k AS capture_id,
        CASE WHEN k IN (0, 4) AND page_id % 9 <> 5 THEN 'response' WHEN (page_id + k) % 5 = 0 THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id % 3 = 0 THEN NULL
             WHEN k >= 4 THEN concat('W/"r', CAST((page_id * 37 + (page_id % 11) * 3600) % 3 AS STRING), '"')
-            WHEN page_id % 7 = 1 AND k = 2 THEN '"other"' ELSE concat('"', substr(md5(html), 1, 12), '"') END AS etag,
+            WHEN page_id % 7 = 1 AND k = 2 THEN '"other"' ELSE concat('"', substr(md5, 1, 12), '"') END AS etag,
        CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN concat('day ', CAST(page_id % 13 AS STRING)) ELSE NULL END AS last_modified,
-       CASE WHEN k < 4 AND page_id % 4 <> 0 THEN md5(html) ELSE NULL END AS digest
-FROM (SELECT page_id, url, html, k FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 4 UNION ALL SELECT 5) ks) p
+       CASE WHEN k < 4 AND page_id % 4 <> 0 THEN md5 ELSE NULL END AS digest
+FROM fetches
 """
+FETCHES = (0, 1, 2, 4, 5)
 
 
 def op1_warc_revisits(spark, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("threatloom_pages")
-    captures = spark.sql(CAPTURES_SQL.replace("FROM pages", "FROM threatloom_pages"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    fetches = pages.select("page_id", "url", F.md5("html").alias("md5")).select("*", F.explode(F.array(*map(F.lit, FETCHES))).alias("k"))
+    captures = spark.sql(CAPTURES_SQL.replace("FROM fetches", "FROM {fetches}"), fetches=fetches)
     heads = F.create_map(
         F.lit("date"), F.col("fetch_time").cast("string"), F.lit("content-type"), F.when(F.col("record_type") == "revisit", "none").otherwise("text/html"), F.lit("server"), F.concat(F.lit("s"), (F.col("capture_id") % 3).cast("string"))
     )
@@ -97,7 +103,8 @@ def op1_warc_revisits(spark, sf_dir: str) -> DataFrame:
 
 
 OP1_SQL = rf"""
-WITH c AS ({CAPTURES_SQL.replace('AS STRING', 'AS VARCHAR')}),
+WITH fetches AS (SELECT page_id, url, md5(html) AS md5, unnest([{', '.join(map(str, FETCHES))}]) AS k FROM pages),
+c AS ({CAPTURES_SQL.replace('AS STRING', 'AS VARCHAR')}),
 u AS (SELECT *, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS sch, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) AS host,
              regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,
              array_to_string(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: NOT starts_with(p, 'utm_') AND p <> ''), '&') AS q FROM c),
