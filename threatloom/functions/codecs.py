@@ -9,7 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 
 def percent_decode(c: Column, plus: bool) -> Column:
@@ -108,3 +108,9 @@ def quoted_printable_udf(raw: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def entities_udf(text: pd.Series) -> pd.Series:
     return text.map(decode_entities)
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def decode_hosts_udf(hosts: pd.Series) -> pd.Series:
+    """decode_host of every host of an array, so that only messages with xn-- hosts cost anything."""
+    return hosts.map(lambda hs: [] if hs is None else [decode_host(h) for h in hs])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threatloom.functions import domains as D
 from threatloom.functions import refdata as R
 from threatloom.functions import text as T
-from threatloom.functions.codecs import decode_host_udf
+from threatloom.functions.codecs import decode_host_udf, decode_hosts_udf
 from threatloom.operators import extract as X
 
 
@@ -61,8 +61,25 @@ def execution_order(names: list[str] | None = None) -> list[str]:
     return out
 
 
+def with_urls(messages: DataFrame) -> DataFrame:
+    """messages with what the extractors find, each in a column, and ``urls`` of all of them: the mail's own, its links' and
+    the injected ones, each once, so that URL detectors see them all; own_urls keeps the mail's own. A redirect's finding
+    and a decoded xn-- host are made once a message too."""
+    page = F.coalesce("html", F.lit(""))
+    mine = F.coalesce("urls", F.array().cast("array<string>"))
+    if "from_all" not in messages.columns:
+        messages = messages.withColumn("from_all", F.array(F.struct(F.col("from_name").alias("name"), F.col("from_domain").alias("domain"))))
+    found = messages.withColumns({"own_urls": mine, "link_urls": X.hrefs(page), "header_urls": X.header_urls(F.col("list_unsubscribe")), "base64_urls": X.base64_urls(F.concat_ws(" ", "text_raw", page) if "text_raw" in messages.columns else page)})
+    found = found.withColumn("data_uri_urls", X.data_uri_urls(X.page_data_uris(page), F.concat("own_urls", "link_urls")))
+    found = found.withColumn("urls", F.array_distinct(F.concat("own_urls", "link_urls", "header_urls", "base64_urls", "data_uri_urls")))
+    hosts = F.array_distinct(F.filter(F.transform("urls", lambda u: D.normalize_host(D.url_host(u))), lambda h: h.isNotNull() & (h != "")))
+    found = found.withColumns({"hosts": hosts, "redirects": F.filter(F.transform("urls", open_redirect), lambda r: r.isNotNull())})
+    return found.withColumn("idn_hosts", decode_hosts_udf(F.filter(F.array_append("hosts", F.coalesce("from_domain", F.lit(""))), lambda h: h.contains("xn--"))))
+
+
 def detect(messages: DataFrame, names: list[str] | None = None) -> DataFrame:
     """(message_id, symbol, multiplier, options): all detectors in one projection over one scan, then one explode."""
+    messages = with_urls(messages)
     fired = []
     for n in execution_order(names):
         d = REGISTRY[n]
@@ -143,7 +160,11 @@ def lookalike_reason(host: Column) -> Column:
 
 def idn_homograph(host: Column) -> Column:
     """struct(label, brand) of an xn-- host whose letters mix Latin with Cyrillic or Greek and spell a brand."""
-    decoded = decode_host_udf(D.normalize_host(host))
+    return decoded_homograph(decode_host_udf(D.normalize_host(host)))
+
+
+def decoded_homograph(decoded: Column) -> Column:
+    """idn_homograph of a host that is decoded already."""
     mixed = decoded.rlike(f"[{R.LATIN}]") & decoded.rlike(f"[{R.CYRILLIC}{R.GREEK}]")
     parts = F.flatten(F.transform(F.transform(D.host_labels(decoded), D.skeleton), D.components))
     hit = D.first_match(parts, lambda p, b: p == b)
@@ -231,14 +252,23 @@ def empty_image(html_bytes: Column, width: Column, height: Column, linked: Colum
 # --- registered symbols over the messages table -----------------------------------------------------------------------
 
 
-@detector("HEADER_URL_EXTRACTION", "url", priority=9, options=lambda: F.array(F.concat(F.lit("count="), F.size(X.header_urls(F.col("list_unsubscribe"))).cast("string"))))
+def _counted(column: str) -> Callable[[], Column]:
+    return lambda: F.array(F.concat(F.lit("count="), F.size(column).cast("string")))
+
+
+@detector("HEADER_URL_EXTRACTION", "url", priority=9, options=_counted("header_urls"))
 def _header() -> Column:
-    return F.size(X.header_urls(F.col("list_unsubscribe"))) > 0
+    return F.size("header_urls") > 0
 
 
-@detector("BASE64_URL_EXTRACTION", "url", priority=9)
+@detector("BASE64_URL_EXTRACTION", "url", priority=9, options=_counted("base64_urls"))
 def _base64() -> Column:
-    return F.size(X.base64_urls(F.coalesce("html", F.lit("")))) > 0
+    return F.size("base64_urls") > 0
+
+
+@detector("DATA_URI_URL_EXTRACTION", "url", priority=9, options=_counted("data_uri_urls"))
+def _data_uri() -> Column:
+    return F.size("data_uri_urls") > 0
 
 
 @detector("BEC_PATTERN", "bec")
@@ -248,15 +278,21 @@ def _bec() -> Column:
 
 @detector("TEXT_SOCIAL_ENGINEERING", "social_engineering", phase="normal")
 def _social() -> Column:
-    return social_engineering(F.col("text"), F.col("plain_only"), F.size("urls") > 0, F.col("from_domain"), F.col("rcpt_domains"))
+    links = (F.size("own_urls") > 0) | F.coalesce(F.col("text").rlike(r"(?i)\b(mailto|tel):[^\s]"), F.lit(False))
+    return social_engineering(F.col("text"), F.col("plain_only"), links, F.col("from_domain"), F.col("rcpt_domains"))
 
 
 @detector("FROM_DISPLAY_IMPERSONATION", "headers")
 def _display() -> Column:
-    return impersonates(F.col("from_name"), F.col("from_domain"))
+    return F.exists("from_all", lambda m: impersonates(m["name"], m["domain"]))
+
+
+_EXTRACTORS = ("HEADER_URL_EXTRACTION", "BASE64_URL_EXTRACTION", "DATA_URI_URL_EXTRACTION")
 
 
-_EXTRACTORS = ("HEADER_URL_EXTRACTION", "BASE64_URL_EXTRACTION")
+def _evidence(symbol: str) -> Column:
+    """A redirect whose target gives evidence for another symbol fires that one too."""
+    return F.exists("redirects", lambda r: F.coalesce(r["found"]["evidence"] == symbol, F.lit(False)))
 
 
 def _any_url(test: Callable[[Column], Column]) -> Column:
@@ -265,12 +301,13 @@ def _any_url(test: Callable[[Column], Column]) -> Column:
 
 @detector("PHISH_URL_HEURISTIC", "url", after=_EXTRACTORS)
 def _phish() -> Column:
-    return _any_url(lambda u: phish_reason(D.url_host(u), D.url_path(u)).isNotNull())
+    return _any_url(lambda u: phish_reason(D.url_host(u), D.url_path(u)).isNotNull()) | _evidence("PHISH_URL_HEURISTIC")
 
 
 @detector("LOOKALIKE_DOMAIN", "url", after=_EXTRACTORS)
 def _lookalike() -> Column:
-    return _any_url(lambda u: lookalike_reason(D.url_host(u)).isNotNull()) | lookalike_reason(F.col("from_domain")).isNotNull() | reply_distance(F.col("from_domain"), F.col("reply_domain")).isNotNull()
+    idn = F.exists("idn_hosts", lambda h: decoded_homograph(h).isNotNull())
+    return idn | F.exists("hosts", lambda h: lookalike_reason(h).isNotNull()) | _evidence("LOOKALIKE_DOMAIN") | lookalike_reason(F.col("from_domain")).isNotNull() | reply_distance(F.col("from_domain"), F.col("reply_domain")).isNotNull()
 
 
 @detector("HTML_LINK_MISMATCH", "url", phase="normal")
@@ -280,7 +317,7 @@ def _mismatch() -> Column:
 
 @detector("OPEN_REDIRECT", "url", phase="normal", after=_EXTRACTORS)
 def _redirect() -> Column:
-    return _any_url(lambda u: open_redirect(u).isNotNull())
+    return F.size("redirects") > 0
 
 
 @detector("OBFUSCATED_SPAM", "multimap")

@@ -78,16 +78,27 @@ def http_href(href: Column) -> Column:
     return F.when(F.lower(h).rlike("^https?://"), h)
 
 
-ANCHOR = r"<a [^>]*href=\"([^\"]*)\"[^>]*>([^<]*(?:<[^/a][^>]*>[^<]*)*)"
+ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a\s*>"""
 
 
 def anchors(page: Column) -> Column:
-    """ARRAY<STRUCT<href, text>> of <a href="..."> links with text; tags inside a link are dropped."""
-    hrefs = F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(1))
-    texts = F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(2))
+    """ARRAY<STRUCT<href, text>> of links, in any letter case and quoting, with their text; tags inside a link are dropped."""
+    hrefs = F.transform(F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
+    texts = F.transform(F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(2)), T.strip_tags)
     return F.zip_with(hrefs, texts, lambda h, t: F.struct(h.alias("href"), t.alias("text")))
 
 
+def hrefs(page: Column) -> Column:
+    """Targets of a page's links that lead to http(s), entities decoded, each once."""
+    return F.array_distinct(F.filter(F.transform(anchors(page), lambda a: http_href(a["href"])), lambda h: h.isNotNull()))
+
+
+def page_data_uris(page: Column) -> Column:
+    """Data URIs in the attributes of a page's tags that may navigate."""
+    found = F.regexp_extract_all(page, F.lit(r"""(?is)\s(?:href|src|action|formaction|data|srcdoc|poster|content)\s*=\s*["']?(data:[^"'\s>]*)"""), F.lit(1))
+    return F.array_distinct(found)
+
+
 def redirect_targets(url: Column) -> Column:
     """ARRAY<STRUCT<parameter, target>>: URLs inside a URL's query, under a redirect parameter or behind a redirect path."""
     last = F.regexp_extract(F.regexp_replace(F.lower(D.url_path(url)), "/+$", ""), "/([^/]+)$", 1)

@@ -44,4 +44,5 @@ def policy(mode: str, act: Column, score_col: Column, fired: Column) -> Column:
 
 def verdicts(symbols: DataFrame, registry: DataFrame, profile: str = "outbound", mode: str = "shadow") -> DataFrame:
     s = score(symbols, registry)
-    return s.withColumn("action", action(F.col("score"), profile)).withColumn("policy_action", policy(mode, F.col("action"), F.col("score"), F.col("fired")))
+    sure = F.array_contains("fired", "GTUBE")  # the test text is refused whatever its score
+    return s.withColumn("action", F.when(sure, "reject").otherwise(action(F.col("score"), profile))).withColumn("policy_action", policy(mode, F.col("action"), F.col("score"), F.col("fired")))

@@ -227,10 +227,16 @@ def idn_mixed_script(spark, sf):
     return run(spark, sf, _IDN).where(F.col("host").rlike(detect.MIXED_LABEL)).select("id", "host")
 
 
-_ANCHOR = r"<a [^>]*href=\"([^\"]*)\"[^>]*>([^<]*(?:<[^/a][^>]*>[^<]*)*)".replace('\\"', '"')
+#: Links read another way than the engine does: start tags are cut out of the text up to their end tags first.
+_OPEN = r"<[aA]\s[^>]*>"
+_HREF = r"""\s[hH][rR][eE][fF]\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
 
 
-@query(f"SELECT page_id, len(regexp_extract_all(html, {lit(_ANCHOR)}, 1)) AS n_links, array_to_string(regexp_extract_all(html, {lit(_ANCHOR)}, 1), '|') AS hrefs FROM pages")
+@query(
+    rf"""WITH t AS (SELECT page_id, list_filter(string_split(regexp_replace(coalesce(html, ''), '</[aA]\s*>', chr(1), 'g'), chr(1))[:-2], lambda x: regexp_matches(x, {lit(_OPEN)})) AS parts FROM pages),
+h AS (SELECT page_id, list_filter(list_transform(parts, lambda x: trim(regexp_extract(regexp_extract(x, {lit(_OPEN)}), {lit(_HREF)}, 1), '"' || chr(39))), lambda h: h <> '') AS hs FROM t)
+SELECT page_id, len(hs) AS n_links, array_to_string(hs, '|') AS hrefs FROM h"""
+)
 def html_anchors(spark, sf):
     a = extract.anchors(F.col("html"))
     return table(spark, sf, "pages").select("page_id", F.size(a).cast("long").alias("n_links"), F.array_join(F.transform(a, lambda x: x["href"]), "|").alias("hrefs"))

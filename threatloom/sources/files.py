@@ -120,9 +120,14 @@ def publish(df: DataFrame, base: str) -> str:
     out = fs.create(tmp, True)
     out.write(bytearray(version.encode()))
     out.close()
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/CURRENT")
-    fs.delete(target, False)
-    fs.rename(tmp, target)
+    # one step, so that a reader finds the old pointer or the new one
+    hadoop, jvm = "org.apache.hadoop.fs.", spark._jvm
+    overwrite = jvm.java.lang.Enum.valueOf(jvm.java.lang.Class.forName(hadoop + "Options$Rename"), "OVERWRITE")
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = overwrite
+    here = fs.makeQualified(tmp)
+    there = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{base}/CURRENT"))
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(here.toUri(), spark._jsc.hadoopConfiguration()).rename(here, there, options)
     return version
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from email import policy
+from email.errors import HeaderParseError
+from email.header import decode_header, make_header
 from email.parser import BytesParser
 from email.utils import getaddresses
 
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from threatloom.runtime import ship
 
 MESSAGE = (
-    "message_id string, subject string, date string, from_name string, from_domain string, reply_domain string, rcpt_domains array<string>,"
+    "message_id string, subject string, date string, from_name string, from_domain string, from_all array<struct<name string, domain string>>, reply_domain string, rcpt_domains array<string>,"
     " list_unsubscribe string, text string, html string, raw_text string, plain_only boolean, urls array<string>,"
     " parts array<struct<mime string, length bigint, width int, height int, multipart boolean, filename string, content binary>>"
 )
@@ -29,13 +31,23 @@ def _domain(pairs: list[tuple[str, str]]) -> str | None:
     return None
 
 
+def _decoded(value: str) -> str:
+    """A header value with its RFC 2047 words decoded; as it is where they are malformed."""
+    try:
+        return str(make_header(decode_header(value)))
+    except (HeaderParseError, LookupError, UnicodeError, ValueError):
+        return value
+
+
 def parse_message(name: str, raw: bytes, known_tld_only: bool = True) -> dict:
     """One mail as a row of MESSAGE. Malformed input never fails: what can't be read is null or empty."""
-    out: dict = {"message_id": name, "parts": [], "urls": [], "rcpt_domains": [], "plain_only": False}
+    out: dict = {"message_id": name, "parts": [], "urls": [], "from_all": [], "rcpt_domains": [], "plain_only": False}
     try:
         m = BytesParser(policy=policy.compat32).parsebytes(raw or b"")
         head = lambda k: None if m[k] is None else str(m[k])
-        sender = getaddresses([head("From") or ""])
+        # mailboxes are told apart before their names are decoded, since a decoded name may hold commas
+        sender = [(_decoded(n), a) for n, a in getaddresses([head("From") or ""])]
+        subject = None if head("Subject") is None else _decoded(head("Subject"))
         bodies, pages, plain, texts = [], [], True, 0
         for part in m.walk():
             kind, multi = part.get_content_type(), part.is_multipart()
@@ -59,9 +71,10 @@ def parse_message(name: str, raw: bytes, known_tld_only: bool = True) -> dict:
                 links.append(u.rstrip("])}>,;.!?"))
         lower = lambda s: s.translate({k: k + 32 for k in range(65, 91)})
         out |= {
-            "subject": head("Subject"), "date": head("Date"), "from_name": sender[0][0] if sender else None, "from_domain": _domain(sender),
+            "subject": subject, "date": head("Date"), "from_name": sender[0][0] if sender else None, "from_domain": _domain(sender),
+            "from_all": [{"name": n, "domain": _domain([(n, a)])} for n, a in sender],
             "reply_domain": _domain(getaddresses([head("Reply-To") or ""])), "rcpt_domains": [d for a in getaddresses([head("To") or ""]) if (d := _domain([a]))],
-            "list_unsubscribe": head("List-Unsubscribe"), "text": lower("\n".join([head("Subject") or "", *bodies])), "html": "\n".join(pages),
+            "list_unsubscribe": head("List-Unsubscribe"), "text": lower("\n".join([subject or "", *bodies])), "html": "\n".join(pages),
             "raw_text": raw.decode("utf-8", "replace"), "plain_only": plain and texts > 0, "urls": list(dict.fromkeys(links)),
         }
     except Exception:  # a mail that can't be parsed is a mail without content
@@ -74,7 +87,7 @@ def parse_messages(files: DataFrame, known_tld_only: bool = True) -> DataFrame:
     import pandas as pd
 
     ship(files.sparkSession)
-    names = [x.split()[0] for x in ("message_id subject date from_name from_domain reply_domain rcpt_domains list_unsubscribe text html raw_text plain_only urls parts").split()]
+    names = [x.split()[0] for x in ("message_id subject date from_name from_domain from_all reply_domain rcpt_domains list_unsubscribe text html raw_text plain_only urls parts").split()]
 
     def parse(batches):
         for pdf in batches:
