@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threatloom.functions import refdata as R
-from threatloom.operators import extract
+from threatloom.operators import detect, extract, maps
 from threatloom.plans.scan import scan
 from threatloom.sources.mime import MESSAGE, parse_message
 
@@ -21,6 +21,7 @@ MAIL = {
     "span": (PAGE + b'<a\nhref="https://evil.net"><span>Go to</span> paypal.com</a>', {"HTML_LINK_MISMATCH"}, "add_header"),
     "data": (PAGE + b'<a href="data:text/html,%3Ca%20href=http://login.paypal.evil.net/%3E">x</a>', {"DATA_URI_URL_EXTRACTION", "PHISH_URL_HEURISTIC"}, "no_action"),
     "relative": (PAGE + b"<a class=x href=//paypal.evil.net/>x</a>", {"PHISH_URL_HEURISTIC"}, "no_action"),
+    "virus": (HEAD + b"\n" + R.EICAR.encode(), {"CLAM_VIRUS"}, "no_action"),
     "undated": (b"From: a@b.com\n\nhello", {"MISSING_DATE"}, "no_action"),
     "quiet": (HEAD + b"\nhello there", None, None),
 }
@@ -49,3 +50,19 @@ def test_anchors_equal_a_parser(spark, page):
     p.feed(page)
     row = spark.range(1).select(extract.anchors(F.lit(page)).alias("a")).first()
     assert [x.href for x in row.a] == p.hrefs
+
+
+def test_bad_extensions_and_user_rules(spark):
+    raw = HEAD + b"Content-Type: multipart/mixed; boundary=x\n\n--x\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename=a.scr\n\nMZ\n--x--\n"
+    detect.user_rule("SHORT_TEXT", "length(text) < 40", 1.5)
+    try:
+        rows = detect.detect(spark.createDataFrame([parse_message("m", raw)], MESSAGE), ["SHORT_TEXT", "MIME_BAD_EXTENSION"]).collect()
+    finally:
+        del detect.REGISTRY["SHORT_TEXT"]
+    assert {r.symbol: r.options for r in rows} == {"SHORT_TEXT": [], "MIME_BAD_EXTENSION": ["a.scr"]}
+
+
+def test_listed_hosts(spark):
+    hosts = spark.createDataFrame([("m", "a.de"), ("m", "b.de"), ("n", "c.de")], "message_id string, host string")
+    zones = spark.createDataFrame([("a.de", "z1"), ("a.de", "z2"), ("b.de", "z1")], "host string, zone string")
+    assert [(r.message_id, r.symbol, r.options) for r in maps.listed_hosts(hosts, zones, "URL_LISTED").collect()] == [("m", "URL_LISTED", ["z1", "z2"])]

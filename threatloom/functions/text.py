@@ -75,3 +75,12 @@ def clean_ocr_text(c: Column, limit: int = 8192) -> Column:
 def action_name(c: Column) -> Column:
     """'add header', 'Add-Header' and the like as add_header."""
     return F.regexp_replace(F.lower(F.trim(c)), r"[\s-]+", "_")
+
+
+def percent_text(share: Column) -> Column:
+    """A share in percent with two decimals, as reports print it."""
+    return F.format_string("%.2f%%", share.cast("double") * 100)
+
+
+def millis_text(ms: Column) -> Column:
+    return F.format_string("%.1fms", ms.cast("double"))

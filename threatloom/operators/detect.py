@@ -343,3 +343,19 @@ def _date() -> Column:
 @detector("GTUBE", "test")
 def _gtube() -> Column:
     return F.contains(F.col("raw_text"), F.lit(R.GTUBE))
+
+
+@detector("CLAM_VIRUS", "antivirus")
+def _virus() -> Column:
+    holds = lambda c: F.coalesce(F.contains(c, F.lit(R.EICAR)), F.lit(False))
+    return holds(F.col("raw_text")) | F.coalesce(F.exists("parts", lambda p: holds(F.decode(p["content"], "ISO-8859-1"))), F.lit(False))
+
+
+@detector("MIME_BAD_EXTENSION", "mime", options=lambda: F.filter(F.transform("parts", lambda p: p["filename"]), lambda f: bad_extension(f).isNotNull()))
+def _extension() -> Column:
+    return F.exists("parts", lambda p: bad_extension(p["filename"]).isNotNull())
+
+
+def user_rule(name: str, condition: str, score: float, group: str = "user") -> None:
+    """Register a rule whose condition is given as SQL text over the messages' columns, by configuration."""
+    REGISTRY[name] = Detector(name, score, group, "normal", lambda: F.expr(condition), None, [n for n in _EXTRACTORS])

@@ -177,3 +177,9 @@ def attachment_scan(parts: DataFrame, known: DataFrame, ocr=lambda c: c.cast("st
     read = ocr_attachments(parts).withColumn("_text", F.substring(T.clean_ocr_text(ocr(F.col("content"))), 1, R.OCR_TEXT_MAX))
     urls = read.groupBy("message_id").agg(F.count("*").alias("attachments"), F.array_distinct(F.flatten(F.collect_list(text_urls(F.coalesce("_text", F.lit("")), r"[\])}>,;.!?]+$")))).alias("found"))
     return urls.join(known.select("message_id", "urls"), "message_id", "left").select("message_id", "attachments", F.array_sort(F.array_except("found", F.coalesce("urls", F.array().cast("array<string>")))).alias("new_urls"))
+
+
+def training_text(url: Column, template: str) -> Column:
+    """A training message about a URL: the template with every {url} replaced."""
+    parts = [F.lit(p) for p in template.split("{url}")]
+    return F.concat(*(x for k, p in enumerate(parts) for x in ((url, p) if k else (p,))))

@@ -111,3 +111,10 @@ def gate_report(decisions: DataFrame, receptions: int | None, canary_ok: bool, s
     out = out.withColumns(gates)
     # a detection-quality gate outside this report must also be met, so it never says ready by itself
     return out.withColumn("operational_gates_passed", F.col("gate_canary") & F.col("gate_coverage") & F.col("gate_latency") & F.col("gate_samples") & F.col("gate_days")).withColumn("ready_for_next_phase", F.lit(False))
+
+
+def canary_totals(checks: DataFrame, *by: str) -> DataFrame:
+    """checks (ok boolean, null counts as failed) -> passed, failed and exit_status (0: all passed), per group if any."""
+    ok = F.coalesce("ok", F.lit(False))
+    out = checks.groupBy(*by).agg(F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
+    return out.withColumn("exit_status", F.when(F.col("failed") == 0, 0).otherwise(1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,20 @@ def confusion(judged: DataFrame) -> DataFrame:
         F.count_if(attack & flagged).alias("caught"), F.count_if(attack & ~flagged).alias("evaded"),
         F.count_if(~attack & flagged).alias("false_positives"), F.count_if(F.col("outcome") == "warning").alias("warnings"),
     )
+
+
+TRAINING_CAP = 25
+
+
+def training_sample(messages: DataFrame, label: str, name: str, cap: int = TRAINING_CAP) -> DataFrame:
+    """The first messages of each class in byte order of their names; a class's candidates are cut per task first."""
+    here = Window.partitionBy(label, "_threatloom_part").orderBy(F.encode(name, "UTF-8"))
+    all_ = Window.partitionBy(label).orderBy(F.encode(name, "UTF-8"))
+    own = messages.withColumn("_threatloom_part", F.pmod(F.xxhash64(name), F.lit(64)))
+    few = own.withColumn("_threatloom_n", F.row_number().over(here)).where(F.col("_threatloom_n") <= cap)
+    return few.withColumn("_threatloom_n", F.row_number().over(all_)).where(F.col("_threatloom_n") <= cap).drop("_threatloom_n", "_threatloom_part")
+
+
+def profile_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two profiles holds, with side 'first' or 'second'; none if the profiles are equal."""
+    return a.exceptAll(b).withColumn("side", F.lit("first")).unionByName(b.exceptAll(a).withColumn("side", F.lit("second")))

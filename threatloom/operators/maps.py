@@ -38,3 +38,15 @@ def map_symbols(urls: DataFrame, senders: DataFrame, blocklist: DataFrame, short
 def matching(rows: DataFrame, column: str, patterns: list[str], ignore_case: bool = True) -> DataFrame:
     """Rows that any pattern of a list matches: one alternation, compiled once."""
     return rows.where(F.col(column).rlike(("(?i)" if ignore_case else "") + "(" + "|".join(patterns) + ")")) if patterns else rows.limit(0)
+
+
+def phished(urls: DataFrame, feed: DataFrame) -> DataFrame:
+    """(message_id, symbol, multiplier, options) of messages with a URL (message_id, url) of the phishing feed (url)."""
+    hit = urls.join(small_or_dealt(feed.select("url").distinct()), "url", "left_semi")
+    return hit.groupBy("message_id").agg(F.lit("PHISHED_OPENPHISH").alias("symbol"), F.lit(1.0).alias("multiplier"), F.array_sort(F.collect_set("url")).alias("options"))
+
+
+def listed_hosts(hosts: DataFrame, zones: DataFrame, symbol: str) -> DataFrame:
+    """Reputation zones as a dimension instead of look-ups by name: (message_id, host) against (host, zone)."""
+    hit = hosts.join(small_or_dealt(zones.select("host", "zone").distinct()), "host")
+    return hit.groupBy("message_id").agg(F.lit(symbol).alias("symbol"), F.lit(1.0).alias("multiplier"), F.array_sort(F.collect_set("zone")).alias("options"))

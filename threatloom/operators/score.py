@@ -46,3 +46,8 @@ def verdicts(symbols: DataFrame, registry: DataFrame, profile: str = "outbound",
     s = score(symbols, registry)
     sure = F.array_contains("fired", "GTUBE")  # the test text is refused whatever its score
     return s.withColumn("action", F.when(sure, "reject").otherwise(action(F.col("score"), profile))).withColumn("policy_action", policy(mode, F.col("action"), F.col("score"), F.col("fired")))
+
+
+def positive_below_reject(score_col: Column, reject: float = 15.0) -> Column:
+    """A score that counts against a message without refusing it; null is no score."""
+    return F.coalesce((score_col > 0) & (score_col < reject), F.lit(False))

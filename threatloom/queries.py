@@ -626,3 +626,53 @@ def url_verdicts(spark, sf):
     symbols = m.select("message_id", F.explode(fired).alias("symbol"), F.lit(1.0).alias("multiplier"))
     s = m.select("message_id").join(score.score(symbols, score.weights(spark)), "message_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return s.groupBy(score.action(F.col("score"), "outbound").alias("action")).agg(F.count("*").alias("messages"), F.round(F.max("score"), 4).alias("top_score"))
+
+
+# --- reports, training and profiles
+
+
+@query("SELECT o_orderkey, o_totalprice / 10000 - 5 > 0 AND o_totalprice / 10000 - 5 < 15 AS pass FROM orders")
+def positive_below_reject(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", score.positive_below_reject(F.col("o_totalprice") / 10000 - 5).alias("pass"))
+
+
+@query(
+    "SELECT event_type, count(*) FILTER (WHERE event_id % 97 <> 0) AS passed, count(*) FILTER (WHERE event_id % 97 = 0) AS failed, CASE WHEN count(*) FILTER (WHERE event_id % 97 = 0) = 0 THEN 0 ELSE 1 END AS exit_status FROM events GROUP BY 1"
+)
+def canary_totals(spark, sf):
+    return gates.canary_totals(table(spark, sf, "events").select("event_type", (F.col("event_id") % 97 != 0).alias("ok")), "event_type")
+
+
+@query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY encode(doc_id::VARCHAR || '.eml')) AS n FROM documents) WHERE n <= 25")
+def training_sample(spark, sf):
+    named = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".eml")).alias("name"))
+    return golden.training_sample(named, "source", "name").select("source", "doc_id")
+
+
+@query(
+    """WITH a AS (SELECT DISTINCT o_custkey % 50 AS symbol FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey % 50 + 3 AS symbol FROM orders WHERE o_orderkey % 2 = 1)
+SELECT symbol, 'first' AS side FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT symbol, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"""
+)
+def profile_difference(spark, sf):
+    o = table(spark, sf, "orders")
+    a, b = (o.where(F.col("o_orderkey") % 2 == k).select((F.col("o_custkey") % 50 + 3 * k).alias("symbol")).distinct() for k in (0, 1))
+    return golden.profile_difference(a, b)
+
+
+@query("SELECT event_id, printf('%.2f%%', (event_id * 37 % 10007) / 100.0) AS share, printf('%.1fms', (event_id % 5003) / 10.0) AS latency FROM events")
+def report_numbers(spark, sf):
+    return table(spark, sf, "events").select(
+        "event_id", T.percent_text((F.col("event_id") * 37 % 10007) / 10000.0).alias("share"), T.millis_text((F.col("event_id") % 5003) / 10.0).alias("latency")
+    )
+
+
+@query("SELECT page_id, 'Subject: notice' || chr(10) || chr(10) || 'Open ' || url || ' now; again: ' || url AS body FROM pages")
+def training_messages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", extract.training_text(F.col("url"), "Subject: notice\n\nOpen {url} now; again: {url}").alias("body"))
+
+
+@query("SELECT page_id AS message_id, 'PHISHED_OPENPHISH' AS symbol, url FROM pages WHERE url IN (SELECT url FROM pages WHERE page_id % 13 = 0)")
+def phished_urls(spark, sf):
+    p = table(spark, sf, "pages")
+    hits = maps.phished(p.select(F.col("page_id").alias("message_id"), "url"), p.where(F.col("page_id") % 13 == 0).select("url"))
+    return hits.select("message_id", "symbol", F.col("options")[0].alias("url"))
