@@ -111,6 +111,7 @@ def test_entries_survive_packing():
     e = media.entries([7, -(2**63), 9, 10], feats)
     back = media.unpacked(media.packed(e))
     assert len(e) and not e["extra"].any() and all((back[c] == e[c]).all() for c in ("id", *media.TRAVELS))
+    assert not len(media.entries([1], feats[3:])) and not list(media.hits_of(e[:0]))
 
 
 def test_long_lists_of_equal_descriptors(spark, monkeypatch):
