@@ -17,7 +17,10 @@ from threatloom.operators import extract as X
 
 @dataclass
 class Detector:
-    """A symbol: test gives a Column (null or false: silent), options what it reports; `after` names earlier symbols."""
+    """A symbol: test gives a Column (null or false: silent), options what it reports; `after` names earlier symbols.
+
+    A virtual symbol has a `parent`: it reads what the parent found and comes with it.
+    """
 
     name: str
     score: float
@@ -27,16 +30,17 @@ class Detector:
     options: Callable[[], Column] | None = None
     after: list[str] = field(default_factory=list)
     priority: int = 0
+    parent: str | None = None
 
 
 REGISTRY: dict[str, Detector] = {}
 
 
-def detector(name: str, group: str, phase: str = "prefilter", after: tuple[str, ...] = (), priority: int = 0, options=None):
+def detector(name: str, group: str, phase: str = "prefilter", after: tuple[str, ...] = (), priority: int = 0, options=None, parent: str | None = None):
     """Register a function that returns a Column as the detector `name`; its weight comes from the reference values."""
 
     def add(test: Callable[[], Column]) -> Callable[[], Column]:
-        REGISTRY[name] = Detector(name, R.WEIGHTS.get(name, 0.0), group, phase, test, options, list(after), priority)
+        REGISTRY[name] = Detector(name, R.WEIGHTS.get(name, 0.0), group, phase, test, options, [*after, *([parent] if parent else [])], priority, parent)
         return test
 
     return add
@@ -44,7 +48,9 @@ def detector(name: str, group: str, phase: str = "prefilter", after: tuple[str,
 
 def execution_order(names: list[str] | None = None) -> list[str]:
     """Prefilters before normal rules, higher priority first, and every detector after those it depends on."""
-    todo = sorted(names or REGISTRY, key=lambda n: (REGISTRY[n].phase != "prefilter", -REGISTRY[n].priority, n))
+    wanted = set(names or REGISTRY)
+    wanted |= {n for n, d in REGISTRY.items() if d.parent in wanted}
+    todo = sorted(wanted, key=lambda n: (REGISTRY[n].phase != "prefilter", -REGISTRY[n].priority, n))
     out: list[str] = []
 
     def visit(n: str, path: tuple[str, ...] = ()) -> None:
@@ -61,25 +67,46 @@ def execution_order(names: list[str] | None = None) -> list[str]:
     return out
 
 
-def with_urls(messages: DataFrame) -> DataFrame:
+def with_urls(messages: DataFrame, ocr: Callable[[Column], Column] | None = None) -> DataFrame:
     """messages with what the extractors find, each in a column, and ``urls`` of all of them: the mail's own, its links' and
     the injected ones, each once, so that URL detectors see them all; own_urls keeps the mail's own. A redirect's finding
-    and a decoded xn-- host are made once a message too."""
+    and a decoded xn-- host are made once a message too.
+
+    ocr reads pictures (ARRAY<BINARY> to ARRAY<STRING>, see extract.reader); without it no picture gives a text. A column
+    ``load`` holds the machine's load; where it is missing nothing is shed. Missing ``parts`` are no parts.
+    """
     page = F.coalesce("html", F.lit(""))
-    mine = F.coalesce("urls", F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
     if "from_all" not in messages.columns:
         messages = messages.withColumn("from_all", F.array(F.struct(F.col("from_name").alias("name"), F.col("from_domain").alias("domain"))))
-    found = messages.withColumns({"own_urls": mine, "link_urls": X.hrefs(page), "header_urls": X.header_urls(F.col("list_unsubscribe")), "base64_urls": X.base64_urls(F.concat_ws(" ", "text_raw", page) if "text_raw" in messages.columns else page)})
+    if "parts" not in messages.columns:
+        messages = messages.withColumn("parts", F.array().cast("array<struct<mime string, length bigint, width int, height int, multipart boolean, filename string, attached boolean, content binary>>"))
+    if "load" not in messages.columns:
+        messages = messages.withColumn("load", F.lit(0.0))
+    read = lambda images: F.transform(ocr(images), lambda t: F.substring(T.clean_ocr_text(t), 1, R.OCR_TEXT_MAX)) if ocr else none
+    pictures = X.image_attachments(F.col("parts"))
+    found = messages.withColumns({
+        "own_urls": F.coalesce("urls", none), "link_urls": X.hrefs(page), "header_urls": X.header_urls(F.col("list_unsubscribe")),
+        "base64_urls": X.base64_urls(F.concat_ws(" ", "text_raw", page) if "text_raw" in messages.columns else page),
+        "svg_urls": X.drawing_part_urls(X.part_contents(F.col("parts"), X.DRAWINGS)), "ical_urls": X.calendar_part_urls(X.part_contents(F.col("parts"), X.CALENDARS, X.MAX_PART)),
+        "ocr": ocr_selection(F.col("parts"), F.col("load")), "attachments": F.coalesce(F.size(pictures), F.lit(0)), "attachment_texts": read(pictures),
+    })
+    chosen = F.transform(ocr_eligible(F.col("parts")), lambda p: p["content"])
+    found = found.withColumn("ocr_text", F.nullif(F.array_join(read(F.when(F.col("ocr.reason") == "process", chosen)), "\n"), F.lit("")))
+    found = found.withColumn("scan_text", F.concat_ws("\n", "text", T.ascii_lower(F.col("ocr_text"))))
     found = found.withColumn("data_uri_urls", X.data_uri_urls(X.page_data_uris(page), F.concat("own_urls", "link_urls")))
-    found = found.withColumn("urls", F.array_distinct(F.concat("own_urls", "link_urls", "header_urls", "base64_urls", "data_uri_urls")))
+    injected = ("own_urls", "link_urls", "header_urls", "base64_urls", "data_uri_urls", "svg_urls", "ical_urls")
+    found = found.withColumn("urls", F.array_distinct(F.concat(*(F.coalesce(c, none) for c in injected))))
+    seen = F.flatten(F.transform("attachment_texts", lambda t: X.text_urls(F.coalesce(t, F.lit("")), r"[\])}>,;.!?]+$")))
+    found = found.withColumn("attachment_urls", F.array_except(seen, "urls")).withColumn("urls", F.concat("urls", "attachment_urls"))
     hosts = F.array_distinct(F.filter(F.transform("urls", lambda u: D.normalize_host(D.url_host(u))), lambda h: h.isNotNull() & (h != "")))
     found = found.withColumns({"hosts": hosts, "redirects": F.filter(F.transform("urls", open_redirect), lambda r: r.isNotNull())})
     return found.withColumn("idn_hosts", decode_hosts_udf(F.filter(F.array_append("hosts", F.coalesce("from_domain", F.lit(""))), lambda h: h.contains("xn--"))))
 
 
-def detect(messages: DataFrame, names: list[str] | None = None) -> DataFrame:
+def detect(messages: DataFrame, names: list[str] | None = None, ocr: Callable[[Column], Column] | None = None) -> DataFrame:
     """(message_id, symbol, multiplier, options): all detectors in one projection over one scan, then one explode."""
-    messages = with_urls(messages)
+    messages = with_urls(messages, ocr)
     fired = []
     for n in execution_order(names):
         d = REGISTRY[n]
@@ -223,6 +250,12 @@ def open_redirect(url: Column) -> Column:
 # --- parts ----------------------------------------------------------------------------------------------------------
 
 
+def ocr_eligible(parts: Column) -> Column:
+    """The first pictures that are worth reading: of a known type, neither tiny nor huge."""
+    pixels_ok = lambda p: p["width"].isNull() | p["height"].isNull() | (p["width"].cast("long") * p["height"] <= R.OCR_PIXELS)
+    return F.slice(F.filter(parts, lambda p: ~p["multipart"] & p["mime"].isin(R.OCR_TYPES) & p["length"].between(R.OCR_MIN, R.OCR_MAX) & pixels_ok(p)), 1, R.OCR_IMAGES)
+
+
 def ocr_selection(parts: Column, load: Column) -> Column:
     """struct(reason, image_bytes, total_bytes, eligible) over parts ARRAY<STRUCT<mime, length, width, height, multipart>>.
 
@@ -232,10 +265,9 @@ def ocr_selection(parts: Column, load: Column) -> Column:
     total = F.aggregate(leaves, F.lit(0).cast("long"), lambda a, p: a + p["length"])
     images = F.filter(leaves, lambda p: p["mime"].startswith("image/"))
     image_bytes = F.aggregate(images, F.lit(0).cast("long"), lambda a, p: a + p["length"])
-    pixels_ok = lambda p: p["width"].isNull() | p["height"].isNull() | (p["width"].cast("long") * p["height"] <= R.OCR_PIXELS)
-    good = F.slice(F.filter(images, lambda p: p["mime"].isin(R.OCR_TYPES) & p["length"].between(R.OCR_MIN, R.OCR_MAX) & pixels_ok(p)), 1, R.OCR_IMAGES)
-    reason = F.when(load >= R.OCR_LOAD, "overloaded").when(F.size(good) == 0, "no_eligible_images").when(~(image_bytes > R.OCR_RATIO * total), "image_ratio_below_threshold").otherwise("process")
-    return F.struct(reason.alias("reason"), image_bytes.alias("image_bytes"), total.alias("total_bytes"), F.size(good).alias("eligible"))
+    good = F.size(ocr_eligible(parts))
+    reason = F.when(load >= R.OCR_LOAD, "overloaded").when(good == 0, "no_eligible_images").when(~(image_bytes > R.OCR_RATIO * total), "image_ratio_below_threshold").otherwise("process")
+    return F.struct(reason.alias("reason"), image_bytes.alias("image_bytes"), total.alias("total_bytes"), good.alias("eligible"))
 
 
 def bad_extension(filename: Column) -> Column:
@@ -271,6 +303,61 @@ def _data_uri() -> Column:
     return F.size("data_uri_urls") > 0
 
 
+@detector("SVG_URL_EXTRACTION", "url", priority=9, options=lambda: F.col("svg_urls"))
+def _svg() -> Column:
+    return F.size("svg_urls") > 0
+
+
+@detector("ICAL_URL_EXTRACTION", "url", options=_counted("ical_urls"))
+def _ical() -> Column:
+    return F.size("ical_urls") > 0
+
+
+def _tried() -> Column:
+    return F.array(F.concat(F.lit("attachments="), F.col("attachments").cast("string")), F.concat(F.lit("urls="), F.size("attachment_urls").cast("string")))
+
+
+@detector("ATTACHMENT_OCR_SCAN", "url", options=_tried)
+def _attachments() -> Column:
+    """Fires for a try, whether anything was read or not."""
+    return F.col("attachments") > 0
+
+
+@detector("OCR_CHECK", "ocr")
+def _ocr_check() -> Column:
+    """Decides for its virtual symbols and never fires itself."""
+    return F.lit(False)
+
+
+def _pictured() -> Column:
+    """Options of a picture that was read: why, how many, and the pictures' share of the bytes."""
+    ratio = F.format_string("%.3f", F.col("ocr.image_bytes") / F.nullif(F.col("ocr.total_bytes"), F.lit(0)))
+    return F.array(F.lit("reason=process"), F.concat(F.lit("images="), F.col("ocr.eligible").cast("string")), F.concat(F.lit("ratio="), ratio))
+
+
+@detector("OCR_PROCESSED", "ocr", parent="OCR_CHECK", options=_pictured)
+def _ocr_processed() -> Column:
+    return F.col("ocr_text").isNotNull()
+
+
+@detector("OCR_SKIPPED", "ocr", parent="OCR_CHECK", options=lambda: F.array(F.when(F.col("ocr.reason") == "process", "no_text").when(F.col("ocr.reason") == "overloaded", "overloaded:load").otherwise(F.col("ocr.reason"))))
+def _ocr_skipped() -> Column:
+    return F.col("ocr_text").isNull()
+
+
+@detector("OCR_SPAM_TEXT", "ocr", parent="OCR_CHECK", options=lambda: F.array(F.concat(F.lit("pattern="), F.regexp_extract("ocr_text", OCR_SPAM, 1)), F.substring(T.squeeze(F.col("ocr_text")), 1, 160)))
+def _ocr_spam() -> Column:
+    return F.col("ocr_text").rlike(OCR_SPAM)
+
+
+@detector("R_EMPTY_IMAGE", "mime")
+def _empty_image() -> Column:
+    page = F.coalesce("html", F.lit(""))
+    linked = page.rlike(r"(?is)<a\s[^>]*>\s*<img\b")
+    big = F.exists("parts", lambda p: empty_image(F.octet_length(T.squeeze(T.strip_tags(page))), p["width"], p["height"], linked))
+    return page.rlike(r"(?i)<img\b") & big
+
+
 @detector("BEC_PATTERN", "bec")
 def _bec() -> Column:
     return bec(F.col("text"), F.col("from_domain"), F.col("reply_domain"))
@@ -287,7 +374,7 @@ def _display() -> Column:
     return F.exists("from_all", lambda m: impersonates(m["name"], m["domain"]))
 
 
-_EXTRACTORS = ("HEADER_URL_EXTRACTION", "BASE64_URL_EXTRACTION", "DATA_URI_URL_EXTRACTION")
+_EXTRACTORS = ("HEADER_URL_EXTRACTION", "BASE64_URL_EXTRACTION", "DATA_URI_URL_EXTRACTION", "SVG_URL_EXTRACTION", "ICAL_URL_EXTRACTION", "ATTACHMENT_OCR_SCAN")
 
 
 def _evidence(symbol: str) -> Column:
@@ -322,7 +409,7 @@ def _redirect() -> Column:
 
 @detector("OBFUSCATED_SPAM", "multimap")
 def _obfuscated() -> Column:
-    return F.col("text").rlike(OBFUSCATED)
+    return F.col("scan_text").rlike(OBFUSCATED)
 
 
 @detector("IP_URL_SUSPICIOUS", "multimap")

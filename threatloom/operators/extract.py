@@ -163,6 +163,59 @@ def svg_urls(content: pd.Series) -> pd.Series:
     return content.map(svg_links)
 
 
+CALENDARS, DRAWINGS = ["text/calendar", "application/calendar"], ["image/svg+xml"]
+
+
+def part_contents(parts: Column, kinds: list[str], most: int | None = None) -> Column:
+    """ARRAY<BINARY>: the contents of a message's parts of some types, at most `most` bytes each."""
+    fits = lambda p: F.lit(True) if most is None else F.octet_length(p["content"]) <= most
+    return F.transform(F.filter(parts, lambda p: F.lower(p["mime"]).isin(kinds) & p["content"].isNotNull() & fits(p)), lambda p: p["content"])
+
+
+def _each(contents: pd.Series, read) -> pd.Series:
+    """Links of all parts of a message, first seen first, each once."""
+    return contents.map(lambda cs: [] if cs is None else list(dict.fromkeys(u for c in cs for u in read(bytes(c).decode("utf-8", "replace")))))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def calendar_part_urls(contents: pd.Series) -> pd.Series:
+    return _each(contents, ical_links).map(lambda us: us[:MAX_URLS])
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def drawing_part_urls(contents: pd.Series) -> pd.Series:
+    return _each(contents, svg_links)
+
+
+def image_attachments(parts: Column) -> Column:
+    """ARRAY<BINARY>: attached PNG, JPEG and GIF images of at most 1 MiB."""
+    wanted = lambda p: p["attached"] & F.lower(p["mime"]).isin(R.ATTACHMENT_OCR_TYPES) & p["length"].between(0, R.ATTACHMENT_OCR_MAX)
+    return F.transform(F.filter(parts, wanted), lambda p: p["content"])
+
+
+def reader(read, seconds: float = 0.4):
+    """A function of bytes to text as a function of Columns, ARRAY<BINARY> to ARRAY<STRING>; what fails or takes longer
+    than `seconds` gives null, and the scan goes on."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def apply(images: pd.Series) -> pd.Series:
+        from concurrent.futures import ThreadPoolExecutor
+
+        pool = ThreadPoolExecutor(8)
+
+        def one(image) -> str | None:
+            try:
+                return pool.submit(read, bytes(image)).result(seconds)
+            except Exception:  # whatever a reader raises, the message is scanned without its text
+                return None
+
+        out = images.map(lambda xs: [] if xs is None else [None if x is None else one(x) for x in xs])
+        pool.shutdown(wait=False, cancel_futures=True)
+        return out
+
+    return apply
+
+
 def ocr_attachments(parts: DataFrame) -> DataFrame:
     """Attachments that are worth reading: small PNG, JPEG or GIF; the filter stands before any content is touched."""
     kind = F.concat_ws("/", F.lower("main_type"), F.lower("subtype"))

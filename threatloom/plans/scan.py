@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from threatloom.operators import detect, score
 from threatloom.sources.mime import parse_messages
 
 
-def scan(messages: DataFrame, profile: str = "outbound", mode: str = "shadow", extra_symbols: DataFrame | None = None, candidates: bool = False) -> DataFrame:
-    """Verdicts of parsed messages; extra_symbols adds map hits or classifier results (message_id, symbol, multiplier, options)."""
-    symbols = detect.detect(messages)
+def scan(messages: DataFrame, profile: str = "outbound", mode: str = "shadow", extra_symbols: DataFrame | None = None, candidates: bool = False, ocr: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Verdicts of parsed messages; extra_symbols adds map hits or classifier results (message_id, symbol, multiplier, options).
+    ocr reads pictures, see extract.reader."""
+    symbols = detect.detect(messages, ocr=ocr)
     if extra_symbols is not None:
         symbols = symbols.unionByName(extra_symbols)
     return score.verdicts(symbols, score.weights(messages.sparkSession, candidates), profile, mode)

@@ -16,7 +16,7 @@ from threatloom.runtime import ship
 MESSAGE = (
     "message_id string, subject string, date string, from_name string, from_domain string, from_all array<struct<name string, domain string>>, reply_domain string, rcpt_domains array<string>,"
     " list_unsubscribe string, text string, html string, raw_text string, plain_only boolean, urls array<string>,"
-    " parts array<struct<mime string, length bigint, width int, height int, multipart boolean, filename string, content binary>>"
+    " parts array<struct<mime string, length bigint, width int, height int, multipart boolean, filename string, attached boolean, content binary>>"
 )
 _URL = re.compile(r"https?://[^\s<>\"']+", re.I)
 _HREF = re.compile(r"href\s*=\s*[\"']?(https?://[^\"'\s>]+)", re.I)
@@ -31,6 +31,15 @@ def _domain(pairs: list[tuple[str, str]]) -> str | None:
     return None
 
 
+def picture_size(data: bytes) -> tuple[int, int] | tuple[None, None]:
+    """Width and height from the head of a PNG or GIF; (None, None) for anything else."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return int.from_bytes(data[16:20]) & 0x7FFFFFFF, int.from_bytes(data[20:24]) & 0x7FFFFFFF
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        return int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    return None, None
+
+
 def _decoded(value: str) -> str:
     """A header value with its RFC 2047 words decoded; as it is where they are malformed."""
     try:
@@ -53,10 +62,11 @@ def parse_message(name: str, raw: bytes, known_tld_only: bool = True) -> dict:
             kind, multi = part.get_content_type(), part.is_multipart()
             data = b"" if multi else part.get_payload(decode=True) or b""
             file = part.get_filename()
-            out["parts"].append({"mime": kind, "length": len(data), "width": None, "height": None, "multipart": multi, "filename": file, "content": data})
+            width, height = picture_size(data)
+            attached = (part.get_content_disposition() == "attachment") or (file is not None and not kind.startswith("text/"))
+            out["parts"].append({"mime": kind, "length": len(data), "width": width, "height": height, "multipart": multi, "filename": file, "attached": attached, "content": data})
             if multi:
                 continue
-            attached = (part.get_content_disposition() == "attachment") or (file is not None and not kind.startswith("text/"))
             plain &= kind == "text/plain" and not attached
             if kind in ("text/plain", "text/html") and not attached:
                 text = data.decode(part.get_content_charset() or "utf-8", "replace")
