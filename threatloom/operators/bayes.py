@@ -50,3 +50,26 @@ def bayes_symbol(p: Column) -> Column:
 def learn_class(tokens: Column, score: Column, deterministic: Column) -> Column:
     """'spam', 'ham' or null: which class a scored message may teach; both limits belong to their class."""
     return F.when((tokens < R.LEARN_TOKENS) | deterministic, None).when(score >= R.LEARN_SPAM, "spam").when(score <= R.LEARN_HAM, "ham")
+
+
+def may_learn(cls: Column, n_spam: Column, n_ham: Column, balance: float = R.LEARN_BALANCE) -> Column:
+    """The class a message may teach, or null where that class is ahead of the other by more than 1/balance already."""
+    ahead = lambda a, b: a / (b + 1) > 1 / balance
+    return F.when(cls == "spam", F.when(~ahead(n_spam, n_ham), cls)).when(cls == "ham", F.when(~ahead(n_ham, n_spam), cls))
+
+
+def autolearn(scored: DataFrame, n_spam: int, n_ham: int, feature: Column, tokens: Column, condition: Column | None = None) -> DataFrame:
+    """(token, spam, ham) that a batch of verdicts (text, score, fired) teaches, with one row of a null token that counts the
+    messages of each class. `condition` is the caller's own guard; a message it isn't true of teaches nothing.
+
+    Nothing is learnt from short messages, from scores between both limits, from deterministic symbols, or for a class that
+    is ahead; balance is judged by the counts before the batch.
+    """
+    sure = F.arrays_overlap("fired", F.array(*(F.lit(s) for s in R.DETERMINISTIC)))
+    cls = may_learn(learn_class(F.size(tokens), F.col("score"), F.coalesce(sure, F.lit(False))), F.lit(n_spam), F.lit(n_ham))
+    kept = scored.withColumn("_class", cls).where(F.col("_class").isNotNull())
+    if condition is not None:
+        kept = kept.where(condition)
+    known = F.array_append(F.array_distinct(feature), F.lit(None).cast("string"))
+    rows = kept.select((F.col("_class") == "spam").alias("is_spam"), F.explode(known).alias("token"))
+    return rows.groupBy("token").agg(F.count_if("is_spam").alias("spam"), F.count_if(~F.col("is_spam")).alias("ham"))

@@ -131,6 +131,12 @@ def publish(df: DataFrame, base: str) -> str:
     return version
 
 
+def exists(spark: SparkSession, base: str) -> bool:
+    """Whether a version has been published under base."""
+    fs, p = _fs(spark, f"{base}/CURRENT")
+    return fs.exists(p)
+
+
 def current(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(spark.read.text(f"{base}/CURRENT").first()[0])
 

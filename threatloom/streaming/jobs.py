@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from threatloom.operators import bayes
+from threatloom.sources import files
+
 
 def _timed(df: DataFrame, ts: str) -> DataFrame:
     """Watermarks need a timestamp with a zone."""
@@ -33,9 +36,13 @@ def daily_learns(events: DataFrame, ts: str, account: str, late: str = "1 hour")
 
 
 def best_attempts(decisions: DataFrame, ts: str = "inserted_at", late: str = "1 hour") -> DataFrame:
-    """One decision per attempt and hour: a success wins, then the latest, then the highest evaluation_id."""
+    """One decision per attempt: a success wins, then the latest, then the highest evaluation_id.
+
+    An attempt is a session that ends when nothing of it came for `late`, so no clock hour splits it; a stream gives it out
+    once, when the watermark has passed its end.
+    """
     rank = F.struct((F.col("scan_status") == "success").alias("ok"), F.col(ts).alias("at"), F.coalesce("evaluation_id", F.lit("")).alias("eval"), F.col("scan_time_ms").alias("ms"))
-    out = _timed(decisions, ts).withWatermark(ts, late).groupBy(F.window(ts, "1 hour"), "message_id", "recipient_id", "injection_attempt_id").agg(F.max(rank).alias("best"))
+    out = _timed(decisions, ts).withWatermark(ts, late).groupBy(F.session_window(ts, late), "message_id", "recipient_id", "injection_attempt_id").agg(F.max(rank).alias("best"))
     return out.select("message_id", "recipient_id", "injection_attempt_id", F.col("best.ok").alias("ok"), F.col("best.eval").alias("evaluation_id"), F.col("best.ms").alias("scan_time_ms"))
 
 
@@ -61,12 +68,15 @@ def learn_rates(samples: DataFrame) -> DataFrame:
     return samples.groupBy("series").applyInPandasWithState(step, RATE, "epoch long, spam long, ham long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_scan(stream: DataFrame, scan: Callable[[DataFrame], DataFrame], reload: Callable[[], DataFrame] | None, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+def run_scan(stream: DataFrame, scan: Callable[[DataFrame], DataFrame], reload: Callable[[], DataFrame] | None, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, load: Callable[[], float] | None = None) -> StreamingQuery:
     """Scan a stream of messages batch by batch; `reload` reads the reference list anew each batch, and the last good copy
-    serves if that fails."""
+    serves if that fails. `load` is asked before each batch and put beside the messages, so that the scan sheds reading
+    pictures while it is high; the number of messages a batch is the source's (maxFilesPerTrigger)."""
     held: dict = {}
 
     def batch(df: DataFrame, n: int) -> None:
+        if load is not None:
+            df = df.withColumn("load", F.lit(float(load())))
         if reload is not None:
             try:
                 fresh = reload()
@@ -81,3 +91,23 @@ def run_scan(stream: DataFrame, scan: Callable[[DataFrame], DataFrame], reload:
 
     w = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
+
+
+def autolearn_sink(base: str, feature: Callable[[Column], Column], condition: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """A sink of verdicts (text, score, fired) that teaches the token table published under `base`.
+
+    Every batch gives a new version; the row of the null token counts messages and names the last batch, so a batch that is
+    handed over again after a failure is not learnt twice.
+    """
+
+    def learn(df: DataFrame, n: int) -> None:
+        spark = df.sparkSession
+        old = files.current(spark, base) if files.exists(spark, base) else spark.createDataFrame([(None, 0, 0, -1)], "token string, spam long, ham long, batch long")
+        totals = old.where("token is null").first()
+        if totals["batch"] >= n:
+            return
+        new = bayes.autolearn(df, totals["spam"], totals["ham"], feature(F.col("text")), bayes.words(F.col("text")), condition)
+        both = old.select("token", "spam", "ham").unionByName(new).groupBy("token").agg(F.sum("spam").alias("spam"), F.sum("ham").alias("ham"))
+        files.publish(both.withColumn("batch", F.when(F.col("token").isNull(), F.lit(n).cast("long"))), base)
+
+    return learn
