@@ -12,11 +12,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threatloom.functions import codecs
 from threatloom.functions import domains as D
 from threatloom.functions import refdata as R
 from threatloom.functions import text as T
 from threatloom.operators import bayes, detect, extract, gates, golden, maps, monitor, score
-from threatloom.sources import files
+from threatloom.plans import scan
+from threatloom.sources import files, mime
 from threatloom.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,9 +140,15 @@ def lookalike_domain(spark, sf):
     return run(spark, sf, URLS).withColumn("f", detect.lookalike_reason(F.col("host"))).where("f is not null").select("url_id", "host", "f.reason", "f.label", "f.brand")
 
 
-@query()
+#: Decoded names of the encoded hosts below, written out, since SQL has no decoder.
+_IDN_NAMES = "(VALUES ('xn--80ak6aa92e.com', 'аррӏе.com'), ('xn--pypal-4ve.com', 'pаypal.com'), ('xn--bcher-kva.de', 'bücher.de'), ('www.xn--ggle-55da.com', 'www.gооgle.com')) AS n(host, name)"
+
+
+@query(f"""WITH u AS (SELECT page_id AS url_id, {pick('page_id', ['xn--80ak6aa92e.com', 'xn--pypal-4ve.com', 'xn--bcher-kva.de', None, 'www.xn--ggle-55da.com'], "''")} AS host FROM pages),
+p AS (SELECT url_id, host, name, unnest(string_split(translate(lower(name), {lit(R.CONFUSABLE_FROM)}, {lit(R.CONFUSABLE_TO)}), '.')) AS label FROM u JOIN {_IDN_NAMES} USING (host))
+SELECT url_id, host, label, label AS brand FROM p WHERE label IN {in_list(R.BRANDS)} AND regexp_matches(name, '[Ѐ-ԯͰ-Ͽ]') AND regexp_matches(name, '[a-z]')""")
 def idn_homograph(spark, sf):
-    """Punycode needs a decoder that SQL lacks; tests hold the cases."""
+    """Punycode needs a decoder that SQL lacks: the oracle has the decoded names written out."""
     hosts = pick("page_id", ["xn--80ak6aa92e.com", "xn--pypal-4ve.com", "xn--bcher-kva.de", None, "www.xn--ggle-55da.com"], "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)")
     rows = run(spark, sf, f"SELECT page_id AS url_id, {hosts} AS host FROM pages")
     return rows.where("host like '%xn--%'").withColumn("f", detect.idn_homograph(F.col("host"))).where("f is not null").select("url_id", "host", "f.label", "f.brand")
@@ -589,10 +597,10 @@ def golden_confusion(spark, sf):
     return golden.confusion(_judged(spark, sf))
 
 
-@query("SELECT coalesce(a.k, b.k) AS stem, CASE WHEN b.k IS NULL THEN 'message' ELSE 'expected' END AS orphan FROM (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0) a FULL JOIN (SELECT DISTINCT s_nationkey AS k FROM supplier) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS stem, CASE WHEN b.k IS NULL THEN 'message' ELSE 'expected' END AS orphan FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0) a FULL JOIN (SELECT s_suppkey AS k FROM supplier) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def orphan_fixtures(spark, sf):
-    a = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("stem")).distinct()
-    return golden.pair(a, table(spark, sf, "supplier").select(F.col("s_nationkey").alias("stem")).distinct()).where("orphan is not null").select("stem", "orphan")
+    a = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("stem"))
+    return golden.pair(a, table(spark, sf, "supplier").select(F.col("s_suppkey").alias("stem"))).where("orphan is not null").select("stem", "orphan")
 
 
 @query("SELECT CAST(to_timestamp(floor(epoch(ts) / 300) * 300)::TIMESTAMP AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -676,3 +684,161 @@ def phished_urls(spark, sf):
     p = table(spark, sf, "pages")
     hits = maps.phished(p.select(F.col("page_id").alias("message_id"), "url"), p.where(F.col("page_id") % 13 == 0).select("url"))
     return hits.select("message_id", "symbol", F.col("options")[0].alias("url"))
+
+
+# --- parts of a mail and the functions below them
+
+
+_TRIM_SLASHES = "SELECT page_id AS id, url, CASE WHEN page_id % 3 = 0 THEN '//' ELSE 'wss://' END AS start FROM pages"
+
+
+@query(f"SELECT id, concat_ws('|', url || '&x', 'https://cdn.net/' || id, 'https://foreign.org') AS urls FROM ({_TRIM_SLASHES}) u")
+def svg_urls(spark, sf):
+    """Comments and wrong attributes don't count; entities, prefixes and relative or socket schemes do."""
+    svg = F.concat(F.lit("<?xml?><svg><!-- <a href='https://no.de'/> --><use xlink:href='https://no.de'/><x:a href=\"&#104;ttp"), F.expr("substr(url, 5)"), F.lit("&amp;x\"/><image xlink:href='//cdn.net/"), F.col("id").cast("string"), F.lit("'/><foreignObject data='"), "start", F.lit("foreign.org'/></svg>"))
+    return run(spark, sf, _TRIM_SLASHES).select("id", F.array_join(extract.svg_urls(svg), "|").alias("urls"))
+
+
+@query("SELECT page_id AS id, concat_ws('|', CASE WHEN page_id % 2 = 0 THEN url END, 'https://q.de/=' || page_id) AS urls FROM pages")
+def ical_urls(spark, sf):
+    """Folded lines, encoded values, and nothing outside events; depth returns to zero after nested ones."""
+    event = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("BEGIN:VEVENT\r\nBEGIN:VEVENT\r\nEND:VEVENT\r\nDESCRIPTION;LANG=x:see "), F.expr("substr(url, 1, 12)"), F.lit("\r\n\t"), F.expr("substr(url, 13)"), F.lit(" <- there\r\nEND:VEVENT\r\n"))).otherwise("URL:https://outside.de\r\n")
+    ics = F.concat(F.lit("begin:vcalendar\r\n"), event, F.lit("URL:https://between.de\nBEGIN:VEVENT\nSUMMARY:https://no.de\nATTACH;ENCODING=QUOTED-PRINTABLE:https=3A//q.de/=3D"), F.col("page_id").cast("string"), F.lit("\nEND:VEVENT\nEND:VCALENDAR"))
+    return table(spark, sf, "pages").select(F.col("page_id").alias("id"), F.array_join(extract.ical_urls(ics), "|").alias("urls"))
+
+
+@query("SELECT doc_id, lang || '=' || source || 'é' || chr(10) || 'soft' AS plain, chr(65 + CAST(doc_id % 26 AS INTEGER)) || '&lt;' || lang || '<&bogus;&nbsp;A''' AS entities FROM documents")
+def decoders(spark, sf):
+    """Quoted-printable with a soft line break, and the XML entities, of which one round is decoded."""
+    plain = F.concat("lang", F.lit("=3D"), "source", F.lit("=C3=A9\nso=\nft"))
+    entities = F.concat(F.lit("&#"), (F.col("doc_id") % 26 + 65).cast("string"), F.lit(";&amp;lt;"), "lang", F.lit("&lt;&bogus;&nbsp;&#x41;&apos;"))
+    return table(spark, sf, "documents").select("doc_id", codecs.quoted_printable_udf(plain).alias("plain"), codecs.entities_udf(entities).alias("entities"))
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM documents")
+def html_escape(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.html_escape(F.col("text"))).alias("escaped"))
+
+
+@query(r"""SELECT doc_id, md5(substr(trim(regexp_replace(regexp_replace(replace(replace(chr(9) || text || chr(13) || chr(10) || '  end', chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[\t ]+', ' ', 'g'), ' ?\n[\n ]*', chr(10), 'g')), 1, 8192)) AS cleaned FROM documents""")
+def ocr_clean(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_ocr_text(F.concat(F.lit("\t"), "text", F.lit("\r\n  end")))).alias("cleaned"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'add_header' WHEN 1 THEN 'soft_reject' WHEN 2 THEN 'rewrite_subject' ELSE event_type END AS action FROM events")
+def action_names(spark, sf):
+    raw = F.when(F.col("event_id") % 4 == 0, " Add Header ").when(F.col("event_id") % 4 == 1, "soft-reject").when(F.col("event_id") % 4 == 2, "REWRITE -Subject").otherwise(F.upper("event_type"))
+    return table(spark, sf, "events").select("event_id", T.action_name(raw).alias("action"))
+
+
+@query("SELECT conv_id, turn, md5(translate(role || chr(10) || coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS assembled FROM conversations")
+def message_texts(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(T.message_text(F.col("role"), F.array(F.coalesce("text", F.lit(""))))).alias("assembled"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' AND ts <= TIMESTAMP '2024-01-19 12:00:00' GROUP BY 1")
+def phase_window(spark, sf):
+    rows = table(spark, sf, "events").withColumnRenamed("ts", "inserted_at")
+    return gates.in_window(rows, "2024-01-05T00:00:00Z", "2024-01-19T12:00:00Z").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("SELECT (SELECT count(*) FROM labels) - (SELECT count(*) FROM labels WHERE doc_id % 3 = 0) AS learned, (SELECT count(*) FROM labels) - (SELECT count(*) FROM labels WHERE doc_id % 3 = 0) >= 100 AS enough")
+def learning_delta(spark, sf):
+    counts = lambda df: df.agg(F.count_if(F.col("toxic") == 1).alias("spam"), F.count_if(F.col("toxic") != 1).alias("ham"))
+    rows = table(spark, sf, "labels")
+    return monitor.learn_delta(counts(rows.where("doc_id % 3 = 0")), counts(rows))
+
+
+@query("SELECT c_custkey, c_custkey * 1000 AS spam, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS ham FROM customer")
+def statfile_counts(spark, sf):
+    """Learned counts out of status reports, with thousands marks; null where a class isn't reported."""
+    n = F.col("c_custkey")
+    report = F.concat(F.lit("Statfile: BAYES_SPAM type: redis; learned: "), F.format_number(n * 1000, 0), F.lit("; users: 1\nStatfile: "), F.when(n % 2 == 0, "BAYES_HAM").otherwise("OTHER"), F.lit(" type: redis; learned: "), n.cast("string"), F.lit(";\n"))
+    return table(spark, sf, "customer").select("c_custkey", monitor.learned(report, "BAYES_SPAM").alias("spam"), monitor.learned(report, "BAYES_HAM").alias("ham"))
+
+
+@query("SELECT o_orderkey, CASE WHEN p > 0.5 THEN 'BAYES_SPAM' WHEN p < 0.5 THEN 'BAYES_HAM' END AS symbol, round(CASE WHEN p <> 0.5 THEN abs(p - 0.5) * 2 END, 6) AS multiplier FROM (SELECT o_orderkey, (o_orderkey % 9) / 8.0 AS p FROM orders)")
+def bayes_symbols(spark, sf):
+    f = bayes.bayes_symbol((F.col("o_orderkey") % 9) / 8.0)
+    return table(spark, sf, "orders").select("o_orderkey", f["symbol"].alias("symbol"), F.round(f["multiplier"], 6).alias("multiplier"))
+
+
+_TAUGHT = """SELECT text, CASE doc_id % 5 WHEN 0 THEN 15.0 WHEN 1 THEN -2.0 WHEN 2 THEN 14.9 WHEN 3 THEN 40.0 ELSE -9.0 END AS score, doc_id % 5 = 3 AS sure, lang FROM documents"""
+
+
+@query(f"""WITH k AS (SELECT score > 0 AS is_spam, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS w FROM ({_TAUGHT}) u WHERE NOT sure AND lang <> 'de' AND (score >= 15 OR score <= -2)),
+g AS (SELECT is_spam, unnest(list_distinct(w) || [NULL]) AS token FROM k WHERE len(w) >= 10)
+SELECT token, count(*) FILTER (WHERE is_spam) AS spam, count(*) FILTER (WHERE NOT is_spam) AS ham FROM g GROUP BY 1""")
+def autolearn(spark, sf):
+    """What a batch of verdicts teaches; the caller's own condition leaves one language out."""
+    scored = run(spark, sf, _TAUGHT).withColumn("fired", F.when(F.col("sure"), F.array(F.lit("CLAM_VIRUS"))).otherwise(F.array().cast("array<string>")))
+    words = bayes.words(F.col("text"))
+    return bayes.autolearn(scored, 0, 0, words, words, F.col("lang") != "de")
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 2 WHEN 0 THEN CASE WHEN NOT s / (h + 1.0) > 1 / 0.9 THEN 'spam' END ELSE CASE WHEN NOT h / (s + 1.0) > 1 / 0.9 THEN 'ham' END END AS teaches FROM (SELECT o_orderkey, o_custkey % 17 AS s, o_orderkey % 13 AS h FROM orders)")
+def learn_balance(spark, sf):
+    k = F.col("o_orderkey")
+    return table(spark, sf, "orders").select("o_orderkey", bayes.may_learn(F.when(k % 2 == 0, "spam").otherwise("ham"), F.col("o_custkey") % 17, k % 13).alias("teaches"))
+
+
+@query("SELECT p_partkey AS id, p_size % 60 < 50 AND w + 150 >= 400 AND p_partkey % 3 <> 0 AS fires FROM (SELECT *, p_partkey % 500 AS w FROM part)")
+def empty_images(spark, sf):
+    k = F.col("p_partkey")
+    return table(spark, sf, "part").select(k.alias("id"), detect.empty_image(F.col("p_size") % 60, k % 500, F.lit(150), k % 3 == 0).alias("fires"))
+
+
+@query("SELECT 'even' AS feed, count(*) AS entries, count(DISTINCT host) AS distinct_entries FROM (SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages WHERE page_id % 2 = 0) UNION ALL SELECT 'third', count(*), count(DISTINCT url) FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'none', 0, 0")
+def feed_counts(spark, sf):
+    p = table(spark, sf, "pages")
+    hosts = p.where("page_id % 2 = 0").select(D.url_host(F.col("url")).alias("url"))
+    return files.feed_counts({"even": hosts, "third": p.where("page_id % 3 = 0"), "none": p.limit(0)})
+
+
+_PARTED = """SELECT page_id AS message_id, url, page_id % 4 AS kind FROM pages"""
+
+
+@query(f"""SELECT message_id, CASE kind WHEN 0 THEN 'HEADER_URL_EXTRACTION' WHEN 1 THEN 'BASE64_URL_EXTRACTION' WHEN 2 THEN 'ICAL_URL_EXTRACTION' ELSE 'SVG_URL_EXTRACTION' END AS symbol,
+CASE kind WHEN 0 THEN 'count=2' WHEN 1 THEN 'count=1' WHEN 2 THEN 'count=1' ELSE concat(url, '|https://cdn.net') END AS options FROM ({_PARTED}) u""")
+def scan_extractors(spark, sf):
+    """The extractors as the scan runs them, over messages with headers, bodies and parts."""
+    k = F.col("kind")
+    part = lambda mime, text: F.array(F.struct(F.lit(mime).alias("mime"), F.length(text).cast("long").alias("length"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(False).alias("multipart"), F.lit(None).cast("string").alias("filename"), F.lit(False).alias("attached"), text.cast("binary").alias("content")))
+    ics = F.concat(F.lit("BEGIN:VCALENDAR\nBEGIN:VEVENT\nURL:"), "url", F.lit("\nEND:VEVENT\nEND:VCALENDAR"))
+    svg = F.concat(F.lit("<svg><a href='"), "url", F.lit("'/><image href='//cdn.net'/></svg>"))
+    none = F.lit(None).cast("string")
+    m = run(spark, sf, _PARTED).select(
+        "message_id", none.alias("from_name"), none.alias("from_domain"), none.alias("reply_domain"), none.alias("html"), F.lit("").alias("text"), F.array().cast("array<string>").alias("urls"),
+        F.when(k == 0, F.concat(F.lit("<"), "url", F.lit(">, <mailto:a@b.de>, <https://list.net/"), F.col("message_id").cast("string"), F.lit(">"))).alias("list_unsubscribe"),
+        F.when(k == 1, F.regexp_replace(F.base64(F.concat(F.lit("go to "), "url").cast("binary")), r"\s", "")).otherwise("").alias("text_raw"),
+        F.when(k == 2, part("text/calendar", ics)).when(k == 3, part("image/svg+xml", svg)).otherwise(F.array_remove(part("text/plain", F.lit("")), F.get(part("text/plain", F.lit("")), F.lit(0)))).alias("parts"),
+    )
+    hits = detect.detect(m, ["HEADER_URL_EXTRACTION", "BASE64_URL_EXTRACTION", "ICAL_URL_EXTRACTION", "SVG_URL_EXTRACTION"])
+    return hits.select("message_id", "symbol", F.array_join("options", "|").alias("options"))
+
+
+_HEAD, _HTML = "From: a@b.com\nDate: x\n", "Content-Type: text/html\n"
+#: Mails by case with what must come of them: text, score, symbols, action.
+_SUITE = [
+    (_HEAD + "\nhello there", 0, "OCR_SKIPPED", "no_action"),
+    ("From: a@b.com\n\nhello", 1, "MISSING_DATE,OCR_SKIPPED", "no_action"),
+    (_HEAD + "List-Unsubscribe: <https://paypal.com.evil-site.net/u>\n\nhello", 5, "HEADER_URL_EXTRACTION,OCR_SKIPPED,PHISH_URL_HEURISTIC", "no_action"),
+    (_HEAD + _HTML + "\n<A HREF='https://xn--80ak6aa92e.com/x'>x</A>", 6, "LOOKALIKE_DOMAIN,OCR_SKIPPED", "add_header"),
+    (_HEAD + "\nsee https://a.com/redirect?url=https://m1crosoft.com", 12, "LOOKALIKE_DOMAIN,OCR_SKIPPED,OPEN_REDIRECT", "add_header"),
+    (_HEAD + "\n" + R.GTUBE, 0, "GTUBE,OCR_SKIPPED", "reject"),
+    ("From: =?utf-8?B?UGF5UGFsIFN1cHBvcnQ=?= <a@evil.net>\nDate: x\nSubject: =?utf-8?B?YnV5IGdpZnQgY2FyZHM=?=\n\nhi", 11, "BEC_PATTERN,FROM_DISPLAY_IMPERSONATION,OCR_SKIPPED", "add_header"),
+    (_HEAD + _HTML + '\n<a href="https://evil.net"><span>Go to</span> paypal.com</a>', 6, "HTML_LINK_MISMATCH,OCR_SKIPPED", "add_header"),
+    (_HEAD + "Content-Type: text/calendar\n\nBEGIN:VCALENDAR\nBEGIN:VEVENT\nURL:https://login.paypal.evil.net/\nEND:VEVENT\nEND:VCALENDAR\n", 5, "ICAL_URL_EXTRACTION,OCR_SKIPPED,PHISH_URL_HEURISTIC", "no_action"),
+    (_HEAD + "Content-Type: image/svg+xml\n\n<svg><a href='https://m1crosoft.com/'/></svg>", 6, "LOOKALIKE_DOMAIN,OCR_SKIPPED,SVG_URL_EXTRACTION", "add_header"),
+]
+_BY_CASE = lambda values: "CASE page_id % " + str(len(_SUITE)) + " " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT CAST(page_id AS VARCHAR) AS message_id, CAST({_BY_CASE([s for _, s, _, _ in _SUITE])} AS DOUBLE) AS score, {_BY_CASE([lit(f) for _, _, f, _ in _SUITE])} AS fired, {_BY_CASE([lit(a) for *_, a in _SUITE])} AS action FROM pages")
+def scan_verdicts(spark, sf):
+    """Raw mail to verdicts, end to end, one case of the suite for every page; the expectations are written out by hand."""
+    case = F.col("page_id") % len(_SUITE)
+    mail = F.coalesce(*(F.when(case == i, m) for i, (m, *_) in enumerate(_SUITE)))
+    raw = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), mail.cast("binary").alias("content"))
+    out = scan.scan(mime.parse_messages(raw))
+    return out.select("message_id", "score", F.array_join("fired", ",").alias("fired"), "action")

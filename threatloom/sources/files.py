@@ -106,6 +106,15 @@ def refreshed_map(feeds: list[DataFrame]) -> DataFrame | None:
     return out.distinct().orderBy("url")
 
 
+def feed_counts(feeds: dict[str, DataFrame]) -> DataFrame:
+    """(feed, entries, distinct_entries) of named feeds (url); an empty feed is counted too."""
+    parts = [f.agg(F.lit(name).alias("feed"), F.count("url").alias("entries"), F.countDistinct("url").alias("distinct_entries")) for name, f in feeds.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
