@@ -1,8 +1,8 @@
-"""The ten operators' queries and, where SQL can express them, their DuckDB oracles."""
+"""The corpus operators' queries and, where SQL can express them, their DuckDB oracles."""
 
 from __future__ import annotations
 
-from threatloom.llm import jaccard, lines, lmscore, media, mixing, packing, quality, suffix, urlfilter, warc
+from threatloom.llm import divergence, jaccard, lines, lmscore, media, mixing, negatives, packing, quality, suffix, tokens, urlfilter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_quality_rules": quality.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_media_columns": media.op10_media_columns,
+        "op11_hard_negatives": negatives.op11_hard_negatives,
+        "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_token_counts": tokens.op13_token_counts,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict:
         "op6_line_dedup": lines.OP6_SQL,
         "op7_lm_scoring": lmscore.OP7_SQL,
         "op9_mixing": mixing.OP9_SQL,
+        "op11_hard_negatives": negatives.OP11_SQL,
+        "op12_source_divergence": divergence.OP12_SQL,
     }
