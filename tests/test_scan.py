@@ -18,7 +18,7 @@ HEAD = b"From: a@b.com\nDate: x\n"
 PAGE = HEAD + b"Content-Type: text/html\n\n"
 MAIL = {
     "unsubscribe": (HEAD + b"List-Unsubscribe: <https://paypal.com.evil-site.net/u>\n\nhello", {"HEADER_URL_EXTRACTION", "PHISH_URL_HEURISTIC"}, "no_action"),
-    "idn": (PAGE + b"<A HREF='https://xn--80ak6aa92e.com/x'>x</A>", {"LOOKALIKE_DOMAIN"}, "add_header"),
+    "idn": (PAGE + b"<A HREF='https://xn--80ak6aa92e.com/x'>x</A>", {"LOOKALIKE_DOMAIN", "IDN_HOMOGRAPH"}, "add_header"),
     "redirect": (HEAD + b"\nsee https://a.com/redirect?url=https://m1crosoft.com", {"LOOKALIKE_DOMAIN", "OPEN_REDIRECT"}, "add_header"),
     "gtube": (HEAD + b"\n" + R.GTUBE.encode(), {"GTUBE"}, "reject"),
     "encoded": (b"From: good <x@fine.com>, =?utf-8?B?UGF5UGFsIFN1cHBvcnQ=?= <a@evil.net>\nDate: x\nSubject: =?utf-8?B?YnV5IGdpZnQgY2FyZHM=?=\n\nhi", {"BEC_PATTERN", "FROM_DISPLAY_IMPERSONATION"}, "add_header"),
@@ -78,7 +78,7 @@ def test_pictures_are_read(spark):
     finally:
         cloudpickle.unregister_pickle_by_value(sys.modules[__name__])
     assert got == {
-        ("attached", "ATTACHMENT_OCR_SCAN"): ["attachments=1", "urls=1"], ("attached", "PHISH_URL_HEURISTIC"): [], ("attached", "OCR_SKIPPED"): ["no_eligible_images"],
+        ("attached", "ATTACHMENT_OCR_SCAN"): ["attachments=1", "urls=1"], ("attached", "PHISH_URL_HEURISTIC"): ["subdomain_impersonation", "login.paypal.evil.net", "brand=paypal"], ("attached", "OCR_SKIPPED"): ["no_eligible_images"],
         ("inline", "OCR_PROCESSED"): ["reason=process", "images=1", "ratio=1.000"], ("inline", "OCR_SPAM_TEXT"): ["pattern=Buy now", "Buy now: v1agra, c@sino"], ("inline", "OBFUSCATED_SPAM"): [],
         ("hang", "OCR_SKIPPED"): ["no_text"], ("broken", "OCR_SKIPPED"): ["no_text"], ("loaded", "OCR_SKIPPED"): ["overloaded:load"],
         ("empty", "R_EMPTY_IMAGE"): [], ("empty", "OCR_SKIPPED"): ["no_eligible_images"], ("linked", "OCR_SKIPPED"): ["no_eligible_images"],
@@ -100,7 +100,7 @@ class Links(HTMLParser):
 def test_anchors_equal_a_parser(spark, page):
     p = Links()
     p.feed(page)
-    row = spark.range(1).select(extract.anchors(F.lit(page)).alias("a")).first()
+    row = spark.range(1).select(extract.page_markup(F.array(F.lit(page)))["anchors"].alias("a")).first()
     assert [x.href for x in row.a] == p.hrefs
 
 

@@ -14,13 +14,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value evaluated once a row: a lambda's variable is bound, while an expression that a lambda holds is
+    evaluated again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sparse_bigrams(tokens: Column, reach: int = 4) -> Column:
     """Ordered pairs of a word and each of the next `reach`, with their distance: 'a~2~c'."""
-    def pairs(d: int) -> Column:
-        n = F.size(tokens) - d
-        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat_ws(f"~{d}~", F.get(tokens, i), F.get(tokens, i + d)))).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(*(pairs(d) for d in range(1, reach + 1)))
+    def pairs(words: Column, d: int) -> Column:
+        return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - d, F.lit(0))), F.slice(words, d + 1, F.size(words)), lambda x, y: F.concat(x, F.lit(f"~{d}~"), y))
+
+    return once(tokens, lambda w: F.concat(*(pairs(w, d) for d in range(1, reach + 1))))
 
 
 def learn(labelled: DataFrame, feature: Column) -> DataFrame:

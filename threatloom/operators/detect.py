@@ -31,16 +31,17 @@ class Detector:
     after: list[str] = field(default_factory=list)
     priority: int = 0
     parent: str | None = None
+    multiplier: Callable[[], Column] | None = None
 
 
 REGISTRY: dict[str, Detector] = {}
 
 
-def detector(name: str, group: str, phase: str = "prefilter", after: tuple[str, ...] = (), priority: int = 0, options=None, parent: str | None = None):
+def detector(name: str, group: str, phase: str = "prefilter", after: tuple[str, ...] = (), priority: int = 0, options=None, parent: str | None = None, multiplier=None):
     """Register a function that returns a Column as the detector `name`; its weight comes from the reference values."""
 
     def add(test: Callable[[], Column]) -> Callable[[], Column]:
-        REGISTRY[name] = Detector(name, R.WEIGHTS.get(name, 0.0), group, phase, test, options, [*after, *([parent] if parent else [])], priority, parent)
+        REGISTRY[name] = Detector(name, R.WEIGHTS.get(name, 0.0), group, phase, test, options, [*after, *([parent] if parent else [])], priority, parent, multiplier)
         return test
 
     return add
@@ -77,6 +78,8 @@ def with_urls(messages: DataFrame, ocr: Callable[[Column], Column] | None = None
     """
     page = F.coalesce("html", F.lit(""))
     none = F.array().cast("array<string>")
+    if "html_parts" not in messages.columns:
+        messages = messages.withColumn("html_parts", F.array("html"))
     if "from_all" not in messages.columns:
         messages = messages.withColumn("from_all", F.array(F.struct(F.col("from_name").alias("name"), F.col("from_domain").alias("domain"))))
     if "parts" not in messages.columns:
@@ -85,8 +88,9 @@ def with_urls(messages: DataFrame, ocr: Callable[[Column], Column] | None = None
         messages = messages.withColumn("load", F.lit(0.0))
     read = lambda images: F.transform(ocr(images), lambda t: F.substring(T.clean_ocr_text(t), 1, R.OCR_TEXT_MAX)) if ocr else none
     pictures = X.image_attachments(F.col("parts"))
-    found = messages.withColumns({
-        "own_urls": F.coalesce("urls", none), "link_urls": X.hrefs(page), "header_urls": X.header_urls(F.col("list_unsubscribe")),
+    found = messages.withColumn("markup", X.page_markup(F.col("html_parts")))
+    found = found.withColumns({
+        "own_urls": F.coalesce("urls", none), "link_urls": X.hrefs(F.col("markup.anchors")), "header_urls": X.header_urls(F.col("list_unsubscribe")),
         "base64_urls": X.base64_urls(F.concat_ws(" ", "text_raw", page) if "text_raw" in messages.columns else page),
         "svg_urls": X.drawing_part_urls(X.part_contents(F.col("parts"), X.DRAWINGS)), "ical_urls": X.calendar_part_urls(X.part_contents(F.col("parts"), X.CALENDARS, X.MAX_PART)),
         "ocr": ocr_selection(F.col("parts"), F.col("load")), "attachments": F.coalesce(F.size(pictures), F.lit(0)), "attachment_texts": read(pictures),
@@ -94,24 +98,35 @@ def with_urls(messages: DataFrame, ocr: Callable[[Column], Column] | None = None
     chosen = F.transform(ocr_eligible(F.col("parts")), lambda p: p["content"])
     found = found.withColumn("ocr_text", F.nullif(F.array_join(read(F.when(F.col("ocr.reason") == "process", chosen)), "\n"), F.lit("")))
     found = found.withColumn("scan_text", F.concat_ws("\n", "text", T.ascii_lower(F.col("ocr_text"))))
-    found = found.withColumn("data_uri_urls", X.data_uri_urls(X.page_data_uris(page), F.concat("own_urls", "link_urls")))
+    found = found.withColumn("data_uri_urls", X.data_uri_urls(X.attribute_uris(F.col("markup.attrs")), F.concat("own_urls", "link_urls")))
     injected = ("own_urls", "link_urls", "header_urls", "base64_urls", "data_uri_urls", "svg_urls", "ical_urls")
     found = found.withColumn("urls", F.array_distinct(F.concat(*(F.coalesce(c, none) for c in injected))))
     seen = F.flatten(F.transform("attachment_texts", lambda t: X.text_urls(F.coalesce(t, F.lit("")), r"[\])}>,;.!?]+$")))
     found = found.withColumn("attachment_urls", F.array_except(seen, "urls")).withColumn("urls", F.concat("urls", "attachment_urls"))
-    hosts = F.array_distinct(F.filter(F.transform("urls", lambda u: D.normalize_host(D.url_host(u))), lambda h: h.isNotNull() & (h != "")))
+    # host, path and registered domain of every URL are made once, and so is every finding: detectors and options read them
+    found = found.withColumn("sites", F.transform("urls", lambda u: F.struct(D.normalize_host(D.url_host(u)).alias("host"), D.url_path(u).alias("path"))))
+    found = found.withColumn("sites", F.transform("sites", lambda s: F.struct(s["host"].alias("host"), s["path"].alias("path"), D.registered_domain(s["host"]).alias("domain"))))
+    hosts = F.array_distinct(F.filter(F.col("sites.host"), lambda h: h.isNotNull() & (h != "")))
     found = found.withColumns({"hosts": hosts, "redirects": F.filter(F.transform("urls", open_redirect), lambda r: r.isNotNull())})
-    return found.withColumn("idn_hosts", decode_hosts_udf(F.filter(F.array_append("hosts", F.coalesce("from_domain", F.lit(""))), lambda h: h.contains("xn--"))))
+    encoded = lambda h: h.contains("xn--")
+    found = found.withColumn("idn_from", F.filter(F.array(F.coalesce(D.normalize_host(F.col("from_domain")), F.lit(""))), encoded))
+    found = found.withColumn("idn_names", F.concat(F.filter("hosts", encoded), "idn_from"))
+    found = found.withColumn("idn_hosts", decode_hosts_udf(F.col("idn_names")))
+    return found.withColumns({"phish": _phish_found(), "lookalike": _lookalike_found(), "mismatches": _mismatches()})
 
 
 def detect(messages: DataFrame, names: list[str] | None = None, ocr: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(message_id, symbol, multiplier, options): all detectors in one projection over one scan, then one explode."""
-    messages = with_urls(messages, ocr)
+    """(message_id, symbol, multiplier, options): all detectors in one projection over one scan, then one explode.
+
+    messages may have been through with_urls already.
+    """
+    messages = messages if "markup" in messages.columns else with_urls(messages, ocr)
     fired = []
     for n in execution_order(names):
         d = REGISTRY[n]
         opts = d.options() if d.options else F.array().cast("array<string>")
-        fired.append(F.when(F.coalesce(d.test(), F.lit(False)), F.struct(F.lit(n).alias("symbol"), F.lit(1.0).alias("multiplier"), opts.alias("options"))))
+        times = d.multiplier() if d.multiplier else F.lit(1.0)
+        fired.append(F.when(F.coalesce(d.test(), F.lit(False)), F.struct(F.lit(n).alias("symbol"), times.alias("multiplier"), opts.alias("options"))))
     hits = messages.select("message_id", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("_s"))
     return hits.select("message_id", "_s.symbol", "_s.multiplier", "_s.options")
 
@@ -137,13 +152,15 @@ def spaced_brand(brand: str) -> str:
     return "(^| )" + " ?".join(brand) + "( |$)"
 
 
+#: Any brand spelt by tokens: most names are through with one match.
+_ANY_SPACED = "(^| )(?:" + "|".join(" ?".join(b) for b in R.BRAND_DOMAINS) + ")( |$)"
+
+
 def display_brand(name: Column) -> Column:
     """In brand order, the first brand that consecutive tokens of a display name spell."""
     tokens = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), " ")
-    out = F.lit(None).cast("string")
-    for b in reversed(list(R.BRAND_DOMAINS)):
-        out = F.when(tokens.rlike(spaced_brand(b)), b).otherwise(out)
-    return out
+    spelt = lambda b: F.rlike(tokens, F.concat(F.lit("(^| )"), F.array_join(F.split(b, ""), " ?"), F.lit("( |$)")))
+    return F.when(tokens.rlike(_ANY_SPACED), F.get(F.filter(D.values(R.BRAND_DOMAINS), spelt), F.lit(0)))
 
 
 def impersonates(name: Column, domain: Column) -> Column:
@@ -161,11 +178,11 @@ MIXED_LABEL = f"[A-Za-z][^.]*[{R.GREEK}{R.CYRILLIC}]|[{R.GREEK}{R.CYRILLIC}][^.]
 # --- URLs -----------------------------------------------------------------------------------------------------------
 
 
-def phish_reason(host: Column, path: Column) -> Column:
-    """struct(reason, brand): brand in a label, too many subdomains, brand in the path; null if clean."""
-    h = D.normalize_host(host)
-    domain, brand = D.registered_domain(h), D.brand_label(h)
-    foreign = brand.isNotNull() & ~F.coalesce(F.array_contains(D.brand_home(brand), domain), F.lit(False)) & ~domain.isin(R.RESERVED_EXAMPLES)
+def phish_finding(h: Column, path: Column, domain: Column) -> Column:
+    """struct(reason, brand) of a normalized host under its registered domain: brand in a label, too many subdomains, brand
+    in the path; null if clean."""
+    brand = D.brand_label(h)
+    foreign = brand.isNotNull() & ~F.coalesce(F.array_contains(D.brand_home(brand), domain), F.lit(False)) & ~D.among(domain, R.RESERVED_EXAMPLES)
     extra = F.size(D.host_labels(h)) - F.size(D.host_labels(domain))
     in_path = D.path_brand(path, domain)
     give = lambda reason, b: F.struct(F.lit(reason).alias("reason"), b.alias("brand"))
@@ -173,18 +190,26 @@ def phish_reason(host: Column, path: Column) -> Column:
     return F.when(h == "", None).when(foreign, give("subdomain_impersonation", brand)).when(extra >= 4, give("excessive_subdomains", none)).when(in_path.isNotNull(), give("brand_in_path", in_path))
 
 
-def lookalike_reason(host: Column) -> Column:
-    """struct(reason, label, brand): confusable spelling, then edit distance of the registered name; null if clean.
-
-    Punycode homographs need a decoder in Python and are judged by idn_homograph.
-    """
+def phish_reason(host: Column, path: Column) -> Column:
+    """phish_finding of a host as it is written."""
     h = D.normalize_host(host)
-    domain = D.registered_domain(h)
+    return phish_finding(h, path, D.registered_domain(h))
+
+
+def lookalike_finding(h: Column, domain: Column) -> Column:
+    """struct(reason, label, brand) of a normalized host: confusable spelling, then edit distance of the registered name;
+    null if clean. Punycode homographs need a decoder in Python and are judged by idn_homograph."""
     spelt, near = D.confusable(h, domain), D.near_brand(domain)
     give = lambda reason, m: F.struct(F.lit(reason).alias("reason"), m["label"].alias("label"), m["brand"].alias("brand"))
     return F.when(spelt.isNotNull(), give("homoglyph", spelt)).when(near.isNotNull(), give("levenshtein", near))
 
 
+def lookalike_reason(host: Column) -> Column:
+    """lookalike_finding of a host as it is written."""
+    h = D.normalize_host(host)
+    return lookalike_finding(h, D.registered_domain(h))
+
+
 def idn_homograph(host: Column) -> Column:
     """struct(label, brand) of an xn-- host whose letters mix Latin with Cyrillic or Greek and spell a brand."""
     return decoded_homograph(decode_host_udf(D.normalize_host(host)))
@@ -229,9 +254,9 @@ def redirect_finding(outer: Column, target: Column) -> Column:
     b = D.registered_domain(host)
     parts = D.components(F.get(D.host_labels(b), F.lit(0)))
     owned = sorted({d for ds in R.BRAND_DOMAINS.values() for d in ds})
-    close = D.first_match(parts, lambda p, brand: F.levenshtein(p, F.lit(brand), 2).between(1, 2)).isNotNull()
-    modified = ~b.isin(owned) & F.exists(parts, lambda p: p.isin(list(R.BRAND_DOMAINS)))
-    threat = F.get(F.filter(D.host_labels(host), lambda x: x.isin(R.THREAT_LABELS)), F.lit(0))
+    close = D.first_match(parts, lambda p, brand: F.levenshtein(p, brand, 2).between(1, 2)).isNotNull()
+    modified = ~D.among(b, owned) & F.exists(parts, lambda p: D.among(p, R.BRAND_DOMAINS))
+    threat = F.get(F.filter(D.host_labels(host), lambda x: D.among(x, R.THREAT_LABELS)), F.lit(0))
     evidence = (
         F.when(D.confusable(host, b).isNotNull() | close | modified, "LOOKALIKE_DOMAIN")
         .when(phish_reason(host, F.lit(""))["reason"] == "subdomain_impersonation", "PHISH_URL_HEURISTIC")
@@ -272,7 +297,7 @@ def ocr_selection(parts: Column, load: Column) -> Column:
 
 def bad_extension(filename: Column) -> Column:
     """Multiplier of a file name's last extension; null for harmless ones."""
-    table = F.create_map(*(x for k, v in R.BAD_EXTENSIONS.items() for x in (F.lit(k), F.lit(float(v)))))
+    table = F.expr("map(" + ", ".join(f"'{k}', {float(v)}D" for k, v in R.BAD_EXTENSIONS.items()) + ")")
     return F.element_at(table, F.lower(F.regexp_extract(filename, r"\.([A-Za-z0-9]+)$", 1)))
 
 
@@ -352,10 +377,9 @@ def _ocr_spam() -> Column:
 
 @detector("R_EMPTY_IMAGE", "mime")
 def _empty_image() -> Column:
-    page = F.coalesce("html", F.lit(""))
-    linked = page.rlike(r"(?is)<a\s[^>]*>\s*<img\b")
-    big = F.exists("parts", lambda p: empty_image(F.octet_length(T.squeeze(T.strip_tags(page))), p["width"], p["height"], linked))
-    return page.rlike(r"(?i)<img\b") & big
+    loose = F.exists("markup.images", lambda i: ~i["linked"])
+    shown = F.octet_length(T.squeeze(T.strip_tags(F.coalesce("html", F.lit("")))))
+    return loose & F.exists("parts", lambda p: empty_image(shown, p["width"], p["height"], F.lit(False)))
 
 
 @detector("BEC_PATTERN", "bec")
@@ -366,10 +390,17 @@ def _bec() -> Column:
 @detector("TEXT_SOCIAL_ENGINEERING", "social_engineering", phase="normal")
 def _social() -> Column:
     links = (F.size("own_urls") > 0) | F.coalesce(F.col("text").rlike(r"(?i)\b(mailto|tel):[^\s]"), F.lit(False))
-    return social_engineering(F.col("text"), F.col("plain_only"), links, F.col("from_domain"), F.col("rcpt_domains"))
+    # the sender's name reads first, and a term may run over a line's end
+    text = T.ascii_lower(F.regexp_replace(F.concat_ws("\n", "from_name", "text"), r"[\t-\r ]+", " "))
+    return social_engineering(text, F.col("plain_only"), links, F.col("from_domain"), F.col("rcpt_domains"))
 
 
-@detector("FROM_DISPLAY_IMPERSONATION", "headers")
+def _impersonator() -> Column:
+    first = F.get(F.filter("from_all", lambda m: impersonates(m["name"], m["domain"])), F.lit(0))
+    return F.array(F.concat(F.lit("brand="), display_brand(first["name"])), F.concat(F.lit("from_domain="), first["domain"]))
+
+
+@detector("FROM_DISPLAY_IMPERSONATION", "headers", options=_impersonator)
 def _display() -> Column:
     return F.exists("from_all", lambda m: impersonates(m["name"], m["domain"]))
 
@@ -377,32 +408,87 @@ def _display() -> Column:
 _EXTRACTORS = ("HEADER_URL_EXTRACTION", "BASE64_URL_EXTRACTION", "DATA_URI_URL_EXTRACTION", "SVG_URL_EXTRACTION", "ICAL_URL_EXTRACTION", "ATTACHMENT_OCR_SCAN")
 
 
+def _named(**pairs: Column) -> Column:
+    """Options key=value; a null value has none."""
+    return F.filter(F.array(*(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in pairs.items())), lambda x: x.isNotNull())
+
+
 def _evidence(symbol: str) -> Column:
-    """A redirect whose target gives evidence for another symbol fires that one too."""
-    return F.exists("redirects", lambda r: F.coalesce(r["found"]["evidence"] == symbol, F.lit(False)))
+    """The first redirect whose target gives evidence for another symbol; null if none does."""
+    return F.get(F.filter("redirects", lambda r: F.coalesce(r["found"]["evidence"] == symbol, F.lit(False))), F.lit(0))
 
 
 def _any_url(test: Callable[[Column], Column]) -> Column:
     return F.exists("urls", lambda u: F.coalesce(test(u), F.lit(False)))
 
 
-@detector("PHISH_URL_HEURISTIC", "url", after=_EXTRACTORS)
+def _first(found: Column) -> Column:
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def _phish_found() -> Column:
+    """Options of the first URL that the phishing heuristics name: its reason, host and brand; null if none."""
+
+    def of(s: Column) -> Column:
+        found = phish_finding(s["host"], s["path"], s["domain"])
+        return F.when(found.isNotNull(), F.concat(F.array(found["reason"], s["host"]), _named(brand=found["brand"])))
+
+    return F.coalesce(_first(F.transform("sites", of)), _target_options("PHISH_URL_HEURISTIC"))
+
+
+def _target_options(symbol: str) -> Column:
+    found = _evidence(symbol)
+    return F.when(found.isNotNull(), F.array(F.lit("source=redirect_target"), F.concat(F.lit("target="), found["found"]["target"])))
+
+
+def _lookalike_found() -> Column:
+    """Options of the first look-alike: a URL's host, decoded or as it is, the sender's, or a reply address that is near the
+    sender's; null if none."""
+
+    def spelt(h: Column, domain: Column, source: str) -> Column:
+        found = lookalike_finding(h, domain)
+        return F.when(found.isNotNull(), F.concat(F.array(found["reason"], F.lit(f"source={source}")), _named(host=h, label=found["label"], brand=found["brand"])))
+
+    def decoded(name: Column, host: Column) -> Column:
+        found = decoded_homograph(host)
+        source = F.when(F.array_contains("hosts", name), "source=url").otherwise("source=from")
+        return F.when(found.isNotNull(), F.concat(F.array(F.lit("idn_homograph"), source), _named(host=name, label=found["label"], brand=found["brand"], decoded=host)))
+
+    sender = D.normalize_host(F.col("from_domain"))
+    edits = reply_distance(F.col("from_domain"), F.col("reply_domain"))
+    near = F.when(edits.isNotNull(), F.concat(F.array(F.lit("reply_to_distance")), _named(distance=edits, **{"from": F.col("from_domain"), "reply_to": F.col("reply_domain")})))
+    return F.coalesce(
+        _first(F.zip_with("idn_names", "idn_hosts", decoded)), _first(F.transform("sites", lambda s: spelt(s["host"], s["domain"], "url"))), _target_options("LOOKALIKE_DOMAIN"),
+        spelt(sender, D.registered_domain(sender), "from"), near,
+    )
+
+
+def _mismatches() -> Column:
+    """Links that show another domain than they lead to, in order."""
+    return F.filter(F.transform("markup.anchors", lambda a: link_mismatch(a["href"], a["text"])), lambda m: m.isNotNull())
+
+
+@detector("PHISH_URL_HEURISTIC", "url", after=_EXTRACTORS, options=lambda: F.col("phish"))
 def _phish() -> Column:
-    return _any_url(lambda u: phish_reason(D.url_host(u), D.url_path(u)).isNotNull()) | _evidence("PHISH_URL_HEURISTIC")
+    return F.col("phish").isNotNull()
 
 
-@detector("LOOKALIKE_DOMAIN", "url", after=_EXTRACTORS)
+@detector("LOOKALIKE_DOMAIN", "url", after=_EXTRACTORS, options=lambda: F.col("lookalike"))
 def _lookalike() -> Column:
-    idn = F.exists("idn_hosts", lambda h: decoded_homograph(h).isNotNull())
-    return idn | F.exists("hosts", lambda h: lookalike_reason(h).isNotNull()) | _evidence("LOOKALIKE_DOMAIN") | lookalike_reason(F.col("from_domain")).isNotNull() | reply_distance(F.col("from_domain"), F.col("reply_domain")).isNotNull()
+    return F.col("lookalike").isNotNull()
 
 
-@detector("HTML_LINK_MISMATCH", "url", phase="normal")
+@detector("HTML_LINK_MISMATCH", "url", phase="normal", options=lambda: F.flatten(F.transform("mismatches", lambda m: _named(display=m["display"], href=m["href"]))))
 def _mismatch() -> Column:
-    return F.exists(X.anchors(F.coalesce("html", F.lit(""))), lambda a: link_mismatch(a["href"], a["text"]).isNotNull())
+    return F.size("mismatches") > 0
+
+
+def _redirected() -> Column:
+    r = F.get("redirects", F.lit(0))
+    return _named(parameter=r["parameter"], outer=r["found"]["outer"], target=r["found"]["target"], evidence=r["found"]["evidence"])
 
 
-@detector("OPEN_REDIRECT", "url", phase="normal", after=_EXTRACTORS)
+@detector("OPEN_REDIRECT", "url", phase="normal", after=_EXTRACTORS, options=_redirected)
 def _redirect() -> Column:
     return F.size("redirects") > 0
 
@@ -417,9 +503,16 @@ def _ip() -> Column:
     return _any_url(lambda u: D.url_host(u).rlike(IP_HOST))
 
 
+def protected_spelling(host: Column) -> Column:
+    """A label beyond ASCII that reads as a protected brand, whatever scripts it is spelt in."""
+    return F.exists(D.host_labels(host), lambda x: x.rlike(r"[^\x00-\x7F]") & D.among(D.skeleton(x), R.PROTECTED_BRANDS))
+
+
 @detector("IDN_HOMOGRAPH", "multimap")
 def _idn() -> Column:
-    return _any_url(lambda u: D.url_host(u).rlike(MIXED_LABEL))
+    """One label of mixed scripts, or a protected brand's look-alike, in either spelling of the host."""
+    decoded = F.exists("idn_hosts", lambda h: F.coalesce(protected_spelling(h) | h.rlike(MIXED_LABEL), F.lit(False)))
+    return _any_url(lambda u: D.url_host(u).rlike(MIXED_LABEL) | protected_spelling(D.url_host(u))) | decoded
 
 
 @detector("MISSING_DATE", "headers")
@@ -438,11 +531,28 @@ def _virus() -> Column:
     return holds(F.col("raw_text")) | F.coalesce(F.exists("parts", lambda p: holds(F.decode(p["content"], "ISO-8859-1"))), F.lit(False))
 
 
-@detector("MIME_BAD_EXTENSION", "mime", options=lambda: F.filter(F.transform("parts", lambda p: p["filename"]), lambda f: bad_extension(f).isNotNull()))
+def _bad_multiplier() -> Column:
+    """Every bad attachment counts with its own multiplier."""
+    return F.aggregate("parts", F.lit(0.0), lambda a, p: a + F.coalesce(bad_extension(p["filename"]), F.lit(0.0)))
+
+
+@detector("MIME_BAD_EXTENSION", "mime", options=lambda: F.filter(F.transform("parts", lambda p: p["filename"]), lambda f: bad_extension(f).isNotNull()), multiplier=_bad_multiplier)
 def _extension() -> Column:
     return F.exists("parts", lambda p: bad_extension(p["filename"]).isNotNull())
 
 
+def declared_otherwise(mime: Column, filename: Column) -> Column:
+    """Whether an extension with a well-known type is declared as something else; generic types tell nothing."""
+    known = F.expr("map(" + ", ".join(f"'{e}', array({', '.join(repr(k) for k in kinds)})" for e, kinds in R.EXTENSION_TYPES.items()) + ")")
+    kinds = F.element_at(known, F.lower(F.regexp_extract(filename, r"\.([A-Za-z0-9]+)$", 1)))
+    return F.coalesce(kinds.isNotNull() & ~F.lower(mime).isin("application/octet-stream", "") & ~F.array_contains(kinds, F.lower(mime)), F.lit(False))
+
+
+@detector("MIME_BAD_ATTACHMENT", "mime", options=lambda: F.transform(F.filter("parts", lambda p: declared_otherwise(p["mime"], p["filename"])), lambda p: F.concat_ws(":", p["mime"], p["filename"])))
+def _attachment() -> Column:
+    return F.exists("parts", lambda p: p["attached"] & declared_otherwise(p["mime"], p["filename"]))
+
+
 def user_rule(name: str, condition: str, score: float, group: str = "user") -> None:
     """Register a rule whose condition is given as SQL text over the messages' columns, by configuration."""
     REGISTRY[name] = Detector(name, score, group, "normal", lambda: F.expr(condition), None, [n for n in _EXTRACTORS])

@@ -13,6 +13,7 @@ from threatloom.functions import domains as D
 from threatloom.functions import refdata as R
 from threatloom.functions import text as T
 from threatloom.functions.codecs import base64_text, decode_entities, decode_quoted_printable, fully_decode, percent_decode
+from threatloom.functions.markup import markup
 
 MAX_URLS, MAX_DATA_URIS, MAX_BASE64, MAX_DECODED = 100, 100, 5, 10_240
 MAX_BASE64_CHARS, MAX_DATA_CHARS, MAX_PART = 13_656, 13_658, 1_048_576
@@ -61,13 +62,15 @@ def data_uri_urls(uris: Column, known: Column) -> Column:
     return F.array_except(found, known)
 
 
-def attribute_uris(tags: Column) -> Column:
-    """Data URIs of tags ARRAY<STRUCT<tag, attrs MAP>> in the attributes that may navigate."""
-    def of(t: Column) -> Column:
-        pick = [F.when((F.lower(t["tag"]) == tag) & t["attrs"][a].rlike("^[dD][aA][tT][aA]:"), t["attrs"][a]) for tag, attrs in R.DATA_URI_ATTRS.items() for a in attrs]
-        return F.filter(F.array(*pick), lambda x: x.isNotNull())
+def attribute_uris(attrs: Column) -> Column:
+    """Data URIs of navigating attributes ARRAY<STRUCT<tag, attr, value>> (see markup), each once."""
+    values = F.transform(attrs, lambda a: F.trim(T.basic_entities(a["value"])))
+    return F.array_distinct(F.filter(values, lambda v: v.rlike("^[dD][aA][tT][aA]:")))
 
-    return F.flatten(F.transform(tags, of))
+
+def page_markup(pages: Column) -> Column:
+    """struct(anchors, attrs, images) of a message's HTML parts (ARRAY<STRING>), attrs being those that may carry data URIs."""
+    return markup(pages, R.DATA_URI_ATTRS)
 
 
 def http_href(href: Column) -> Column:
@@ -78,25 +81,9 @@ def http_href(href: Column) -> Column:
     return F.when(F.lower(h).rlike("^https?://"), h)
 
 
-ANCHOR = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)[^>]*>(.*?)</a\s*>"""
-
-
-def anchors(page: Column) -> Column:
-    """ARRAY<STRUCT<href, text>> of links, in any letter case and quoting, with their text; tags inside a link are dropped."""
-    hrefs = F.transform(F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(1)), lambda h: F.regexp_replace(h, "^[\"']|[\"']$", ""))
-    texts = F.transform(F.regexp_extract_all(page, F.lit(ANCHOR), F.lit(2)), T.strip_tags)
-    return F.zip_with(hrefs, texts, lambda h, t: F.struct(h.alias("href"), t.alias("text")))
-
-
-def hrefs(page: Column) -> Column:
-    """Targets of a page's links that lead to http(s), entities decoded, each once."""
-    return F.array_distinct(F.filter(F.transform(anchors(page), lambda a: http_href(a["href"])), lambda h: h.isNotNull()))
-
-
-def page_data_uris(page: Column) -> Column:
-    """Data URIs in the attributes of a page's tags that may navigate."""
-    found = F.regexp_extract_all(page, F.lit(r"""(?is)\s(?:href|src|action|formaction|data|srcdoc|poster|content)\s*=\s*["']?(data:[^"'\s>]*)"""), F.lit(1))
-    return F.array_distinct(found)
+def hrefs(anchors: Column) -> Column:
+    """Targets of links (ARRAY<STRUCT<href, text>>) that lead to http(s), entities decoded, each once."""
+    return F.array_distinct(F.filter(F.transform(anchors, lambda a: http_href(a["href"])), lambda h: h.isNotNull()))
 
 
 def redirect_targets(url: Column) -> Column:
@@ -105,7 +92,7 @@ def redirect_targets(url: Column) -> Column:
     query = F.regexp_replace(D.url_query(url), "&amp;|&AMP;", "&")
     pairs = F.filter(F.split(query, "[&;]"), lambda p: p.rlike("^[^=]+="))
     named = F.transform(pairs, lambda p: F.struct(F.lower(fully_decode(F.regexp_extract(p, "^([^=]+)=", 1))).alias("parameter"), fully_decode(F.regexp_extract(p, r"^[^=]+=([\s\S]*)$", 1)).alias("target")))
-    return F.filter(named, lambda t: (t["parameter"].isin(R.REDIRECT_PARAMS) | last.isin(R.REDIRECT_PATHS)) & F.lower(t["target"]).rlike("^(https?|wss?)://"))
+    return F.filter(named, lambda t: (D.among(t["parameter"], R.REDIRECT_PARAMS) | D.among(last, R.REDIRECT_PATHS)) & F.lower(t["target"]).rlike("^(https?|wss?)://"))
 
 
 _ICAL_URL = re.compile(r"[A-Za-z][A-Za-z0-9_+.-]*://[A-Za-z0-9.\-_%:/?=&~#+]+")

@@ -246,8 +246,8 @@ h AS (SELECT page_id, list_filter(list_transform(parts, lambda x: trim(regexp_ex
 SELECT page_id, len(hs) AS n_links, array_to_string(hs, '|') AS hrefs FROM h"""
 )
 def html_anchors(spark, sf):
-    a = extract.anchors(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.size(a).cast("long").alias("n_links"), F.array_join(F.transform(a, lambda x: x["href"]), "|").alias("hrefs"))
+    read = table(spark, sf, "pages").select("page_id", extract.page_markup(F.array("html")).alias("m")).select("page_id", F.col("m.anchors.href").alias("hrefs"))
+    return read.select("page_id", F.size("hrefs").cast("long").alias("n_links"), F.array_join("hrefs", "|").alias("hrefs"))
 
 
 _LINKS = f"""SELECT page_id AS id, {pick('page_id', ['https://evil.net/x', '//cdn.paypal.com/a', 'wss://chat.corp.org', 'mailto:a@b.com', None, 'http://sub.amazon.co.uk/p'], 'url')} AS href,
@@ -823,7 +823,7 @@ _SUITE = [
     (_HEAD + "\nhello there", 0, "OCR_SKIPPED", "no_action"),
     ("From: a@b.com\n\nhello", 1, "MISSING_DATE,OCR_SKIPPED", "no_action"),
     (_HEAD + "List-Unsubscribe: <https://paypal.com.evil-site.net/u>\n\nhello", 5, "HEADER_URL_EXTRACTION,OCR_SKIPPED,PHISH_URL_HEURISTIC", "no_action"),
-    (_HEAD + _HTML + "\n<A HREF='https://xn--80ak6aa92e.com/x'>x</A>", 6, "LOOKALIKE_DOMAIN,OCR_SKIPPED", "add_header"),
+    (_HEAD + _HTML + "\n<A HREF='https://xn--80ak6aa92e.com/x'>x</A>", 6, "IDN_HOMOGRAPH,LOOKALIKE_DOMAIN,OCR_SKIPPED", "add_header"),
     (_HEAD + "\nsee https://a.com/redirect?url=https://m1crosoft.com", 12, "LOOKALIKE_DOMAIN,OCR_SKIPPED,OPEN_REDIRECT", "add_header"),
     (_HEAD + "\n" + R.GTUBE, 0, "GTUBE,OCR_SKIPPED", "reject"),
     ("From: =?utf-8?B?UGF5UGFsIFN1cHBvcnQ=?= <a@evil.net>\nDate: x\nSubject: =?utf-8?B?YnV5IGdpZnQgY2FyZHM=?=\n\nhi", 11, "BEC_PATTERN,FROM_DISPLAY_IMPERSONATION,OCR_SKIPPED", "add_header"),

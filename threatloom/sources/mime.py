@@ -15,8 +15,8 @@ from threatloom.runtime import ship
 
 MESSAGE = (
     "message_id string, subject string, date string, from_name string, from_domain string, from_all array<struct<name string, domain string>>, reply_domain string, rcpt_domains array<string>,"
-    " list_unsubscribe string, text string, html string, raw_text string, plain_only boolean, urls array<string>,"
-    " parts array<struct<mime string, length bigint, width int, height int, multipart boolean, filename string, attached boolean, content binary>>"
+    " list_unsubscribe string, text string, html string, html_parts array<string>, raw_text string, plain_only boolean, urls array<string>,"
+    " parts array<struct<mime string, length bigint, width int, height int, multipart boolean, filename string, attached boolean, content binary>>, error string"
 )
 _URL = re.compile(r"https?://[^\s<>\"']+", re.I)
 _HREF = re.compile(r"href\s*=\s*[\"']?(https?://[^\"'\s>]+)", re.I)
@@ -49,8 +49,8 @@ def _decoded(value: str) -> str:
 
 
 def parse_message(name: str, raw: bytes, known_tld_only: bool = True) -> dict:
-    """One mail as a row of MESSAGE. Malformed input never fails: what can't be read is null or empty."""
-    out: dict = {"message_id": name, "parts": [], "urls": [], "from_all": [], "rcpt_domains": [], "plain_only": False}
+    """One mail as a row of MESSAGE. Malformed input never fails: what can't be read is null or empty, and `error` says why."""
+    out: dict = {"message_id": name, "parts": [], "urls": [], "from_all": [], "rcpt_domains": [], "html_parts": [], "plain_only": False}
     try:
         m = BytesParser(policy=policy.compat32).parsebytes(raw or b"")
         head = lambda k: None if m[k] is None else str(m[k])
@@ -84,11 +84,11 @@ def parse_message(name: str, raw: bytes, known_tld_only: bool = True) -> dict:
             "subject": subject, "date": head("Date"), "from_name": sender[0][0] if sender else None, "from_domain": _domain(sender),
             "from_all": [{"name": n, "domain": _domain([(n, a)])} for n, a in sender],
             "reply_domain": _domain(getaddresses([head("Reply-To") or ""])), "rcpt_domains": [d for a in getaddresses([head("To") or ""]) if (d := _domain([a]))],
-            "list_unsubscribe": head("List-Unsubscribe"), "text": lower("\n".join([subject or "", *bodies])), "html": "\n".join(pages),
+            "list_unsubscribe": head("List-Unsubscribe"), "text": lower("\n".join([subject or "", *bodies])), "html": "\n".join(pages), "html_parts": pages,
             "raw_text": raw.decode("utf-8", "replace"), "plain_only": plain and texts > 0, "urls": list(dict.fromkeys(links)),
         }
-    except Exception:  # a mail that can't be parsed is a mail without content
-        pass
+    except Exception as e:  # a mail that can't be parsed is a mail without content, and says why
+        out["error"] = f"{type(e).__name__}: {e}"[:200]
     return out
 
 
@@ -97,11 +97,11 @@ def parse_messages(files: DataFrame, known_tld_only: bool = True) -> DataFrame:
     import pandas as pd
 
     ship(files.sparkSession)
-    names = [x.split()[0] for x in ("message_id subject date from_name from_domain from_all reply_domain rcpt_domains list_unsubscribe text html raw_text plain_only urls parts").split()]
+    names = [x.split()[0] for x in ("message_id subject date from_name from_domain from_all reply_domain rcpt_domains list_unsubscribe text html html_parts raw_text plain_only urls parts error").split()]
 
     def parse(batches):
         for pdf in batches:
             rows = [parse_message(p, c, known_tld_only) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(parse, MESSAGE)
