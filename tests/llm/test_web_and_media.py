@@ -163,3 +163,14 @@ def test_pairs_at_a_time_equal_one_by_one():
     want = np.array([media.inliers(feats[x], feats[y]) for x, y in zip(i, j, strict=True)])
     got = media.inliers_of(feats, i, j)
     assert (got == np.where(want >= media.MIN_INLIERS, want, got)).all() and ((got >= media.MIN_INLIERS) == (want >= media.MIN_INLIERS)).all()
+
+
+def test_captures_without_an_id_or_under_one_id_are_rows_of_their_own(spark):
+    entries = spark.createDataFrame([(1, "block", "bad.org", "add", 0), (2, "block", "deep.org/a/b/c/d/e", "add", 0), (3, "allow", "deep.org/a/b", "add", 0)], "entry_id long, list_name string, pattern string, action string, changed long")
+    long = "https://deep.org/a/b/c/d/e/" + "x" * 100_000
+    caps = [(None, "https://bad.org/", 5), (None, "https://good.org/", 5), (1, "https://bad.org/", 5), (1, "https://good.org/", 5), (1, "https://good.org/", 5), (1, "https://bad.org/", None), (2, long, 1), (2, None, 1)]
+    got = sorted((str(r.capture_id), str(r.url)[:16], str(r.fetch_time), r.verdict) for r in urlfilter.judge(spark.createDataFrame(caps, "capture_id long, url string, fetch_time long"), entries).collect())
+    assert got == sorted([
+        ("None", "https://bad.org/", "5", "block"), ("None", "https://good.org", "5", "none"), ("1", "https://bad.org/", "5", "block"), ("1", "https://good.org", "5", "none"),
+        ("1", "https://good.org", "5", "none"), ("1", "https://bad.org/", "None", "none"), ("2", "https://deep.org", "1", "block"), ("2", "None", "1", "none"),
+    ])

@@ -7,8 +7,9 @@ Of the entries in force the longest pattern decides, and among equally long ones
 
 Edge cases: several changes of a pattern at one time: the larger entry_id counts; adding twice or removing what isn't
 there changes nothing; null patterns, lists or dates are no entries; a capture without a host or time has no entry in
-force and is kept; repeated captures are judged alike (capture_id is the key of the result, so they give one row);
-empty tables give empty or all-kept results; extra columns are ignored. A hot host is split by time.
+force and is kept; every row of captures has its own row in the result, whether its id is null or repeated, with the same
+or another URL (under one id and time, URLs are told apart by a 64-bit hash); empty tables give empty or all-kept results;
+extra columns are ignored. A hot host is split by time.
 """
 
 from __future__ import annotations
@@ -41,19 +42,22 @@ def lookup_keys(url: Column) -> Column:
 
 
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
-    """captures: capture_id, url, fetch_time long -> capture_id, n_active, verdict ('block', 'allow' or 'none'), rule, entry_id."""
+    """captures: capture_id, url, fetch_time long -> these, n_active, verdict ('block', 'allow' or 'none'), rule, entry_id; a row for every row."""
     spans = validity(entries)
-    held = captures.select("capture_id", "url", "fetch_time").dropDuplicates(["capture_id"])
-    keyed = held.select("capture_id", "fetch_time", F.explode(lookup_keys(F.col("url"))).alias("pattern"))
+    held = captures.select("capture_id", "url", "fetch_time", F.xxhash64("url").alias("_u"))
+    keyed = held.distinct().select("capture_id", "fetch_time", "_u", F.explode(lookup_keys(F.col("url"))).alias("pattern"))
     listed = keyed.join(spans.select("list_name", "pattern").distinct(), "pattern")
     events = spans.select("list_name", "pattern", F.col("valid_from").alias("fetch_time"), F.col("entry_id").alias("_order"), F.struct("valid_to", "entry_id").alias("_span"))
     hits = asof_join(listed, events, ["list_name", "pattern"], "fetch_time", "_order", "_span", strict=False)
     hits = hits.where(F.col("_span").isNotNull() & (F.col("_span.valid_to").isNull() | (F.col("fetch_time") < F.col("_span.valid_to"))))
     top = F.max(F.struct(F.length("pattern").alias("size"), (F.col("list_name") == "allow").alias("allow"), "pattern", "list_name", F.col("_span.entry_id").alias("entry_id"))).alias("top")
-    verdicts = hits.groupBy("capture_id").agg(F.count("*").alias("n_active"), top)
-    return held.join(verdicts, "capture_id", "left").select(
-        "capture_id", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("top.list_name", F.lit("none")).alias("verdict"), F.coalesce("top.pattern", F.lit("")).alias("rule"), F.col("top.entry_id").alias("entry_id")
-    )
+    verdicts = hits.groupBy("capture_id", "fetch_time", "_u").agg(F.count("*").alias("n_active"), top)
+    mine, found = held.alias("c"), verdicts.alias("v")
+    same = F.col("c.capture_id").eqNullSafe(F.col("v.capture_id")) & (F.col("c.fetch_time") == F.col("v.fetch_time")) & (F.col("c._u") == F.col("v._u"))
+    return mine.join(found, same, "left").select(
+        "c.capture_id", "c.url", "c.fetch_time", F.coalesce("n_active", F.lit(0)).alias("n_active"), F.coalesce("top.list_name", F.lit("none")).alias("verdict"),
+        F.coalesce("top.pattern", F.lit("")).alias("rule"), F.col("top.entry_id").alias("entry_id"),
+    )
 
 
 #: Dated entries drawn from the pages' own hosts and paths, in SQL that both engines read.
@@ -62,6 +66,7 @@ SELECT page_id * 4 + k AS entry_id,
        CASE WHEN page_id % 4 = 1 AND k < 2 THEN 'allow' ELSE 'block' END AS list_name,
        CASE WHEN page_id % 6 = 0 THEN regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)
             WHEN page_id % 6 = 3 THEN regexp_extract(url, '^[a-z]+://[a-z]+[.]([^/?#]+)', 1)
+            WHEN page_id % 6 = 1 THEN regexp_extract(url, '^[a-z]+://([^?#]*[^/?#])', 1)
             ELSE regexp_extract(url, '^[a-z]+://([^/?#]+/[a-z]+)', 1) END AS pattern,
        CASE WHEN k % 2 = 0 THEN 'add' ELSE 'remove' END AS action,
        page_id * 31 + k * 5000 + (page_id % 7) * 100 AS changed
@@ -73,7 +78,8 @@ FETCHES_SQL = """SELECT page_id * 2 + k AS capture_id, url, page_id * 31 + k * 1
 def op2_url_filters(spark, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/pages.parquet").createOrReplaceTempView("threatloom_pages")
     read = lambda q: spark.sql(q.replace("FROM pages", "FROM threatloom_pages"))
-    return judge(read(FETCHES_SQL), read(ENTRIES_SQL)).withColumn("entry_id", F.coalesce("entry_id", F.lit(-1)))
+    judged = judge(read(FETCHES_SQL), read(ENTRIES_SQL)).drop("url", "fetch_time")
+    return judged.withColumn("entry_id", F.coalesce("entry_id", F.lit(-1)))
 
 
 OP2_SQL = rf"""
@@ -85,7 +91,7 @@ v AS (SELECT list_name, pattern, changed AS valid_from, valid_to, entry_id FROM
 h AS (SELECT *, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)) AS host, list_filter(string_split(regexp_extract(url, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM f),
 k AS (SELECT DISTINCT capture_id, fetch_time, pattern FROM (
         SELECT capture_id, fetch_time, array_to_string(string_split(host, '.')[i:], '.') AS pattern FROM (SELECT *, unnest(generate_series(1, greatest(len(string_split(host, '.')) - 1, 1))) AS i FROM h)
-        UNION ALL SELECT capture_id, fetch_time, host || '/' || array_to_string(parts[:i], '/') FROM (SELECT *, unnest(generate_series(1, least(len(parts), 3))) AS i FROM h WHERE len(parts) > 0))),
+        UNION ALL SELECT capture_id, fetch_time, host || '/' || array_to_string(parts[:i], '/') FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM h WHERE len(parts) > 0))),
 a AS (SELECT k.capture_id, v.* FROM k JOIN v ON v.pattern = k.pattern AND k.fetch_time >= v.valid_from AND (v.valid_to IS NULL OR k.fetch_time < v.valid_to)),
 t AS (SELECT *, count(*) OVER (PARTITION BY capture_id) AS n, row_number() OVER (PARTITION BY capture_id ORDER BY length(pattern) DESC, (list_name = 'allow') DESC, pattern DESC, list_name DESC, entry_id DESC) AS rn FROM a)
 SELECT f.capture_id, coalesce(t.n, 0) AS n_active, coalesce(t.list_name, 'none') AS verdict, coalesce(t.pattern, '') AS rule, coalesce(t.entry_id, -1) AS entry_id FROM f LEFT JOIN t ON t.capture_id = f.capture_id AND t.rn = 1
