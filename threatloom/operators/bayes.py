@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.functions import refdata as R
+from threatloom.functions.text import once
 
 TOKEN = "[a-z0-9]+"
 
@@ -14,12 +15,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
-def once(value: Column, use) -> Column:
-    """use(value) with value evaluated once a row: a lambda's variable is bound, while an expression that a lambda holds is
-    evaluated again for each element."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def sparse_bigrams(tokens: Column, reach: int = 4) -> Column:
     """Ordered pairs of a word and each of the next `reach`, with their distance: 'a~2~c'."""
 

@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threatloom.functions import codecs
+from threatloom.functions import codecs, markup
 from threatloom.functions import domains as D
 from threatloom.functions import refdata as R
 from threatloom.functions import text as T
-from threatloom.operators import bayes, detect, extract, gates, golden, maps, monitor, score
+from threatloom.operators import bayes, detect, extract, gates, golden, maps, monitor, patterns, ranges, score, similar, suffixes
 from threatloom.plans import scan
 from threatloom.sources import files, mime
 from threatloom.streaming import jobs
@@ -842,3 +842,89 @@ def scan_verdicts(spark, sf):
     raw = table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("path"), mail.cast("binary").alias("content"))
     out = scan.scan(mime.parse_messages(raw))
     return out.select("message_id", "score", F.array_join("fired", ",").alias("fired"), "action")
+
+
+# --- tables of tags, terms, brands, suffixes and networks ---------------------------------------------------------------
+
+_SQL_TAG = r"""<([A-Za-z][^\s/>]*)(?:[\s/]+[^\s/>=][^\s/>=]*(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*[\s/]*>"""
+
+
+@query(f"""WITH p AS (SELECT page_id, concat(html, '<a href="data:text/html,<b>', page_id, ' > x</b>" title=''t''>link</a><img src=data:,', page_id, '>') AS html FROM pages),
+c AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style|title)([^>]*)>.*?</(script|style|title)>', '<\\1\\2>', 'g'), '(?s)<!--.*?-->', '', 'g') AS html FROM p),
+t AS (SELECT page_id, unnest(regexp_extract_all(html, {lit(_SQL_TAG)}, 0)) AS tag FROM c),
+n AS (SELECT page_id, lower(regexp_extract(tag, '^<([A-Za-z][^\\s/>]*)', 1)) AS tag, CASE WHEN regexp_matches(tag, '(?i)\\shref\\s*=') THEN trim(regexp_extract(tag, '(?i)\\shref\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)', 1), '"' || chr(39)) END AS href FROM t)
+SELECT page_id, tag, count(*) AS n, count(href) AS hrefs, count(*) FILTER (WHERE starts_with(href, 'data:')) AS data_uris, max(href) AS last_href FROM n GROUP BY 1, 2""")
+def html_tags(spark, sf):
+    """The token table's start tags, counted by page and tag, over pages with `>` and blanks inside quoted values."""
+    page = F.concat("html", F.lit('<a href="data:text/html,<b>'), F.col("page_id").cast("string"), F.lit(" > x</b>\" title='t'>link</a><img src=data:,"), F.col("page_id").cast("string"), F.lit(">"))
+    rows = markup.html_tokens(table(spark, sf, "pages").select("page_id", page.alias("html")), "page_id", "html").where("kind = 'start'")
+    href = F.col("attrs")["href"]
+    return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.count(href).alias("hrefs"), F.count_if(href.startswith("data:")).alias("data_uris"), F.max(href).alias("last_href"))
+
+
+_FIXED_TERMS = [("wire", "account number", "plural"), ("gift", "gift card", "plural"), ("obfuscated", "c1ick", "word"), ("short", "ou", "strict"), ("short", "le", "word"), ("part", "tion", "any"), ("short", "de", "plural"), ("strict", "de", "strict")]
+#: Terms whose first character comes once can't overlap themselves, so that SQL may find them by splitting.
+_TERMS = """SELECT list_name, term, boundary FROM (SELECT DISTINCT 'benchmark' AS list_name, regexp_extract(text, '^([^ ]+ [^ ]+)', 1) AS term, 'strict' AS boundary FROM benchmark) b
+ WHERE position(lower(left(term, 1)) IN lower(substr(term, 2))) = 0 UNION ALL SELECT * FROM (VALUES """ + ", ".join(f"({', '.join(lit(x) for x in t)})" for t in _FIXED_TERMS) + ") AS v(list_name, term, boundary)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT list_name, {_LOWER.format('term')} AS term, boundary FROM ({_TERMS}) u WHERE term <> ''), d AS (SELECT doc_id, {_LOWER.format('text')} AS text FROM documents),
+k AS (SELECT doc_id, list_name, term, boundary, string_split(text, term) AS parts FROM d JOIN t ON contains(text, term)),
+o AS (SELECT doc_id, list_name, term, boundary, len(parts) AS n, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM k),
+w AS (SELECT *, sum(length(part)) OVER w + (i - 1) * length(term) AS pos, lead(part) OVER w AS rest FROM o WINDOW w AS (PARTITION BY doc_id, list_name, term, boundary ORDER BY i)),
+s AS (SELECT *, CASE WHEN part <> '' THEN right(part, 1) WHEN i = 1 THEN '' ELSE right(term, 1) END AS before, left(rest || CASE WHEN i + 1 < n THEN term ELSE '' END, 1) AS after, substr(rest || CASE WHEN i + 1 < n THEN term ELSE '' END, 2, 1) AS later FROM w WHERE rest IS NOT NULL)
+SELECT doc_id, list_name, term, CAST(pos AS BIGINT) AS "offset" FROM s WHERE CASE boundary WHEN 'any' THEN true WHEN 'strict' THEN NOT regexp_matches(before, '[A-Za-z0-9]') AND NOT regexp_matches(after, '[A-Za-z0-9]')
+ WHEN 'word' THEN NOT regexp_matches(before, '[A-Za-z0-9_]') AND NOT regexp_matches(after, '[A-Za-z0-9_]') ELSE NOT regexp_matches(before, '[A-Za-z]') AND (NOT regexp_matches(after, '[A-Za-z0-9]') OR (after = 's' AND NOT regexp_matches(later, '[A-Za-z0-9]'))) END""")
+def term_hits(spark, sf):
+    """Terms of a table, drawn from the benchmark's passages beside fixed ones, in all documents: list, term and offset."""
+    return patterns.term_hits(table(spark, sf, "documents"), "doc_id", "text", run(spark, sf, _TERMS))
+
+
+_NAMES = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS name FROM documents"
+_SITES = f"SELECT DISTINCT regexp_extract(url, '^[a-z]+://(?:[a-z]+[.])?([a-z0-9-]+)[.]example', 1) AS brand FROM pages UNION SELECT * FROM (VALUES {', '.join(f'({lit(b)})' for b in R.BRANDS)}) AS v(brand)"
+
+
+@query(f"WITH n AS ({_NAMES}), b AS ({_SITES}) SELECT name, brand, levenshtein(name, brand) AS distance FROM n JOIN b ON abs(length(name) - length(brand)) <= 2 AND brand <> '' AND name NOT IN (SELECT brand FROM b) WHERE levenshtein(name, brand) BETWEEN 1 AND 2")
+def names_near_brands(spark, sf):
+    """All words of the documents within two edits of a brand; the brands are the pages' site names beside the fixed ones."""
+    names = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("name"))
+    return similar.near(names, "name", run(spark, sf, _SITES)).withColumn("distance", F.col("distance").cast("long"))
+
+
+@query(ORACLES["lookalike_domain"].replace("SELECT n.url_id, n.host,", "SELECT DISTINCT n.host,"))
+def lookalike_join(spark, sf):
+    """lookalike_domain by joins with a table of brands, a row for each distinct host."""
+    return similar.lookalikes(run(spark, sf, URLS), "host", similar.fixed_brands(spark))
+
+
+_RULES = ["com", "org", "net", "uk", "co.uk", "*.ck", "!www.ck", "com.au", "*.kawasaki.jp", "!city.kawasaki.jp", "jp", "example.org", "*.example.net", "de", "blogspot.com"]
+_SUFFIXED = f"SELECT page_id, {pick('page_id', ['www.ck', 'a.b.ck', 'x.city.kawasaki.jp', 'x.y.kawasaki.jp', 'kawasaki.jp', 'A.B.co.uk.', 'co.uk', 'shop.blogspot.com', None, 'one', None, 'a.b.unknown', 'ck'], 'NULL')} AS fixed, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS own FROM pages"
+_RULED = f"SELECT page_id, coalesce(fixed, own) AS host FROM ({_SUFFIXED}) u"
+
+
+@query(f"""WITH h AS (SELECT DISTINCT host, list_filter(string_split(regexp_replace(lower(host), '^[.]+|[.]+$', '', 'g'), '.'), lambda x: x <> '') AS l FROM ({_RULED}) u),
+t AS (SELECT host, l, unnest(generate_series(1, len(l))) AS n FROM h), r AS (SELECT * FROM (VALUES {', '.join(f'({lit(x)})' for x in _RULES)}) AS v(rule)),
+m AS (SELECT host, CASE WHEN starts_with(rule, '!') THEN 1000 + n - 1 ELSE n END AS score FROM t JOIN r ON array_to_string(l[-n:], '.') = ltrim(rule, '!') OR (starts_with(rule, '*.') AND n > 1 AND array_to_string(l[-n+1:], '.') = rule[3:])),
+b AS (SELECT host, max(score) % 1000 AS n FROM m GROUP BY 1), f AS (SELECT h.host, l, coalesce(b.n, 1) AS n FROM h LEFT JOIN b USING (host) WHERE len(l) > 0)
+SELECT host, array_to_string(l[-n:], '.') AS suffix, CASE WHEN len(l) > n THEN array_to_string(l[-n-1:], '.') END AS domain FROM f""")
+def suffix_rules(spark, sf):
+    """Registered domains of the pages' hosts by rules with wildcards and exceptions."""
+    return suffixes.registered(run(spark, sf, _RULED), "host", spark.createDataFrame([(r,) for r in _RULES], "rule string"))
+
+
+_ADDRESSES = """SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN concat('2001:db8:', lower(hex(user_id % 7 + 1)), '::', lower(hex(event_id % 65536)))
+ WHEN event_id % 11 = 0 THEN concat('::ffff:10.', user_id % 4, '.', event_id % 256, '.', event_id % 200) ELSE concat('10.', user_id % 4, '.', event_id % 256, '.', event_id % 200) END AS address,
+ CASE WHEN event_id % 3 = 0 THEN 6 ELSE 4 END AS family, user_id % 4 AS b, event_id % 256 AS c, event_id % 200 AS d, user_id % 7 + 1 AS g FROM events"""
+_NETWORKS = """SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN concat('10.', s_suppkey % 5, '.0.0/16') WHEN 1 THEN concat('10.', s_suppkey % 3, '.', s_suppkey % 256, '.77/24') WHEN 2 THEN concat('10.', s_suppkey % 4, '.', s_suppkey % 256, '.', s_suppkey % 200) ELSE concat('2001:db8:', lower(hex(s_suppkey % 9)), '::/48') END AS network,
+ CASE s_suppkey % 4 WHEN 0 THEN 16 WHEN 1 THEN 24 WHEN 2 THEN 32 ELSE 48 END AS length, concat('zone', s_suppkey % 10) AS zone,
+ CASE s_suppkey % 4 WHEN 0 THEN s_suppkey % 5 WHEN 1 THEN s_suppkey % 3 WHEN 2 THEN s_suppkey % 4 ELSE s_suppkey % 9 END AS a, CASE WHEN s_suppkey % 4 IN (1, 2) THEN s_suppkey % 256 END AS c, CASE WHEN s_suppkey % 4 = 2 THEN s_suppkey % 200 END AS d FROM supplier"""
+
+
+@query(f"""WITH x AS (SELECT DISTINCT address, family, CASE WHEN family = 4 THEN b ELSE g END AS a, CASE WHEN family = 4 THEN c END AS c, CASE WHEN family = 4 THEN d END AS d FROM ({_ADDRESSES}) u), n AS ({_NETWORKS}),
+m AS (SELECT address, n.length, n.zone FROM x JOIN n ON (n.length = 48) = (family = 6) AND n.a = x.a AND (n.c IS NULL OR n.c = x.c) AND (n.d IS NULL OR n.d = x.d)),
+l AS (SELECT address, max(length) AS length FROM m GROUP BY 1) SELECT address, length, array_to_string(list_sort(list(DISTINCT zone)), '|') AS zones FROM l JOIN m USING (address, length) GROUP BY 1, 2""")
+def address_ranges(spark, sf):
+    """Addresses of events in nested networks of both families: the longest prefix with its zones."""
+    found = ranges.longest_networks(run(spark, sf, _ADDRESSES), "address", run(spark, sf, _NETWORKS))
+    return found.select("address", F.col("length").cast("long").alias("length"), F.array_join("zones", "|").alias("zones"))
