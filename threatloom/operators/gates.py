@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatloom.functions import refdata as R
+from threatloom.runtime import stage
 
 ATTEMPT = ["message_id", "recipient_id", "injection_attempt_id"]
 
@@ -59,7 +60,8 @@ def nearest_index(values: DataFrame, column: str, percents: list[int]) -> DataFr
     Values are counted by value first, so ranks come from a table of distinct values and never from all rows in one task.
     """
     counts = values.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    parts = counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
+    # written, so that both uses below see the same ranges
+    parts = stage(counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id()), "value-ranges")
     sums = parts.groupBy("_p").agg(F.sum("n").alias("s"))
     starts = sums.withColumn("start", F.coalesce(F.sum("s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("s").over(Window.partitionBy(F.lit(0))))
     run = F.sum("n").over(Window.partitionBy("_p").orderBy("v"))

@@ -8,6 +8,8 @@ import time
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from threatloom.runtime import stage
+
 DECISIONS = (
     "message_id string, recipient_id string, injection_attempt_id string, evaluation_id string, score double, rspamd_action string,"
     " policy_action string, scan_time_ms double, scan_status string, scan_mode string, deterministic boolean, fallback boolean, inserted_at timestamp"
@@ -183,8 +185,21 @@ def training_message(text: Column) -> Column:
     return F.replace(F.replace(mail, F.lit("\n"), F.lit("\r\n")), F.lit("\r\r\n"), F.lit("\r\n"))
 
 
+def numbered(rows: DataFrame, by: str, order: str, name: str = "number") -> DataFrame:
+    """rows with their place (from 1) within `by`, in `order`: dealt by ranges, numbered inside them, and moved on by what
+    earlier ranges hold, so that no class is sorted in one task."""
+    dealt = rows.repartitionByRange(by, order).withColumn("_range", F.spark_partition_id())
+    held = stage(dealt, "ranges")  # the ranges are written, so both uses see the same
+    counts = held.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(by, "_range", before.alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(by, "_range").orderBy(order))
+    return held.withColumn("_in", inside).join(starts, [by, "_range"]).withColumn(name, (F.col("_in") + F.col("_start")).cast("long")).select(*rows.columns, name)
+
+
 def numbered_messages(rows: DataFrame, order: str, min_chars: int = 20) -> DataFrame:
     """(class, number, mail): labelled texts of min_chars or more as mails, numbered %06d within their class."""
     rows = rows.where(F.length(F.trim("text")) >= min_chars).withColumn("class", F.when(F.col("is_spam"), "spam").otherwise("ham"))
-    n = F.row_number().over(Window.partitionBy("class").orderBy(order))
-    return rows.select(order, "class", F.lpad(n.cast("string"), 6, "0").alias("number"), training_message(F.col("text")).alias("mail"))
+    n = numbered(rows.select(order, "class", "text"), "class", order)
+    digits = F.col("number").cast("string")
+    return n.select(order, "class", F.lpad(digits, F.greatest(F.length(digits), F.lit(6)), "0").alias("number"), training_message(F.col("text")).alias("mail"))
