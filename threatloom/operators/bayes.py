@@ -74,3 +74,60 @@ def autolearn(scored: DataFrame, n_spam: int, n_ham: int, feature: Column, token
     known = F.array_append(F.array_distinct(feature), F.lit(None).cast("string"))
     rows = kept.select((F.col("_class") == "spam").alias("is_spam"), F.explode(known).alias("token"))
     return rows.groupBy("token").agg(F.count_if("is_spam").alias("spam"), F.count_if(~F.col("is_spam")).alias("ham"))
+
+
+#: Weights of a pair of words by their distance, prior strength, and the band around even odds that says nothing.
+PAIR_WEIGHTS, PRIOR, SILENT, SHARPNESS = [3125.0, 256.0, 27.0, 1.0], 0.5, 0.05, 8
+
+
+def weighted_pairs(tokens: Column) -> Column:
+    """ARRAY<STRUCT<token, weight>>: sparse bigrams with the weight of their distance, each once."""
+
+    def pairs(words: Column, d: int) -> Column:
+        both = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - d, F.lit(0))), F.slice(words, d + 1, F.size(words)), lambda x, y: F.concat(x, F.lit(f"~{d}~"), y))
+        return F.transform(F.array_distinct(both), lambda t: F.struct(t.alias("token"), F.lit(PAIR_WEIGHTS[d - 1]).alias("weight")))
+
+    return once(tokens, lambda w: F.concat(*(pairs(w, d) for d in range(1, len(PAIR_WEIGHTS) + 1))))
+
+
+def chi_square_tail(m: Column, n: Column) -> Column:
+    """Probability that a chi-square of 2n degrees of freedom exceeds 2m: exp(-m) * sum of m^i / i! for i < n.
+
+    Terms are summed by their logarithms, so that neither thousands of features nor certain ones overflow or vanish.
+    """
+    start = F.struct(F.lit(0.0).alias("sum"), (-m).alias("log"))
+    grown = lambda a, i: F.struct((a["sum"] + F.exp(a["log"])).alias("sum"), (a["log"] + F.log(F.greatest(m, F.lit(1e-300))) - F.log(i + 1)).alias("log"))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), start, grown, lambda a: F.least(a["sum"], F.lit(1.0)))).otherwise(1.0)
+
+
+def fisher(docs: DataFrame, stats: DataFrame, n_spam: int, n_ham: int, key: str, features: Column) -> DataFrame:
+    """(key, n_tokens, probability): window-weighted features combined by the inverse chi-square.
+
+    A feature's spam share of its class frequencies is drawn to even odds by its weight and how often it was learnt; shares
+    within SILENT of even odds don't count. With the indicators S and H of spam and ham the probability is (1 + S - H) / 2.
+    A document without a telling feature gets 0.5; below MIN_LEARNS of either class the classifier stays silent (null).
+    """
+    rows = docs.select(key, F.explode_outer(features).alias("_f")).select(key, "_f.token", "_f.weight")
+    known = rows.join(stats, "token", "left")
+    spam, ham = F.col("spam") / F.lit(max(1.0, float(n_spam))), F.col("ham") / F.lit(max(1.0, float(n_ham)))
+    seen = (F.col("spam") + F.col("ham")).cast("double")
+    trust = F.col("weight") * seen / (1 + F.col("weight") * seen)
+    p = (trust * PRIOR + seen * (spam / F.nullif(spam + ham, F.lit(0.0)))) / (trust + seen)
+    told = known.withColumn("_p", p).withColumn("_p", F.when(F.abs(F.col("_p") - 0.5) >= SILENT, F.least(F.greatest("_p", F.lit(1e-6)), F.lit(1 - 1e-6))))
+    sums = told.groupBy(key).agg(F.count("_p").alias("n_tokens"), F.coalesce(-F.sum(F.log("_p")), F.lit(0.0)).alias("_spam"), F.coalesce(-F.sum(F.log(1 - F.col("_p"))), F.lit(0.0)).alias("_ham"))
+    indicators = sums.withColumns({"_s": 1 - chi_square_tail(F.col("_ham"), F.col("n_tokens")), "_h": 1 - chi_square_tail(F.col("_spam"), F.col("n_tokens"))})
+    probability = F.when(F.col("n_tokens") == 0, 0.5).otherwise((1 + F.col("_s") - F.col("_h")) / 2)
+    return indicators.select(key, "n_tokens", F.when(F.lit(min(n_spam, n_ham) >= R.MIN_LEARNS), probability).alias("probability"))
+
+
+def sharpened(p: Column, power: int = SHARPNESS) -> Column:
+    """struct(symbol, multiplier) of a probability: certainty beyond even odds to the power, so that only near certainty weighs."""
+    return F.when(p > 0.5, F.struct(F.lit("BAYES_SPAM").alias("symbol"), F.pow((p - 0.5) * 2, F.lit(power)).alias("multiplier"))).when(p < 0.5, F.struct(F.lit("BAYES_HAM").alias("symbol"), F.pow((0.5 - p) * 2, F.lit(power)).alias("multiplier")))
+
+
+def symbols(messages: DataFrame, stats: DataFrame, n_spam: int, n_ham: int) -> DataFrame:
+    """(message_id, symbol, multiplier, options) of messages (message_id, text), for `scan`; long enough ones only."""
+    words_of = words(F.col("text"))
+    found = fisher(messages.where(F.size(words_of) >= R.LEARN_TOKENS), stats, n_spam, n_ham, "message_id", weighted_pairs(words_of))
+    told = found.withColumn("_s", sharpened(F.col("probability"))).where("_s is not null")
+    return told.select("message_id", "_s.symbol", "_s.multiplier", F.array(F.format_string("%.2f%%", F.col("probability") * 100)).alias("options"))

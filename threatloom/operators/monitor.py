@@ -43,6 +43,16 @@ def learn_rate(samples: DataFrame, by: str, epoch: str) -> DataFrame:
     return out.withColumn("rate", rate).withColumn("rate_alert", F.coalesce(rate > R.MAX_LEARNS_HOUR, F.lit(False))).drop("_dt", "_dn")
 
 
+def audit_counts(lines: DataFrame) -> DataFrame:
+    """(account_id, learns) of an audit log (value): an account and a whole number a line; blank lines and # comments don't
+    count. One malformed line makes the report invalid: the rows then fail with it rather than tell half the truth."""
+    words = F.filter(F.split(F.col("value"), r"[\t-\r ]+"), lambda w: w != "")
+    rows = lines.select(words.alias("w"), "value").where("size(w) > 0 and not startswith(w[0], '#')")
+    valid = (F.size("w") == 2) & ~F.get("w", F.lit(0)).contains("|") & F.get("w", F.lit(1)).rlike("^[0-9]+$")
+    checked = F.when(valid, F.get("w", F.lit(1)).cast("long")).otherwise(F.raise_error(F.concat(F.lit("malformed audit line: "), "value")).cast("long"))
+    return rows.select(F.get("w", F.lit(0)).alias("account_id"), checked.alias("learns"))
+
+
 def account_share(audit: DataFrame) -> DataFrame:
     """One row: the account with most learns (ties: the smaller name), its share to four places and the alert."""
     per = audit.groupBy("account_id").agg(F.sum("learns").alias("learns"))

@@ -928,3 +928,32 @@ def address_ranges(spark, sf):
     """Addresses of events in nested networks of both families: the longest prefix with its zones."""
     found = ranges.longest_networks(run(spark, sf, _ADDRESSES), "address", run(spark, sf, _NETWORKS))
     return found.select("address", F.col("length").cast("long").alias("length"), F.array_join("zones", "|").alias("zones"))
+
+
+_PAIRS = """list_transform([1, 2, 3, 4], lambda d: CASE WHEN len(w) > d THEN list_distinct(list_transform(generate_series(1, len(w) - d), lambda i: w[i] || '~' || d || '~' || w[i + d])) ELSE [] END)"""
+_FISHER = f"""t AS (SELECT doc_id, is_spam, {_TOK} AS w FROM ({_LABELLED}) u), p AS (SELECT is_spam, unnest(flatten({_PAIRS})) AS token FROM t),
+st AS (SELECT token, count(*) FILTER (WHERE is_spam) AS spam, count(*) FILTER (WHERE NOT is_spam) AS ham FROM p GROUP BY 1), z AS (SELECT greatest(count(*) FILTER (WHERE is_spam), 1) AS ns, greatest(count(*) FILTER (WHERE NOT is_spam), 1) AS nh FROM t),
+d AS (SELECT doc_id, {_TOK} AS w FROM documents), f AS (SELECT doc_id, unnest(flatten({_PAIRS})) AS token FROM d),
+g AS (SELECT doc_id, [3125.0, 256.0, 27.0, 1.0][CAST(string_split(f.token, '~')[2] AS INTEGER)] * (spam + ham) AS ws, spam + ham AS n, (spam / ns) / (spam / ns + ham / nh) AS share FROM f JOIN st USING (token), z),
+q AS (SELECT doc_id, (ws / (1 + ws) * 0.5 + n * share) / (ws / (1 + ws) + n) AS p FROM g), r AS (SELECT doc_id, least(greatest(p, 1e-6), 1 - 1e-6) AS p FROM q WHERE abs(p - 0.5) >= 0.05),
+m AS (SELECT doc_id, count(*) AS n, -sum(ln(p)) AS a, -sum(ln(1 - p)) AS b FROM r GROUP BY 1),
+x AS (SELECT doc_id, n, least(sum(exp(-a + i * ln(a) - lgamma(i + 1))), 1) AS ta, least(sum(exp(-b + i * ln(b) - lgamma(i + 1))), 1) AS tb FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM m) GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_FISHER} SELECT documents.doc_id, coalesce(n, 0) AS n_tokens, CASE WHEN least(ns, nh) >= 20 THEN round(CASE WHEN n IS NULL THEN 0.5 ELSE (1 + (1 - tb) - (1 - ta)) / 2 END, 6) END AS probability FROM documents LEFT JOIN x USING (doc_id), z")
+def bayes_fisher(spark, sf):
+    """Documents classified by weighted sparse bigrams and the inverse chi-square."""
+    rows = run(spark, sf, _LABELLED)
+    stats = bayes.learn(rows, bayes.sparse_bigrams(bayes.words(F.col("text"))))
+    found = bayes.fisher(table(spark, sf, "documents"), stats, *_class_sizes(rows), "doc_id", bayes.weighted_pairs(bayes.words(F.col("text"))))
+    return found.withColumn("probability", F.round("probability", 6))
+
+
+_AUDIT = "SELECT CASE WHEN user_id % 50 = 0 THEN concat('# ', event_type) WHEN user_id % 50 = 1 THEN '  ' ELSE concat('  user', user_id % 40, '  ', event_id % 9, ' ') END AS value FROM events"
+
+
+@query(f"""WITH a AS (SELECT string_split(trim(regexp_replace(value, ' +', ' ', 'g')), ' ') AS w FROM ({_AUDIT}) u WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#')), p AS (SELECT w[1] AS account_id, CAST(sum(CAST(w[2] AS BIGINT)) AS BIGINT) AS learns FROM a GROUP BY 1)
+SELECT account_id, learns, CAST((SELECT sum(learns) FROM p) AS BIGINT) AS total, round(learns / (SELECT sum(learns) FROM p), 4) AS share, round(learns / (SELECT sum(learns) FROM p), 4) > {R.MAX_ACCOUNT_SHARE} AS share_alert FROM p ORDER BY learns DESC, account_id LIMIT 1""")
+def audit_share(spark, sf):
+    """The account that learnt most, out of an audit log's lines with comments and blanks."""
+    return monitor.account_share(monitor.audit_counts(run(spark, sf, _AUDIT)))

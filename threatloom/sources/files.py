@@ -122,16 +122,17 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(df: DataFrame, base: str) -> str:
-    """Write a new version beside the old ones and switch the pointer file last, so readers never see half a map."""
-    spark = df.sparkSession
-    version = f"{base}/v{time.time_ns()}"
-    df.write.parquet(version)
-    fs, tmp = _fs(spark, f"{base}/_next")
-    out = fs.create(tmp, True)
-    out.write(bytearray(version.encode()))
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
     out.close()
-    # one step, so that a reader finds the old pointer or the new one
+
+
+def switch(spark: SparkSession, base: str, text: str) -> None:
+    """Put text into the pointer file CURRENT in one step, so that a reader finds the old pointer or the new one."""
+    put_text(spark, f"{base}/_next", text)
+    fs, tmp = _fs(spark, f"{base}/_next")
     hadoop, jvm = "org.apache.hadoop.fs.", spark._jvm
     overwrite = jvm.java.lang.Enum.valueOf(jvm.java.lang.Class.forName(hadoop + "Options$Rename"), "OVERWRITE")
     options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
@@ -139,6 +140,24 @@ def publish(df: DataFrame, base: str) -> str:
     here = fs.makeQualified(tmp)
     there = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{base}/CURRENT"))
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(here.toUri(), spark._jsc.hadoopConfiguration()).rename(here, there, options)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Paths in a folder, in order; none where there is no folder."""
+    fs, p = _fs(spark, path)
+    return sorted(s.getPath().toString() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def publish(df: DataFrame, base: str) -> str:
+    """Write a new version beside the old ones and switch the pointer file last, so readers never see half a map."""
+    version = f"{base}/v{time.time_ns()}"
+    df.write.parquet(version)
+    switch(df.sparkSession, base, version)
     return version
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threatloom.operators import bayes
 from threatloom.sources import files
+from threatloom.streaming.state import not_ahead
 
 
 def _timed(df: DataFrame, ts: str) -> DataFrame:
@@ -20,8 +21,9 @@ def _timed(df: DataFrame, ts: str) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "5 minutes", late: str = "15 minutes") -> DataFrame:
-    """Tumbling counts and sums; rows later than the watermark are dropped in a stream."""
-    out = _timed(events, ts).withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    """Tumbling counts and sums; in a stream rows later than the watermark are dropped, and so are rows whose clock is more
+    than a minute ahead."""
+    out = _timed(not_ahead(events, ts), ts).withWatermark(ts, late).groupBy(F.window(ts, width), by).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), by, "n", "total")
 
 
