@@ -17,7 +17,7 @@ from threatloom.functions import domains as D
 from threatloom.functions import refdata as R
 from threatloom.functions import text as T
 from threatloom.operators import bayes, detect, extract, gates, golden, maps, monitor, patterns, ranges, score, similar, suffixes
-from threatloom.plans import scan
+from threatloom.plans import scan, suite
 from threatloom.sources import files, mime
 from threatloom.streaming import jobs
 
@@ -957,3 +957,33 @@ SELECT account_id, learns, CAST((SELECT sum(learns) FROM p) AS BIGINT) AS total,
 def audit_share(spark, sf):
     """The account that learnt most, out of an audit log's lines with comments and blanks."""
     return monitor.account_share(monitor.audit_counts(run(spark, sf, _AUDIT)))
+
+
+_SITE = "regexp_extract(url, '^[a-z]+://(?:[a-z]+[.])?([a-z0-9-]+)[.]example', 1)"
+#: Kinds of mail, made of each page's own address: corpus, category, expected action and symbols, whether it is dated, body.
+_KINDS = [
+    ("legitimate", "business", "no_action", "", True, "Content-Type: text/plain\n\nThe notes of {site} are at {url} now"),
+    ("attacks", "phishing", "add_header", "PHISH_URL_HEURISTIC,MISSING_DATE", False, 'Content-Type: text/html\n\n<p>sign in <a class=x HREF="https://paypal.{site}-pay{id}.net/?a=1>2">here</a>'),
+    ("attacks", "mismatch", "add_header", "HTML_LINK_MISMATCH", True, "Content-Type: text/html\n\n<a href='https://s{id}.net/'><b>www.{site}</b>.com</a> <a href='https://s{id}.net/'>www.{site}.com</a>"),
+    ("attacks", "bec", "add_header", "BEC_PATTERN", True, "Content-Type: text/plain\n\n{site}: please buy {id} gift cards today"),
+    ("legitimate", "business", "no_action", "", True, 'Content-Type: text/html\n\n<a href="{url}">minutes</a> of {site}, <img src="data:text/html,https://paypal.evil.net/">'),
+    ("attacks", "malware", "add_header", "MIME_BAD_EXTENSION", True, "Content-Type: application/octet-stream; name=i{id}.scr\nContent-Disposition: attachment; filename=i{id}.scr\n\n{site}"),
+    ("attacks", "lookalike", "add_header", "LOOKALIKE_DOMAIN", True, 'Content-Type: text/html\n\n<a href="https://micros0ft-{site}.com/{id}">portal</a>'),
+    ("legitimate", "fp_stress", "no_action", "BEC_PATTERN", True, "Content-Type: text/plain\n\n{site} sent the wire transfer form {id} today"),
+]
+_GOLDEN = f"SELECT page_id, url, {_SITE} AS site, page_id % {len(_KINDS)} AS kind FROM pages"
+_OF_KIND = lambda values: "CASE kind " + " ".join(f"WHEN {i} THEN {lit(v)}" for i, v in enumerate(values)) + " END"
+
+
+@query(f"""SELECT CAST(page_id AS VARCHAR) AS stem, {_OF_KIND([k[1] for k in _KINDS])} AS category, CASE WHEN kind IN (0, 4) THEN 'no_action' ELSE 'add_header' END AS actual_action,
+CASE WHEN kind = 7 THEN 'warning' ELSE 'pass' END AS outcome, '' AS missing FROM ({_GOLDEN}) u""")
+def golden_suite(spark, sf):
+    """The suite end to end: a mail for every page out of its own address and name, scanned and judged."""
+    rows = run(spark, sf, _GOLDEN)
+    fill = lambda t: F.replace(F.replace(F.replace(F.lit(t), F.lit("{site}"), F.col("site")), F.lit("{url}"), F.col("url")), F.lit("{id}"), F.col("page_id").cast("string"))
+    of = lambda values: F.coalesce(*(F.when(F.col("kind") == i, v) for i, v in enumerate(values)))
+    head = F.concat(F.lit("From: Notes <notes@"), "site", F.lit(".com>\nTo: me@there.com\nSubject: "), "site", of([F.lit("\nDate: x\n" if k[4] else "\n") for k in _KINDS]))
+    mails = rows.select(F.col("page_id").cast("string").alias("path"), F.concat(head, of([fill(k[5]) for k in _KINDS])).cast("binary").alias("content"))
+    symbols = F.filter(F.split(of([F.lit(k[3]) for k in _KINDS]), ","), lambda s: s != "")
+    expected = rows.select(F.col("page_id").cast("string").alias("stem"), of([F.lit(k[0]) for k in _KINDS]).alias("corpus"), of([F.lit(k[1]) for k in _KINDS]).alias("category"), of([F.lit(k[2]) for k in _KINDS]).alias("action"), symbols.alias("symbols"))
+    return suite.outcomes(mails, expected).select("stem", "category", "actual_action", "outcome", F.array_join("missing", ",").alias("missing"))

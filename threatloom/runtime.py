@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import gc
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -64,12 +64,15 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder named in spark.checkpoint.dir; where none is set, a folder of our own in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="threatloom-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -99,7 +102,3 @@ def unstage(*frames: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def env_cpus(default: str = "8") -> str:
-    return os.environ.get("BENCH_CPUS", default)

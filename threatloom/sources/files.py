@@ -76,15 +76,25 @@ def decisions_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("inserted_at", F.try_to_timestamp(F.coalesce("inserted_at", "created_at"))).drop("created_at")
 
 
-def decisions_jdbc(spark: SparkSession, url: str, table: str, start: str | None = None, end: str | None = None, days: int = 7, **options: str) -> DataFrame:
-    """Scan decisions from a database; mode and time bounds are pushed down, newest first."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load().where("scan_mode = 'shadow'")
-    if start or end:
-        rows = rows.where(F.col("inserted_at") >= F.to_timestamp(F.lit(start))) if start else rows
-        rows = rows.where(F.col("inserted_at") <= F.to_timestamp(F.lit(end))) if end else rows
-    else:
-        rows = rows.where(F.col("inserted_at") >= F.current_timestamp() - F.expr(f"interval {int(days)} days"))
-    return rows.orderBy(F.col("inserted_at").desc())
+def decisions_jdbc(spark: SparkSession, url: str, table: str, start: str | None = None, end: str | None = None, days: int = 7, partitions: int = 8, **options: str) -> DataFrame:
+    """Scan decisions from a database, newest first: the window (both ends included), or the last `days`, is read in equal
+    ranges of time, one query each, and the mode is filtered by the database too."""
+    import datetime as dt
+
+    def instant(text: str) -> dt.datetime:
+        t = dt.datetime.fromisoformat(text)
+        return (t if t.tzinfo else t.replace(tzinfo=dt.UTC)).astimezone(dt.UTC)
+
+    now = dt.datetime.now(dt.UTC)
+    until = instant(end) if end else None
+    since = instant(start) if start else (until or now) - dt.timedelta(days=days)
+    last = until or max(now, since)
+    cuts = [since + (last - since) * k / partitions for k in range(1, partitions)]
+    when = lambda t: f"{{ts '{t.strftime('%Y-%m-%d %H:%M:%S.%f')}'}}"
+    edges = [since, *sorted(set(cuts) - {since, last}), None]
+    ranges = [f'"inserted_at" >= {when(a)}' + (f' AND "inserted_at" < {when(b)}' if b else f' AND "inserted_at" <= {when(until)}' if until else "") for a, b in zip(edges, edges[1:], strict=False)]
+    rows = spark.read.jdbc(url, table, predicates=ranges, properties=options)
+    return rows.where("scan_mode = 'shadow'").orderBy(F.col("inserted_at").desc())
 
 
 def canary_log(spark: SparkSession, path: str) -> DataFrame:
