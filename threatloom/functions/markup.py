@@ -120,14 +120,20 @@ def html_tokens(pages: DataFrame, key: str, page: str) -> DataFrame:
     """(key, n, kind, tag, attrs, text, link): the token table of a column of pages; a null page has no tokens."""
     ship(pages.sparkSession)
     of_key = pages.schema[key].dataType.simpleString()
+    kinds = [("n", pa.int32()), ("kind", pa.string()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("link", pa.int32())]
 
     def rows(batches):
-        for pdf in batches:
-            for k, html in zip(pdf[key], pdf[page], strict=True):
-                got = [(k, *t) for t in tokens(html)]
-                yield pd.DataFrame(got, columns=[key, "n", "kind", "tag", "attrs", "text", "link"]).astype({"link": "Int32"})
-
-    return pages.select(key, page).mapInPandas(rows, f"{key} {of_key}, {TOKEN}")
+        for batch in batches:
+            places, columns = [], [[] for _ in kinds]
+            for i, html in enumerate(batch.column(1).to_pylist()):
+                for t in tokens(html):
+                    places.append(i)
+                    for c, v in zip(columns, (t.n, t.kind, t.tag, None if t.attrs is None else list(t.attrs.items()), t.text, t.link), strict=True):
+                        c.append(v)
+            arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), *arrays], names=[key, *(n for n, _ in kinds)])
+
+    return pages.select(key, page).mapInArrow(rows, f"{key} {of_key}, {TOKEN}")
 
 
 def summary(parts: list[str], navigating: dict[str, list[str]]) -> dict:

@@ -11,6 +11,8 @@ from email.utils import getaddresses
 
 from pyspark.sql import DataFrame
 
+from threatloom.functions.codecs import decode_entities
+from threatloom.functions.markup import tokens
 from threatloom.runtime import ship
 
 MESSAGE = (
@@ -19,7 +21,6 @@ MESSAGE = (
     " parts array<struct<mime string, length bigint, width int, height int, multipart boolean, filename string, attached boolean, content binary>>, error string"
 )
 _URL = re.compile(r"https?://[^\s<>\"']+", re.I)
-_HREF = re.compile(r"href\s*=\s*[\"']?(https?://[^\"'\s>]+)", re.I)
 #: Top-level names that are reserved, which text links don't count under.
 RESERVED_TLDS = {"example", "test", "invalid", "localhost"}
 
@@ -74,7 +75,8 @@ def parse_message(name: str, raw: bytes, known_tld_only: bool = True) -> dict:
                 bodies.append(re.sub(r"<[^>]*>", " ", text) if kind == "text/html" else text)
                 if kind == "text/html":
                     pages.append(text)
-        links = [u for page in pages for u in _HREF.findall(page)]
+        targets = (decode_entities(t.attrs["href"]).strip() for page in pages for t in tokens(page) if t.kind == "start" and "href" in t.attrs)
+        links = [u for u in targets if _URL.match(u)]
         for u in _URL.findall("\n".join(bodies)):
             host = re.sub(r"^https?://([^/?#:]+).*", r"\1", u.rstrip("])}>,;.!?"), flags=re.I | re.S)
             if not (known_tld_only and host.rpartition(".")[2].lower() in RESERVED_TLDS):
