@@ -13,7 +13,8 @@ sums per document.
 
 Edge cases: null and empty texts have no tokens and score 0; repeated rows are scored row by row and count as often as
 they occur; no target at all leaves a uniform target model; an empty table gives an empty result; other columns are
-ignored. Keys are 64-bit hashes.
+ignored. Words and contexts are dealt by 64-bit hashes, and within a shard told apart by 32 bits of them, so words that
+collide there share their counts. Own occurrences are taken out of cold contexts only.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ them and agrees. So labels vary inside documents, and a document of either kind
 
 Edge cases: null text is a document without words (fails the base rules); repeated rows are judged row by row;
 an empty table gives an empty result; extra columns are ignored. With no usable labels the documented prior
-weights ``PRIOR`` are used, so the operator is total. Whole texts are read; only the *training* sample is bounded
+weights ``PRIOR`` are used, so the operator is total. A line of over 400 characters never counts as a notice, which is one
+of twelve features (it is judged by the others). Whole texts are read; only the *training* sample is bounded
 (``max_train_docs`` labelled documents, the ones with the smallest hashed ids).
 """
 
