@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatloom.llm import jaccard, lines, mixing, packing, quality
-from threatloom.runtime import stage, table
+from threatloom.runtime import stage, table, unstage
 
 #: Near duplicates: five words, similarity of 0.8 or more.
 NEAR = (5, 80, 100)
@@ -85,5 +85,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(before)  # written anew, so nothing reads it any more
     return docs
