@@ -881,11 +881,11 @@ def term_hits(spark, sf):
     return patterns.term_hits(table(spark, sf, "documents"), "doc_id", "text", run(spark, sf, _TERMS))
 
 
-_NAMES = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS name FROM documents"
+_DOC_WORDS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS name FROM documents"
 _SITES = f"SELECT DISTINCT regexp_extract(url, '^[a-z]+://(?:[a-z]+[.])?([a-z0-9-]+)[.]example', 1) AS brand FROM pages UNION SELECT * FROM (VALUES {', '.join(f'({lit(b)})' for b in R.BRANDS)}) AS v(brand)"
 
 
-@query(f"WITH n AS ({_NAMES}), b AS ({_SITES}) SELECT name, brand, levenshtein(name, brand) AS distance FROM n JOIN b ON abs(length(name) - length(brand)) <= 2 AND brand <> '' AND name NOT IN (SELECT brand FROM b) WHERE levenshtein(name, brand) BETWEEN 1 AND 2")
+@query(f"WITH n AS ({_DOC_WORDS}), b AS ({_SITES}) SELECT name, brand, levenshtein(name, brand) AS distance FROM n JOIN b ON abs(length(name) - length(brand)) <= 2 AND brand <> '' AND name NOT IN (SELECT brand FROM b) WHERE levenshtein(name, brand) BETWEEN 1 AND 2")
 def names_near_brands(spark, sf):
     """All words of the documents within two edits of a brand; the brands are the pages' site names beside the fixed ones."""
     names = table(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("name"))
@@ -930,10 +930,10 @@ def address_ranges(spark, sf):
     return found.select("address", F.col("length").cast("long").alias("length"), F.array_join("zones", "|").alias("zones"))
 
 
-_PAIRS = """list_transform([1, 2, 3, 4], lambda d: CASE WHEN len(w) > d THEN list_distinct(list_transform(generate_series(1, len(w) - d), lambda i: w[i] || '~' || d || '~' || w[i + d])) ELSE [] END)"""
-_FISHER = f"""t AS (SELECT doc_id, is_spam, {_TOK} AS w FROM ({_LABELLED}) u), p AS (SELECT is_spam, unnest(flatten({_PAIRS})) AS token FROM t),
+_WORD_PAIRS = """list_transform([1, 2, 3, 4], lambda d: CASE WHEN len(w) > d THEN list_distinct(list_transform(generate_series(1, len(w) - d), lambda i: w[i] || '~' || d || '~' || w[i + d])) ELSE [] END)"""
+_FISHER = f"""t AS (SELECT doc_id, is_spam, {_TOK} AS w FROM ({_LABELLED}) u), p AS (SELECT is_spam, unnest(flatten({_WORD_PAIRS})) AS token FROM t),
 st AS (SELECT token, count(*) FILTER (WHERE is_spam) AS spam, count(*) FILTER (WHERE NOT is_spam) AS ham FROM p GROUP BY 1), z AS (SELECT greatest(count(*) FILTER (WHERE is_spam), 1) AS ns, greatest(count(*) FILTER (WHERE NOT is_spam), 1) AS nh FROM t),
-d AS (SELECT doc_id, {_TOK} AS w FROM documents), f AS (SELECT doc_id, unnest(flatten({_PAIRS})) AS token FROM d),
+d AS (SELECT doc_id, {_TOK} AS w FROM documents), f AS (SELECT doc_id, unnest(flatten({_WORD_PAIRS})) AS token FROM d),
 g AS (SELECT doc_id, [3125.0, 256.0, 27.0, 1.0][CAST(string_split(f.token, '~')[2] AS INTEGER)] * (spam + ham) AS ws, spam + ham AS n, (spam / ns) / (spam / ns + ham / nh) AS share FROM f JOIN st USING (token), z),
 q AS (SELECT doc_id, (ws / (1 + ws) * 0.5 + n * share) / (ws / (1 + ws) + n) AS p FROM g), r AS (SELECT doc_id, least(greatest(p, 1e-6), 1 - 1e-6) AS p FROM q WHERE abs(p - 0.5) >= 0.05),
 m AS (SELECT doc_id, count(*) AS n, -sum(ln(p)) AS a, -sum(ln(1 - p)) AS b FROM r GROUP BY 1),
