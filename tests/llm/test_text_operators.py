@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import same_rows
 from tests.llm.conftest import LONG, ODD, PASSAGE
 from threatloom.llm import jaccard, lines, lmscore, mixing, packing, quality, suffix
 
@@ -328,6 +329,30 @@ def test_lm_tells_target_from_rest(spark):
     assert max(got[i] for i in range(41, 80, 2)) < min(got[i] for i in range(0, 80, 2))
 
 
+@pytest.mark.parametrize(
+    "limits",
+    [
+        {"HOT_SHARE": 0.5, "HOT_PAIRS": 0.5},  # every context is cold but the start; no pair is counted ahead
+        {"HOT_MAX": 10**9, "SHARD_TOKENS": 2, "HOT_PAIRS": 0.5, "MIN_SHARDS": 1, "MAX_TASKS": 7},  # every context is hot, every pair dealt
+        {"SHARD_TOKENS": 3000, "HOT_PAIRS": 2000, "MIN_SHARDS": 1, "FAN": 4, "REDEAL_TOKENS": 500},  # some of each, dealt in two steps
+    ],
+)
+def test_lm_scores_do_not_depend_on_limits(spark, small, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(lmscore, k, v)
+    same_rows(lmscore.op7_lm_scoring(spark, small), lmscore.OP7_SQL, small)
+
+
+def test_records_survive_packing():
+    rng = np.random.default_rng(3)
+    c, w = rng.integers(0, 9, 90_000).astype(np.uint64), rng.integers(0, 2**64, 90_000, dtype=np.uint64)
+    doc, uids, flags = rng.integers(0, 40, 90_000), np.arange(40) << 40, rng.integers(0, 2, 40).astype(bool)
+    some = [lmscore.unpack(lmscore.pack(c[k:n], w[k:n], doc[k:n], uids, flags)) for k, n in ((0, 50), (50, 80_000), (80_000, 90_000))]
+    back_uids, back_flags, ctx, runs, words, word, at = lmscore.joined(some)
+    got = sorted(zip(np.repeat(ctx, runs).tolist(), words[word].tolist(), back_uids[at].tolist(), back_flags[at].tolist(), strict=True))
+    assert got == sorted(zip(c.tolist(), w.tolist(), uids[doc].tolist(), flags[doc].tolist(), strict=True))
+
+
 def test_lm_edges(spark, odd, none):
     ids = spark.createDataFrame([(6,), (None,), (77,)], "doc_id long")
     rows = lmscore.score_documents(odd, ids).collect()

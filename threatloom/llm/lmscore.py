@@ -2,19 +2,26 @@
 
 Background is every document, target the flagged ones. Both models are additive-smoothed word bigrams over one shared
 vocabulary (all words of the corpus), and the background counts are scaled to the target's token total, so that both
-lie equally far from the uniform model. A document's own words don't count for its own score (leave one out), except in
-the totals of hot contexts, where they are a negligible share.
+lie equally far from the uniform model. A document's own words don't count for its own score (leave one out), in pair
+counts and in the totals of contexts alike.
 
-Counts cover the whole corpus and grow with it. Words are counted with map-side pre-aggregation. Bigrams are dealt once
-to shards, packed (8 bytes of key, 2 of document): by context, so that a shard sees whole contexts; for hot contexts
-(``HOT_SHARE`` of all tokens, so a bounded list that is broadcast with its totals) by the pair; pairs of two hot words
-are counted ahead, pre-aggregated, and never dealt. A shard counts its keys, prices every (pair, document) and returns
-sums per document.
+Counts cover the whole corpus and grow with it. Words are counted with map-side pre-aggregation. A loss is a sum of
+logarithms of pair counts less a sum of logarithms of context totals, so the two need not meet in one place:
+
+* A context whose tokens would fill half a shard is hot. The totals of hot contexts are broadcast (``HOT_MAX`` of them at
+  most, whatever the corpus) and priced where the document is read, which knows its own occurrences.
+* Pairs of two hot words are counted ahead, pre-aggregated; those with 1 in ``HOT_PAIRS`` of all tokens, so a bounded
+  number, are broadcast and never dealt.
+* Other pairs of a hot context are dealt to shards by the pair, pairs of other contexts by the context, so that a shard sees
+  whole contexts. Where a task's tokens would fall into over ``FAN`` shards, they are dealt to ranges of shards first, so
+  that records stay long. A shard counts its keys, prices every (pair, document) and returns sums per document.
+
+None of these limits changes a score. A record holds its distinct contexts and words as 64-bit hashes once, and two bytes a
+token for the word and two for the document.
 
 Edge cases: null and empty texts have no tokens and score 0; repeated rows are scored row by row and count as often as
 they occur; no target at all leaves a uniform target model; an empty table gives an empty result; other columns are
-ignored. Words and contexts are dealt by 64-bit hashes, and within a shard told apart by 32 bits of them, so words that
-collide there share their counts. Own occurrences are taken out of cold contexts only.
+ignored. Words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,8 +35,15 @@ from threatloom.runtime import give_back, ship, stage, unstage
 
 ALPHA = 0.05
 HOT_SHARE = 1000
+HOT_MAX = 1_000_000
+HOT_PAIRS = 1_000_000
 SHARD_TOKENS = 6_000_000
 BATCH_TOKENS = 400_000
+REDEAL_TOKENS = 4_000_000
+BATCH_DOCS = 60_000
+MIN_SHARDS = 24
+FAN = 1024
+MAX_TASKS = 100_000
 PARTS = 8
 CACHE_WORDS = 200_000
 BROADCAST_IDS = 500_000
@@ -57,14 +71,14 @@ def contexts(h: np.ndarray) -> np.ndarray:
 
 
 def _grouped(batches, known: WordHash, limit: int = BATCH_TOKENS):
-    """Lists of (doc_id, is_target, word hashes) of about `limit` tokens, 60,000 documents at most."""
+    """Lists of (doc_id, is_target, word hashes) of about `limit` tokens, BATCH_DOCS documents at most."""
     held, n = [], 0
     for batch in batches:
         for d, text, flag in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             h = word_hashes(text, known)
             held.append((d, bool(flag), h))
             n += h.size
-            if n >= limit or len(held) >= 60_000:
+            if n >= limit or len(held) >= BATCH_DOCS:
                 yield held
                 held, n = [], 0
     if held:
@@ -88,15 +102,23 @@ def _flat(held):
 
 
 def word_counts(flagged: DataFrame) -> DataFrame:
-    """(key, t, b): occurrences of every word in the target and in the whole corpus; key 0 counts the texts with words."""
+    """(key, t, b, lt, lb): occurrences of every word in the target and in the whole corpus, and those that end a text,
+    which are no contexts; key 0 is the start of a text."""
+    import pyarrow as pa
 
     def count(batches):
         for held in _grouped(batches, WordHash()):
-            h, c, _, flags = _flat(held)
-            starts = c == 0
-            yield _counted(np.concatenate([h, c[starts]]), np.concatenate([flags, flags[starts]]))
+            h, c, doc, flags = _flat(held)
+            last = np.ones(h.size, bool)
+            last[:-1] = doc[1:] != doc[:-1]
+            keys, flags = np.concatenate([h, c[c == 0]]), np.concatenate([flags, flags[c == 0]])
+            distinct, back = np.unique(keys, return_inverse=True)
+            tally = lambda at, w: pa.array(np.bincount(at, weights=w, minlength=distinct.size).astype(np.int64))  # noqa: E731, B023
+            n = h.size
+            cols = [tally(back, flags), tally(back, None), tally(back[:n], last & flags[:n]), tally(back[:n], last)]
+            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), *cols], names=["key", "t", "b", "lt", "lb"])
 
-    return flagged.mapInArrow(count, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    return flagged.mapInArrow(count, "key long, t long, b long, lt long, lb long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("t", "b", "lt", "lb")))
 
 
 def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -107,12 +129,15 @@ def _find(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == x, at, -1)
 
 
-def _priced(tf, t, b, ht, hb, own_t, own_hb, flag, m):
-    """Log-probabilities of a pair in both models, its document's own occurrences taken out."""
+def _pairs(tf, t, b, flag, m):
+    """Logarithms of pair counts in both models, times occurrences, the document's own taken out."""
+    return tf * np.log(t - np.where(flag, tf, 0) + m["alpha"]), tf * np.log(m["scale"] * (b - tf) + m["alpha"])
+
+
+def _totals(own, t, b, flag, m):
+    """Logarithms of context totals in both models, times occurrences, the document's own taken out."""
     v = m["alpha"] * m["vocab"]
-    pt = np.log(t - np.where(flag, tf, 0) + m["alpha"]) - np.log(ht - np.where(flag, own_t, 0) + v)
-    pb = np.log(m["scale"] * (b - tf) + m["alpha"]) - np.log(m["scale"] * (hb - own_hb) + v)
-    return tf * pt, tf * pb
+    return own * np.log(t - np.where(flag, own, 0) + v), own * np.log(m["scale"] * (b - own) + v)
 
 
 def _starts(*keys):
@@ -129,28 +154,62 @@ def _per_run(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(sums, np.diff(np.append(at, n)))
 
 
-def price_shard(key: np.ndarray, doc: np.ndarray, flag: np.ndarray, hot: dict | None, m: dict):
-    """Sums per document over a shard's tokens. hot: totals by index where the key's upper half is a hot context."""
+def price_shard(key: np.ndarray, doc: np.ndarray, flag: np.ndarray, whole: bool, m: dict):
+    """Sums per document over a shard's tokens. whole: contexts (upper halves) are whole and priced here too."""
+
+    def runs(order, *keys):
+        """Occurrences per run of equal keys and document, with its totals over the run of equal keys alone."""
+        d, f = doc[order], flag[order]
+        at, first = _starts(*keys), _starts(*keys, d)
+        b, t = _per_run(at, np.ones(d.size), d.size)[first], _per_run(at, f.astype(float), d.size)[first]
+        return np.diff(np.append(first, d.size)).astype(float), t, b, f[first], d[first]
+
     order = np.lexsort((doc, key))
-    k, d, f = key[order], doc[order], flag[order]
-    n = k.size
-    pair = _starts(k)
-    ones = np.ones(n)
-    b, t = _per_run(pair, ones, n), _per_run(pair, f.astype(float), n)
-    h = k >> _SHIFT
-    if hot is None:
-        ctx = _starts(h)
-        hb, ht = _per_run(ctx, ones, n), _per_run(ctx, f.astype(float), n)
-        again = np.lexsort((d, h))
-        own = np.empty(n)
-        own[again] = _per_run(_starts(h[again], d[again]), ones, n)
-    else:
-        hb, ht, own = hot["b"][h.astype(np.int64)], hot["t"][h.astype(np.int64)], np.zeros(n)
-    first = _starts(k, d)
-    tf = np.diff(np.append(first, n)).astype(float)
-    pt, pb = _priced(tf, t[first], b[first], ht[first], hb[first], own[first], own[first], f[first], m)
-    docs, back = np.unique(d[first], return_inverse=True)
-    return docs, np.bincount(back, weights=pt, minlength=docs.size), np.bincount(back, weights=pb, minlength=docs.size)
+    *pairs, who = runs(order, key[order])
+    docs, back = np.unique(who, return_inverse=True)
+    total = lambda at, w: np.bincount(at, weights=w, minlength=docs.size)
+    pt, pb = (total(back, w) for w in _pairs(*pairs, m))
+    if whole:
+        order = np.lexsort((doc, key >> _SHIFT))
+        *ctx, who = runs(order, (key >> _SHIFT)[order])
+        at = np.searchsorted(docs, who)
+        ct, cb = (total(at, w) for w in _totals(*ctx, m))
+        pt, pb = pt - ct, pb - cb
+    return docs, pt, pb
+
+
+#: A packed record: distinct contexts with the number of tokens of each, distinct words, and a token's word and document.
+PACKED = ("uids", "flags", "contexts", "runs", "words", "word", "doc")
+
+
+def pack(c, w, doc, uids, flags) -> list[bytes]:
+    order = np.argsort(c, kind="stable")
+    c = c[order]
+    at = _starts(c)
+    words, word = np.unique(w[order], return_inverse=True)
+    d, local = np.unique(doc[order], return_inverse=True)
+    word = word.astype(np.uint16 if words.size <= 1 << 16 else np.uint32)
+    return [x.tobytes() for x in (uids[d], flags[d], c[at], np.diff(np.append(at, c.size)).astype(np.uint32), words, word, local.astype(np.uint16))]
+
+
+def unpack(record: list[bytes]) -> list[np.ndarray]:
+    kinds = [np.int64, bool, np.uint64, np.uint32, np.uint64, np.uint16 if len(record[5]) == len(record[6]) else np.uint32, np.uint16]
+    return [np.frombuffer(x, k) for x, k in zip(record, kinds, strict=True)]
+
+
+def joined(records: list[list[np.ndarray]]):
+    """Tables of several records as one: uids, flags, contexts, runs, words, and a token's word and document."""
+    uids, flags, ctx, runs, words = (np.concatenate([r[k] for r in records]) for k in range(5))
+    starts = lambda k: np.cumsum([0, *(r[k].size for r in records[:-1])])
+    word = np.concatenate([r[5].astype(np.int64) + n for r, n in zip(records, starts(4), strict=True)])
+    doc = np.concatenate([r[6].astype(np.int32) + np.int32(n) for r, n in zip(records, starts(0), strict=True)])
+    return uids, flags, ctx, runs, words, word, doc
+
+
+def shard_of(kind: int, c: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
+    """By context, or, for pairs of hot contexts, by the pair."""
+    spread = c & _LOW if kind == 1 else ((w ^ (c * _MIX)) * _MIX) >> _SHIFT
+    return (spread % np.uint64(shards)).astype(np.int64)
 
 
 def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA) -> DataFrame:
@@ -167,96 +226,128 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
     words = stage(word_counts(flagged), "words")
     total = words.where("key != 0").agg(F.sum("t").alias("t"), F.sum("b").alias("b"), F.count("*").alias("v")).first()
     n_t, n_b, vocab = total["t"] or 0, total["b"] or 0, total["v"] or 0
-    rows = words.where((F.col("key") == 0) | (F.col("b") * HOT_SHARE >= n_b)).collect()  # HOT_SHARE + 1 rows at most
+    shards = max(MIN_SHARDS, -(-n_b // SHARD_TOKENS))
+    limit = max(min(n_b / HOT_SHARE, SHARD_TOKENS / 2), n_b / HOT_MAX)
+    few = words.where((F.col("key") == 0) | (F.col("b") >= limit)).select("key", (F.col("t") - F.col("lt")).alias("t"), (F.col("b") - F.col("lb")).alias("b")).toArrow()  # HOT_MAX + 1 rows at most
     unstage(words)
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    hot = {"key": keys[order], "t": np.array([r["t"] for r in rows], float)[order], "b": np.array([r["b"] for r in rows], float)[order]}
+
+    def sorted_table(table):
+        keys = np.array(table.column("key").to_numpy()).view(np.uint64)
+        by = np.argsort(keys)
+        return {"key": keys[by]} | {c: table.column(c).to_numpy()[by].astype(float) for c in ("t", "b")}
+
+    hot, n_hot = spark.sparkContext.broadcast(sorted_table(few)), few.num_rows
     m = {"alpha": alpha, "vocab": max(1, vocab), "scale": n_t / n_b if n_t else 1.0}
-    n_hot, shards = len(rows), max(24, -(-n_b // SHARD_TOKENS))
 
     def hot_pairs(batches):
         for held in _grouped(batches, WordHash()):
             h, c, _, flags = _flat(held)
-            i, j = _find(hot["key"], c), _find(hot["key"], h)
+            i, j = _find(hot.value["key"], c), _find(hot.value["key"], h)
             at = (i >= 0) & (j >= 0)
             yield _counted((i[at] * n_hot + j[at]).astype(np.uint64), flags[at])
 
-    known = flagged.mapInArrow(hot_pairs, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    code = np.array(known.column("key").to_numpy())
-    by = np.argsort(code)
-    paired = {"key": code[by], "t": known.column("t").to_numpy()[by].astype(float), "b": known.column("b").to_numpy()[by].astype(float)}
-    shared = spark.sparkContext.broadcast((hot, paired))  # (HOT_SHARE + 1) ** 2 entries at most
-    names = ["shard", "kind", "uid", "doc_id", "n", "pt", "pb", "uids", "flags", "keys", "docs"]
-    kinds = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    schema = "shard int, kind byte, uid long, doc_id long, n long, pt double, pb double, uids binary, flags binary, keys binary, docs binary"
+    pairs = flagged.mapInArrow(hot_pairs, "key long, t long, b long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
+    paired = spark.sparkContext.broadcast(sorted_table(pairs.where(F.col("b") >= n_b / HOT_PAIRS).toArrow()))  # HOT_PAIRS rows at most
+    names = ["shard", "kind", "uid", "doc_id", "n", "pt", "pb", *PACKED]
+    kinds = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *[pa.binary()] * len(PACKED)]
+    schema = "shard int, kind byte, uid long, doc_id long, n long, pt double, pb double, " + ", ".join(f"{c} binary" for c in PACKED)
+    step = 1 if shards <= FAN else -(-shards // int(np.sqrt(shards)))  # shards a range, where they are dealt in two steps
+
+    def records(kind, c, w, doc, uids, flags, step):
+        shard = shard_of(kind, c, w, shards) // step
+        order = np.argsort(shard, kind="stable")
+        at = _starts(shard[order])
+        for lo, hi in zip(at, np.append(at[1:], shard.size), strict=True):
+            some = order[lo:hi]
+            row = [int(shard[some[0]]), kind, 0, 0, 0, 0.0, 0.0, *pack(c[some], w[some], doc[some], uids, flags)]
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
 
     def deal(batches):
         from pyspark import TaskContext
 
-        hot, paired = shared.value
         uid = TaskContext.get().partitionId() << 40
         for held in _grouped(batches, WordHash()):
             h, c, doc, flags = _flat(held)
-            uids = np.arange(uid, uid + len(held), dtype=np.int64)
-            uid += len(held)
-            doc_flags = np.array([x[1] for x in held], bool)
-            i, j = _find(hot["key"], c), _find(hot["key"], h)
-            both = (i >= 0) & (j >= 0)
-            # pairs of hot words: priced here
-            pt, pb = np.zeros(len(held)), np.zeros(len(held))
-            if both.any():
-                key, back = np.unique((doc[both].astype(np.int64) * n_hot + i[both]) * n_hot + j[both], return_inverse=True)
-                tf = np.bincount(back).astype(float)
-                who, ctx, at = key // (n_hot * n_hot), key // n_hot % n_hot, _find(paired["key"], key % (n_hot * n_hot))
-                a, b = _priced(tf, paired["t"][at], paired["b"][at], hot["t"][ctx], hot["b"][ctx], 0, 0, doc_flags[who], m)
-                pt, pb = np.bincount(who, weights=a, minlength=len(held)), np.bincount(who, weights=b, minlength=len(held))
             n = len(held)
+            uids = np.arange(uid, uid + n, dtype=np.int64)
+            uid += n
+            doc_flags = np.array([x[1] for x in held], bool)
+            i, j = _find(hot.value["key"], c), _find(hot.value["key"], h)
+            sums = np.zeros((2, n))
+
+            def add(keys, values, table, take, sign, doc_flags=doc_flags, sums=sums):
+                """Adds prices of this batch's (document, value) runs, the values being places in a broadcast table."""
+                size = table["key"].size
+                key, back = np.unique(keys.astype(np.int64) * size + values, return_inverse=True)
+                who, at = key // size, key % size
+                for k, x in enumerate(take(np.bincount(back).astype(float), table["t"][at], table["b"][at], doc_flags[who], m)):
+                    sums[k] += sign * np.bincount(who, weights=x, minlength=n)  # noqa: B023
+
+            warm = i >= 0
+            if warm.any():
+                add(doc[warm], i[warm], hot.value, _totals, -1)
+            ahead = np.full(h.size, -1)
+            both = warm & (j >= 0)
+            ahead[both] = _find(paired.value["key"], (i[both] * n_hot + j[both]).astype(np.uint64))
+            if (ahead >= 0).any():
+                add(doc[ahead >= 0], ahead[ahead >= 0], paired.value, _pairs, 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uids % shards, pa.int32()), pa.array([0] * n, pa.int8()), pa.array(uids), pa.array([x[0] for x in held], pa.int64()), pa.array([x[2].size for x in held], pa.int64()), pa.array(pt), pa.array(pb)]
-                + [pa.nulls(n, pa.binary())] * 4,
+                [pa.array(uids % shards // step, pa.int32()), pa.array([0] * n, pa.int8()), pa.array(uids), pa.array([x[0] for x in held], pa.int64()), pa.array([x[2].size for x in held], pa.int64()), pa.array(sums[0]), pa.array(sums[1])]
+                + [pa.nulls(n, pa.binary())] * len(PACKED),
                 names=names,
             )
-            for kind in (1, 2):
-                at = np.flatnonzero((i < 0) if kind == 1 else (i >= 0) & (j < 0))
-                if not at.size:
-                    continue
-                low = (h[at] * _MIX) >> _SHIFT
-                if kind == 1:
-                    key, spread = ((c[at] * _MIX) & ~_LOW) | low, c[at]
-                else:
-                    key, spread = (i[at].astype(np.uint64) << _SHIFT) | low, h[at]
-                shard = (spread & _LOW) % np.uint64(shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
-                for s in range(shards):
-                    some = order[cuts[s] : cuts[s + 1]]
-                    if not some.size:
-                        continue
-                    d, local = np.unique(doc[at[some]], return_inverse=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([v], t) for v, t in zip([s, kind, 0, 0, 0, 0.0, 0.0, uids[d].tobytes(), doc_flags[d].tobytes(), key[some].tobytes(), local.astype(np.uint16).tobytes()], kinds, strict=True)],
-                        names=names,
-                    )
+            for kind, at in ((1, np.flatnonzero(~warm)), (2, np.flatnonzero(warm & (ahead < 0)))):
+                if at.size:
+                    yield from records(kind, c[at] if kind == 1 else i[at].astype(np.uint64), h[at], doc[at], uids, doc_flags, step)
+
+    def read(batch, r):
+        return unpack([batch.column(k)[r].as_py() for k in range(7, 7 + len(PACKED))])
+
+    def redeal(batches):
+        """From ranges of shards to shards, by larger batches."""
+        held: dict[int, list] = {1: [], 2: []}
+        size = {1: [0, 0], 2: [0, 0]}
+
+        def flush(kind):
+            uids, flags, ctx, runs, words, word, doc = joined(held[kind])
+            held[kind], size[kind] = [], [0, 0]
+            yield from records(kind, np.repeat(ctx, runs), words[word], doc, uids, flags, 1)
+
+        for batch in batches:
+            kind = batch.column(1).to_numpy(zero_copy_only=False)
+            if (kind == 0).any():
+                own = batch.filter(pa.array(kind == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(own.column(2).to_numpy() % shards, pa.int32()), *own.columns[1:]], names=names)
+            for r in np.flatnonzero(kind).tolist():
+                k, record = int(kind[r]), read(batch, r)
+                if held[k] and (size[k][0] + record[0].size > BATCH_DOCS or size[k][1] > REDEAL_TOKENS):
+                    yield from flush(k)
+                held[k].append(record)
+                size[k][0] += record[0].size
+                size[k][1] += record[6].size
+        for k in (1, 2):
+            if held[k]:
+                yield from flush(k)
+        give_back()
 
     def price(batches):
-        hot, _ = shared.value
-        parts: dict[tuple[int, int], list] = {}
+        parts: dict[int, list] = {}
+        shard = None
 
         def flush():
             who, sums = [], []
-            for (_, kind), held in parts.items():
-                uids = np.concatenate([x[0] for x in held])
-                base = np.cumsum([0, *(x[0].size for x in held[:-1])])
-                doc = np.concatenate([x[3].astype(np.int32) + np.int32(k) for x, k in zip(held, base, strict=True)])
-                flags = np.concatenate([x[1] for x in held])
-                key = np.concatenate([x[2] for x in held])
+            for kind, held in parts.items():
+                uids, flags, ctx, runs, words, word, doc = joined(held)
+                if kind == 1:
+                    ctx = np.unique(ctx, return_inverse=True)[1].astype(np.uint64)
+                ctx, word = np.repeat(ctx, runs), np.unique(words, return_inverse=True)[1].astype(np.uint64)[word]
+                key = (ctx << _SHIFT) | word
                 # a part at a time bounds memory; contexts (or pairs of hot contexts) stay whole
-                part = (key >> np.uint64(61) if kind == 1 else key & np.uint64(7)).astype(np.int8)
+                part = ((ctx if kind == 1 else word) % np.uint64(PARTS)).astype(np.int8)
                 for p in range(PARTS):
                     at = np.flatnonzero(part == p)
                     if at.size:
-                        d, *both = price_shard(key[at], doc[at], flags[doc[at]], None if kind == 1 else hot, m)
+                        d, *both = price_shard(key[at], doc[at], flags[doc[at]], kind == 1, m)
                         who.append(uids[d])
                         sums.append(both)
             parts.clear()
@@ -278,14 +369,18 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
                 yield result(own.column(2), own.column(3), own.column(4), own.column(5), own.column(6))
             for r in np.flatnonzero(kind).tolist():
                 s = batch.column(0)[r].as_py()
-                if parts and s != next(iter(parts))[0]:
+                if parts and s != shard:
                     yield from flush()
-                read = lambda c, t: np.frombuffer(batch.column(c)[r].as_py(), t)  # noqa: E731, B023
-                parts.setdefault((s, int(kind[r])), []).append((read(7, np.int64), read(8, bool), read(9, np.uint64), read(10, np.uint16)))
+                shard = s
+                parts.setdefault(int(kind[r]), []).append(read(batch, r))
         yield from flush()
         give_back()
 
-    priced = flagged.mapInArrow(deal, schema).repartitionById(shards, "shard").sortWithinPartitions("shard").mapInArrow(price, "uid long, doc_id long, n long, pt double, pb double")
+    dealt = flagged.mapInArrow(deal, schema)
+    if step > 1:
+        dealt = dealt.repartitionById(-(-shards // step), "shard").mapInArrow(redeal, schema)
+    by_shard = dealt.repartitionById(min(shards, MAX_TASKS), "shard").sortWithinPartitions("shard")
+    priced = by_shard.mapInArrow(price, "uid long, doc_id long, n long, pt double, pb double")
     sums = priced.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("pt").alias("_t"), F.sum("pb").alias("_b"))
     mean = lambda c: F.when(F.col("n_tokens") > 0, -F.col(c) / F.col("n_tokens")).otherwise(0.0)
     return sums.select("doc_id", "n_tokens", mean("_t").alias("loss_target"), mean("_b").alias("loss_background")).withColumn("score", F.col("loss_target") - F.col("loss_background"))
@@ -307,17 +402,13 @@ WITH f AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 tok AS (SELECT doc_id, t, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] ELSE '' END AS h FROM (SELECT *, unnest(generate_series(1, len(ws))) AS i FROM f WHERE len(ws) > 0)),
 m AS (SELECT count(*) AS nb, count(*) FILTER (WHERE t) AS nt, count(DISTINCT w) AS v, CASE WHEN count(*) FILTER (WHERE t) > 0 THEN count(*) FILTER (WHERE t) / count(*) ELSE 1.0 END AS s FROM tok),
-hot AS (SELECT w AS h FROM tok GROUP BY 1 HAVING count(*) * {HOT_SHARE} >= (SELECT nb FROM m) UNION SELECT ''),
 p AS (SELECT h, w, count(*) AS b, count(*) FILTER (WHERE t) AS t FROM tok GROUP BY 1, 2),
-c0 AS (SELECT h, count(*) AS hb, count(*) FILTER (WHERE t) AS ht FROM tok GROUP BY 1),
-wc AS (SELECT w AS h, count(*) AS hb, count(*) FILTER (WHERE t) AS ht FROM tok GROUP BY 1),
-c AS (SELECT c0.h, CASE WHEN hot.h IS NULL OR c0.h = '' THEN c0.hb ELSE wc.hb END AS hb, CASE WHEN hot.h IS NULL OR c0.h = '' THEN c0.ht ELSE wc.ht END AS ht, hot.h IS NOT NULL AS is_hot
-      FROM c0 LEFT JOIN hot ON hot.h = c0.h LEFT JOIN wc ON wc.h = c0.h),
+c AS (SELECT h, count(*) AS hb, count(*) FILTER (WHERE t) AS ht FROM tok GROUP BY 1),
 own AS (SELECT doc_id, h, count(*) AS k FROM tok GROUP BY 1, 2),
 d AS (SELECT doc_id, t, h, w, count(*) AS tf FROM tok GROUP BY 1, 2, 3, 4),
 x AS (SELECT d.doc_id, d.tf,
-             ln(p.t - CASE WHEN d.t THEN d.tf ELSE 0 END + {ALPHA}) - ln(c.ht - CASE WHEN d.t AND NOT c.is_hot THEN own.k ELSE 0 END + {ALPHA} * m.v) AS pt,
-             ln(m.s * (p.b - d.tf) + {ALPHA}) - ln(m.s * (c.hb - CASE WHEN c.is_hot THEN 0 ELSE own.k END) + {ALPHA} * m.v) AS pb
+             ln(p.t - CASE WHEN d.t THEN d.tf ELSE 0 END + {ALPHA}) - ln(c.ht - CASE WHEN d.t THEN own.k ELSE 0 END + {ALPHA} * m.v) AS pt,
+             ln(m.s * (p.b - d.tf) + {ALPHA}) - ln(m.s * (c.hb - own.k) + {ALPHA} * m.v) AS pb
       FROM d JOIN p ON p.h = d.h AND p.w = d.w JOIN c ON c.h = d.h JOIN own ON own.doc_id = d.doc_id AND own.h = d.h CROSS JOIN m),
 s AS (SELECT doc_id, sum(tf)::BIGINT AS n_tokens, -sum(tf * pt) / sum(tf) AS lt, -sum(tf * pb) / sum(tf) AS lb FROM x GROUP BY 1)
 SELECT documents.doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(lt, 0), 5) AS loss_target, round(coalesce(lb, 0), 5) AS loss_background, round(coalesce(lt - lb, 0), 5) AS score
