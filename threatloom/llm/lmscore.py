@@ -12,8 +12,8 @@ logarithms of pair counts less a sum of logarithms of context totals, so the two
   most, whatever the corpus) and priced where the document is read, which knows its own occurrences.
 * Pairs of two hot words are counted ahead, pre-aggregated; those with 1 in ``HOT_PAIRS`` of all tokens, so a bounded
   number, are broadcast and never dealt.
-* Other pairs of a hot context are dealt to shards by the pair, pairs of other contexts by the context, so that a shard sees
-  whole contexts. Where a task's tokens would fall into over ``FAN`` shards, they are dealt to ranges of shards first, so
+* Other pairs of a hot context are dealt to shards by their word, or by the pair where the word is hot too; pairs of other
+  contexts by the context, so that a shard sees whole contexts. Where a task's tokens would fall into over ``FAN`` shards, they are dealt to ranges of shards first, so
   that records stay long. A shard counts its keys, prices every (pair, document) and returns sums per document.
 
 None of these limits changes a score. A record holds its distinct contexts and words as 64-bit hashes once, and two bytes a
@@ -38,7 +38,7 @@ HOT_SHARE = 1000
 HOT_MAX = 1_000_000
 HOT_PAIRS = 1_000_000
 SHARD_TOKENS = 6_000_000
-BATCH_TOKENS = 400_000
+BATCH_TOKENS = 800_000
 REDEAL_TOKENS = 4_000_000
 BATCH_DOCS = 60_000
 MIN_SHARDS = 24
@@ -207,8 +207,8 @@ def joined(records: list[list[np.ndarray]]):
 
 
 def shard_of(kind: int, c: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
-    """By context, or, for pairs of hot contexts, by the pair."""
-    spread = c & _LOW if kind == 1 else ((w ^ (c * _MIX)) * _MIX) >> _SHIFT
+    """By context (1); for pairs of a hot context by the word (2), or by the pair where the word is hot too (3)."""
+    spread = c & _LOW if kind == 1 else w & _LOW if kind == 2 else ((w ^ (c * _MIX)) * _MIX) >> _SHIFT
     return (spread % np.uint64(shards)).astype(np.int64)
 
 
@@ -296,7 +296,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
                 + [pa.nulls(n, pa.binary())] * len(PACKED),
                 names=names,
             )
-            for kind, at in ((1, np.flatnonzero(~warm)), (2, np.flatnonzero(warm & (ahead < 0)))):
+            for kind, at in ((1, np.flatnonzero(~warm)), (2, np.flatnonzero(warm & (j < 0))), (3, np.flatnonzero(both & (ahead < 0)))):
                 if at.size:
                     yield from records(kind, c[at] if kind == 1 else i[at].astype(np.uint64), h[at], doc[at], uids, doc_flags, step)
 
@@ -305,8 +305,8 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
 
     def redeal(batches):
         """From ranges of shards to shards, by larger batches."""
-        held: dict[int, list] = {1: [], 2: []}
-        size = {1: [0, 0], 2: [0, 0]}
+        held: dict[int, list] = {1: [], 2: [], 3: []}
+        size = {k: [0, 0] for k in held}
 
         def flush(kind):
             uids, flags, ctx, runs, words, word, doc = joined(held[kind])
@@ -325,7 +325,7 @@ def score_documents(docs: DataFrame, target_ids: DataFrame, alpha: float = ALPHA
                 held[k].append(record)
                 size[k][0] += record[0].size
                 size[k][1] += record[6].size
-        for k in (1, 2):
+        for k in held:
             if held[k]:
                 yield from flush(k)
         give_back()
