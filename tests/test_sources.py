@@ -87,6 +87,27 @@ def test_score_profiles(spark):
     assert got == {("outbound", "m"): (17.0, "reject"), ("trusted", "m"): (17.0, "add_header"), ("outbound", "n"): (2.0, "no_action"), ("trusted", "n"): (2.0, "no_action")}
 
 
+def test_scores_of_a_row_equal_the_joined_ones(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from threatloom.functions import refdata as R
+    from threatloom.operators import score
+
+    rng = random.Random(4)
+    names = [*R.WEIGHTS, *R.SENDER_IP_SYMBOLS, "UNKNOWN"]
+    rows = [(i, [(rng.choice(names), rng.choice([0.5, 1.0, 2.0])) for _ in range(rng.randrange(1, 9))]) for i in range(200)]
+    df = spark.createDataFrame(rows, "message_id long, symbols array<struct<symbol: string, multiplier: double>>")
+    want = score.score(df.select("message_id", F.explode("symbols").alias("s")).select("message_id", "s.*"), score.weights(spark))
+    points, fired = score.score_row(F.col("symbols"))
+    got = {r.message_id: (round(r.score, 6), r.fired) for r in df.select("message_id", points.alias("score"), fired.alias("fired")).collect()}
+    want = {r.message_id: (round(r.score, 6), r.fired) for r in want.collect()}
+    assert all(got[i] == want.get(i, (0.0, [])) for i in got) and len(want) > 150
+    odd = spark.createDataFrame([(None,), ([],), ([(None, 1.0), ("GTUBE", None)],)], "symbols array<struct<symbol: string, multiplier: double>>")
+    assert [r[0] for r in odd.select(score.score_row(F.col("symbols"))[0]).collect()] == [0.0, 0.0, 0.0]
+
+
 def test_classifier_orders(spark):
     rows = spark.createDataFrame([(i, "win cash now" if i % 2 else "minutes of the meeting", bool(i % 2)) for i in range(60)], "id int, text string, is_spam boolean")
     f = bayes.words(F.col("text"))

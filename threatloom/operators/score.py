@@ -26,6 +26,28 @@ def score(symbols: DataFrame, registry: DataFrame, disabled: list[str] | None =
     return once.groupBy("message_id").agg(F.sum(part).alias("score"), F.array_sort(F.collect_list("symbol")).alias("fired"))
 
 
+def score_row(symbols: Column, disabled: list[str] | None = None, groups: list[str] | None = None, candidates: bool = False) -> tuple[Column, Column]:
+    """(score, fired) of one row's array of (symbol, multiplier), as `score` has them, without a join or a shuffle.
+
+    For messages whose symbols are all in one row; the registry is a constant of the plan. Nulls and unknown symbols count
+    nothing, and a row without symbols scores 0.
+    """
+    off, off_groups = R.SENDER_IP_SYMBOLS if disabled is None else disabled, R.DISABLED_GROUPS if groups is None else groups
+    table = R.WEIGHTS | (R.CANDIDATE_WEIGHTS if candidates else {})
+    live = {k: v for k, v in table.items() if k not in off and R.GROUPS.get(k, "") not in off_groups}
+    weight = F.create_map(*(F.lit(x) for k, v in live.items() for x in (k, float(v))))
+    one_shot = F.array(*(F.lit(k) for k in live if k in R.ONE_SHOT)).cast("array<string>")
+    known = F.filter(F.coalesce(symbols, F.array()), lambda x: F.map_contains_key(weight, F.coalesce(x["symbol"], F.lit(""))))
+    fired = F.array_sort(F.array_distinct(F.transform(known, lambda x: x["symbol"])))
+
+    def part(name: Column) -> Column:
+        own = F.filter(F.transform(F.filter(known, lambda x: x["symbol"] == name), lambda x: x["multiplier"].cast("double")), lambda x: x.isNotNull())
+        total = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
+        return weight[name] * F.when(F.array_contains(one_shot, name), F.coalesce(F.array_max(own), F.lit(0.0))).otherwise(total)
+
+    return F.aggregate(fired, F.lit(0.0), lambda a, n: a + part(n)), fired
+
+
 def action(score_col: Column, profile: str) -> Column:
     limits = R.PROFILES[profile]
     return F.when(score_col >= limits["reject"], "reject").when(score_col >= limits["add_header"], "add_header").otherwise("no_action")

@@ -628,11 +628,11 @@ s AS (SELECT u.url_id, (CASE WHEN ph.url_id IS NULL THEN 0 ELSE 5 END) + (CASE W
 SELECT CASE WHEN score >= 15 THEN 'reject' WHEN score >= 6 THEN 'add_header' ELSE 'no_action' END AS action, count(*) AS messages, round(max(score), 4)::DOUBLE AS top_score FROM s GROUP BY 1""")
 def url_verdicts(spark, sf):
     """Flagship: every page's URL through the URL detectors in one pass, weighed and judged."""
-    m = run(spark, sf, URLS).select(F.col("url_id").alias("message_id"), "host", "path")
+    m = run(spark, sf, URLS).select("host", "path")
     hit = lambda c, s: F.when(F.coalesce(c, F.lit(False)), F.lit(s))
     fired = F.filter(F.array(hit(detect.phish_reason(F.col("host"), F.col("path")).isNotNull(), "PHISH_URL_HEURISTIC"), hit(detect.lookalike_reason(F.col("host")).isNotNull(), "LOOKALIKE_DOMAIN"), hit(F.col("host").rlike(detect.IP_HOST), "IP_URL_SUSPICIOUS")), lambda x: x.isNotNull())
-    symbols = m.select("message_id", F.explode(fired).alias("symbol"), F.lit(1.0).alias("multiplier"))
-    s = m.select("message_id").join(score.score(symbols, score.weights(spark)), "message_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    symbols = F.transform(fired, lambda x: F.struct(x.alias("symbol"), F.lit(1.0).alias("multiplier")))
+    s = m.select(symbols.alias("symbols")).select(score.score_row(F.col("symbols"))[0].alias("score"))
     return s.groupBy(score.action(F.col("score"), "outbound").alias("action")).agg(F.count("*").alias("messages"), F.round(F.max("score"), 4).alias("top_score"))
 
 

@@ -36,7 +36,8 @@ def session(cores: str = "*", **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Make the package importable in Python workers, once per application, and bound Arrow batches.
 
-    Rows can be long texts, so a batch holds 500 rows rather than the default 10,000.
+    Rows can be long texts, so a batch holds 500 rows rather than the default 10,000; Spark itself ends it at 64 MB
+    (spark.sql.execution.arrow.maxBytesPerBatch).
     """
     sc = spark.sparkContext
     if not _SHIPPED.get(sc.applicationId):
