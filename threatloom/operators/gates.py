@@ -85,8 +85,11 @@ def canary_pass(canaries: DataFrame, now: Column) -> DataFrame:
     return canaries.withColumn("age_s", age).withColumn("passed", ok & F.coalesce(age.between(-R.CANARY_SKEW, R.CANARY_MAX_AGE), F.lit(False)))
 
 
-def gate_report(decisions: DataFrame, receptions: int | None, canary_ok: bool, start: str | None = None, end: str | None = None) -> DataFrame:
-    """One row: counts, coverage, latency, days and the five gates. Only shadow-mode decisions count."""
+def gate_report(decisions: DataFrame, receptions: int | None, canary_ok: bool, start: str | None = None, end: str | None = None, bounded: bool = True) -> DataFrame:
+    """One row: counts, coverage, latency, days and the five gates. Only shadow-mode decisions count.
+
+    bounded: more scans than receptions are inconsistent and leave the coverage unknown; else it is the plain ratio.
+    """
     scans = latest_attempts(in_window(decisions.where("scan_mode = 'shadow'"), start, end))
     good = F.col("scan_status") == "success"
     totals = scans.agg(
@@ -100,7 +103,8 @@ def gate_report(decisions: DataFrame, receptions: int | None, canary_ok: bool, s
         totals = totals.withColumn("observation_days", F.lit((parse_bound(end) - parse_bound(start)).days + 1).cast("long"))
     latency = nearest_index(scans.where(good & valid_latency(F.col("scan_time_ms"))), "scan_time_ms", [50, 99])
     n = F.lit(receptions).cast("long")
-    coverage = F.when((n > 0) & (F.col("successful_scans") <= n), F.col("successful_scans") / n)
+    known = (n > 0) & (F.col("successful_scans") <= n) if bounded else n > 0
+    coverage = F.when(known, F.col("successful_scans") / n)
     complete = F.when(F.col("successful_scans") > 0, F.col("valid_latencies") / F.col("successful_scans")).otherwise(0.0)
     out = totals.crossJoin(latency).withColumns({"coverage": coverage, "latency_completeness": complete})
     gates = {
