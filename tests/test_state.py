@@ -166,3 +166,24 @@ def test_probabilities_follow_the_evidence(spark):
     assert {r.probability for r in bayes.fisher(asked, stats, 25, 5, "id", words("text")).collect()} == {None}
     sharp = spark.createDataFrame([(0.943,), (0.914,), (0.5,), (0.01,), (1.0,)], "p double").select(bayes.sharpened(F.col("p")).alias("s")).collect()
     assert [(r.s.symbol, round(r.s.multiplier, 2)) if r.s else None for r in sharp] == [("BAYES_SPAM", 0.38), ("BAYES_SPAM", 0.22), None, ("BAYES_HAM", 0.85), ("BAYES_SPAM", 1.0)]
+
+
+def test_pairs_are_dealt_part_by_part_and_as_hashes(spark, small, monkeypatch):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    from threatloom import queries
+
+    queries.bayes_fisher(spark, small).collect()
+    done = stages()
+    written = sum(done.apply(i).shuffleWriteBytes() for i in range(done.size()) if done.apply(i).stageId() not in before)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert written < 8 * docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    # the parts of a distance, and what `fisher` says of the same texts
+    monkeypatch.setattr(bayes, "WORDS_AT_ONCE", 0)
+    taught = docs.limit(60).select("text", (F.col("doc_id") % 2 == 0).alias("is_spam"))
+    asked = docs.limit(80).select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, "one")], "doc_id long, text string"))
+    stats = bayes.learn(taught, bayes.sparse_bigrams(bayes.words(F.col("text"))))
+    plain = bayes.fisher(asked, stats, 30, 30, "doc_id", bayes.weighted_pairs(bayes.words(F.col("text"))))
+    rows = [sorted((r.doc_id, r.n_tokens, round(r.probability, 6)) for r in df.collect()) for df in (plain, bayes.fisher_of_pairs(asked, taught, 30, 30, "doc_id"))]
+    assert rows[0] == rows[1] and len(rows[0]) == 82

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threatloom.functions import refdata as R
 from threatloom.functions.text import once
+from threatloom.runtime import stage, unstage
 
 TOKEN = "[a-z0-9]+"
 
@@ -95,9 +96,23 @@ def chi_square_tail(m: Column, n: Column) -> Column:
 
     Terms are summed by their logarithms, so that neither thousands of features nor certain ones overflow or vanish.
     """
-    start = F.struct(F.lit(0.0).alias("sum"), (-m).alias("log"))
-    grown = lambda a, i: F.struct((a["sum"] + F.exp(a["log"])).alias("sum"), (a["log"] + F.log(F.greatest(m, F.lit(1e-300))) - F.log(i + 1)).alias("log"))
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n.cast("int") - 1, F.lit(0))), start, grown, lambda a: F.least(a["sum"], F.lit(1.0)))).otherwise(1.0)
+    import pandas as pd
+
+    def tails(ms, ns):
+        import math
+
+        import numpy as np
+
+        facts, out = np.zeros(0), np.ones(len(ms))  # facts: log i!
+        for k, (m, n) in enumerate(zip(ms.tolist(), ns.tolist())):
+            if n > facts.size:
+                facts = np.concatenate([facts, [math.lgamma(i + 1.0) for i in range(facts.size, max(n, 2 * facts.size))]])
+            if n > 0:
+                out[k] = min(1.0, np.exp(np.arange(n) * math.log(max(m, 1e-300)) - m - facts[:n]).sum())
+        return pd.Series(out)
+
+    tails.__annotations__ = {"ms": pd.Series, "ns": pd.Series, "return": pd.Series}  # Spark reads types, not their names
+    return F.pandas_udf(tails, "double")(m, n.cast("long"))
 
 
 def fisher(docs: DataFrame, stats: DataFrame, n_spam: int, n_ham: int, key: str, features: Column) -> DataFrame:
@@ -108,18 +123,66 @@ def fisher(docs: DataFrame, stats: DataFrame, n_spam: int, n_ham: int, key: str,
     A document without a telling feature gets 0.5; below MIN_LEARNS of either class the classifier stays silent (null).
     """
     rows = docs.select(key, F.explode_outer(features).alias("_f")).select(key, "_f.token", "_f.weight")
-    known = rows.join(stats, "token", "left")
+    sums = evidence(rows.join(stats, "token", "left"), F.col("weight"), n_spam, n_ham, key)
+    return combined(sums, n_spam, n_ham, key)
+
+
+def evidence(known: DataFrame, weight: Column, n_spam: int, n_ham: int, key: str) -> DataFrame:
+    """(key, n_tokens, _spam, _ham) from features with their statistics: how many tell, and their negative log likelihoods."""
     spam, ham = F.col("spam") / F.lit(max(1.0, float(n_spam))), F.col("ham") / F.lit(max(1.0, float(n_ham)))
     seen = (F.col("spam") + F.col("ham")).cast("double")
-    trust = F.col("weight") * seen / (1 + F.col("weight") * seen)
+    trust = weight * seen / (1 + weight * seen)
     p = (trust * PRIOR + seen * (spam / F.nullif(spam + ham, F.lit(0.0)))) / (trust + seen)
     told = known.withColumn("_p", p).withColumn("_p", F.when(F.abs(F.col("_p") - 0.5) >= SILENT, F.least(F.greatest("_p", F.lit(1e-6)), F.lit(1 - 1e-6))))
-    sums = told.groupBy(key).agg(F.count("_p").alias("n_tokens"), F.coalesce(-F.sum(F.log("_p")), F.lit(0.0)).alias("_spam"), F.coalesce(-F.sum(F.log(1 - F.col("_p"))), F.lit(0.0)).alias("_ham"))
+    return told.groupBy(key).agg(F.count("_p").alias("n_tokens"), F.coalesce(-F.sum(F.log("_p")), F.lit(0.0)).alias("_spam"), F.coalesce(-F.sum(F.log(1 - F.col("_p"))), F.lit(0.0)).alias("_ham"))
+
+
+def combined(sums: DataFrame, n_spam: int, n_ham: int, key: str) -> DataFrame:
+    """(key, n_tokens, probability) from the evidence of a document."""
     indicators = sums.withColumns({"_s": 1 - chi_square_tail(F.col("_ham"), F.col("n_tokens")), "_h": 1 - chi_square_tail(F.col("_spam"), F.col("n_tokens"))})
     probability = F.when(F.col("n_tokens") == 0, 0.5).otherwise((1 + F.col("_s") - F.col("_h")) / 2)
     return indicators.select(key, "n_tokens", F.when(F.lit(min(n_spam, n_ham) >= R.MIN_LEARNS), probability).alias("probability"))
 
 
+#: Beyond so many words the pairs of a distance are dealt in SLICES parts, one after the other.
+WORDS_AT_ONCE, SLICES = 5_000_000, 4
+
+
+def pair_hashes(words: Column, d: int, part: int, parts: int) -> Column:
+    """ARRAY<BIGINT>: the distinct hashes of pairs of hashed words at distance d, of one of the parts."""
+
+    def pairs(w: Column) -> Column:
+        return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - d, F.lit(0))), F.slice(w, d + 1, F.size(w)), lambda x, y: F.xxhash64(x, y))
+
+    mine = lambda h: F.pmod(h, F.lit(parts)) == part
+    return F.array_distinct(F.filter(pairs(words), mine) if parts > 1 else pairs(words))
+
+
+def fisher_of_pairs(docs: DataFrame, labelled: DataFrame, n_spam: int, n_ham: int, key: str) -> DataFrame:
+    """What `fisher` gives for docs (key, text) with the weighted pairs of their words, learnt from labelled (text, is_spam).
+
+    Texts are cut into words once, kept as 64-bit hashes. Pairs of one distance, and of one part of their hashes, are dealt at
+    a time, as a hash and a key; a part leaves one row a document, and its shuffle files go before the next is dealt. So disk
+    holds a part of the pairs, never all.
+    """
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_w")
+    asked, taught = stage(docs.select(key, hashed), "asked-words"), stage(labelled.select("is_spam", hashed), "taught-words")
+    n = asked.agg(F.sum(F.size("_w"))).first()[0] or 0
+    parts = SLICES if n > WORDS_AT_ONCE else 1
+    found = [asked.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("_spam"), F.lit(0.0).alias("_ham"))]
+    for d, weight in enumerate(PAIR_WEIGHTS, 1):
+        for part in range(parts):
+            feature = pair_hashes(F.col("_w"), d, part, parts)
+            known = asked.select(key, F.explode(feature).alias("token")).join(learn(taught, feature), "token")
+            found.append(stage(evidence(known, F.lit(weight), n_spam, n_ham, key), "evidence"))
+    sums = found[0]
+    for more in found[1:]:
+        sums = sums.unionByName(more)
+    sums = stage(sums.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("n_tokens", "_spam", "_ham"))), "evidence")
+    unstage(asked, taught, *found[1:])
+    return combined(sums, n_spam, n_ham, key)
+
+
 def sharpened(p: Column, power: int = SHARPNESS) -> Column:
     """struct(symbol, multiplier) of a probability: certainty beyond even odds to the power, so that only near certainty weighs."""
     return F.when(p > 0.5, F.struct(F.lit("BAYES_SPAM").alias("symbol"), F.pow((p - 0.5) * 2, F.lit(power)).alias("multiplier"))).when(p < 0.5, F.struct(F.lit("BAYES_HAM").alias("symbol"), F.pow((0.5 - p) * 2, F.lit(power)).alias("multiplier")))
