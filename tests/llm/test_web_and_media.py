@@ -174,3 +174,26 @@ def test_captures_without_an_id_or_under_one_id_are_rows_of_their_own(spark):
         ("None", "https://bad.org/", "5", "block"), ("None", "https://good.org", "5", "none"), ("1", "https://bad.org/", "5", "block"), ("1", "https://good.org", "5", "none"),
         ("1", "https://good.org", "5", "none"), ("1", "https://bad.org/", "None", "none"), ("2", "https://deep.org", "1", "block"), ("2", "None", "1", "none"),
     ])
+
+
+def test_copies_that_share_parts_of_long_lists_only_are_found(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    one, feats = media.describe(media.draw("common")[None])[0], []
+    for k in range(16):
+        desc = rng.integers(0, 256, one[2].shape, np.uint8)
+        desc[:, :6] = one[2][:, :6]  # all share the corners' first parts, so these lists hold over SHORT entries
+        if k in (3, 7, 12):  # copies: one bit of each other part differs
+            desc = one[2].copy()
+            for p in range(1, media.PARTS):
+                desc[:, 6 * p] ^= 1 << (k % 8)
+        feats.append((one[0], one[1], desc))
+    df = _features(spark, feats)
+    want = {(i, j) for j in range(16) for i in range(j) if media.inliers(feats[i], feats[j]) >= media.MIN_INLIERS}
+    assert want == {(3, 7), (3, 12), (7, 12)} and not media.candidates(df)[0].count()
+    alone = df.select("id", F.col("id").alias("root"))
+    for block in (2_000, 3):
+        monkeypatch.setattr(media, "IMAGES_PER_BLOCK", block)
+        got = {(min(r.a, r.b), max(r.a, r.b)) for r in media.links_across_parts(alone, df).collect()}
+        assert got <= want and len({x for pair in got for x in pair}) == 3
+    joined = alone.withColumn("root", F.when(F.col("id").isin(3, 7, 12), 3).otherwise(F.col("id")))
+    assert not media.links_across_parts(joined, df).count() and not media.links_across_parts(alone.limit(0), df.limit(0)).count()

@@ -4,9 +4,11 @@ Images are 8-bit grey PGM (P5) bytes. Equal bytes form a class, and one image st
 local maxima at full and at half size) are turned to the direction of their patch's centroid and described by 256
 brightness comparisons on the turned patch. Five tables over 48-bit parts of the descriptors give candidates. A list of a
 part that holds over ``SHORT`` entries is parted by the neighbouring part and then by the whole descriptor, so lists by chance
-stay short at any size; images of one short list are paired. A pair is a candidate where two corners on either side say nearly
+stay short; images of one short list are paired. A pair is a candidate where two corners on either side say nearly
 the same shift, or four corners match. A list of equal descriptors can be long: each member is paired with the list's first
 image, and members that the copies found do not connect are compared with all other groups of the list, block by block.
+The pairs that parting leaves out are made up for: images of different groups whose corners share a part's list of over
+``SHORT`` entries and are near each other are compared in tasks, and the links found connect the groups.
 A candidate is a copy if one similarity transform, proposed by each of its mutually nearest descriptors, carries at least
 ``MIN_INLIERS`` corners of the one onto the other's. The copies found this way connect images to groups.
 Links are then counted over all pairs of a group: its images are dealt in blocks, each pair of blocks is compared in one
@@ -35,6 +37,7 @@ PARTS = 5
 SHORT = 8
 BLOCK = 256
 ENTRIES_PER_BUCKET = 1_000_000
+IMAGES_PER_BLOCK, ENTRIES_PER_GROUP = 2_000, 50_000
 SHIFT = 24
 HALF = 2**17
 BROADCAST_IDS = 500_000
@@ -410,6 +413,98 @@ def links_of_long_lists(members: DataFrame, groups: DataFrame, feats: DataFrame)
     return dealt.join(feats, "id").groupBy("list", "first", "second").applyInArrow(work, "a long, b long")
 
 
+def links_across_parts(groups: DataFrame, feats: DataFrame) -> DataFrame:
+    """(a, b): copies in different groups with corners that share a part's list of over SHORT entries and whose descriptors
+    are within MAX_DISTANCE of each other, as matching corners are; of the links between two groups one leaves a task.
+
+    Nothing of a list is left out: its images meet in tasks of a bounded size, small lists many at a time, the blocks of a
+    large one two by two. The comparisons grow with the square of the groups that a list holds.
+    """
+    import pyarrow as pa
+
+    def parts(batch):
+        ids = batch.column(0).to_pylist()
+        desc = [np.frombuffer(d, np.uint8).reshape(-1, 32) for d in batch.column(1).to_pylist()]
+        return np.repeat(np.array(ids, np.int64), [len(d) for d in desc]), keys_of(np.concatenate([np.zeros((0, 32), np.uint8), *desc]))[0].view(np.int64)
+
+    def count(batches):
+        for batch in batches:
+            key, n = np.unique(parts(batch)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    def deal(batches):
+        for batch in batches:
+            ids, key = parts(batch)
+            both = np.unique(np.stack([key.ravel(), np.repeat(ids, PARTS)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in both.T], names=["key", "id"])
+
+    def compare(table):
+        ids, root, block = (table.column(c).to_numpy() for c in ("id", "root", "block"))
+        (first, *_), (second, *_) = (table.column(c).to_numpy() for c in ("first", "second"))
+        feats = read_features(*(table.column(c).to_pylist() for c in ("xy", "angle", "desc")))
+        image = np.repeat(np.arange(ids.size), [len(f[2]) for f in feats])
+        desc = np.concatenate([f[2] for f in feats])
+        key, words = keys_of(desc)[0].view(np.int64), np.ascontiguousarray(desc).view(np.uint64)
+        corner, part = np.nonzero(np.isin(key, np.unique(np.concatenate([v.values.to_numpy() for v in table.column("keys")]))))
+        order = np.lexsort((corner, key[corner, part]))
+        corner, key = corner[order], key[corner, part][order]
+        start = np.flatnonzero(np.r_[True, np.diff(key) != 0])[: key.size]
+        up: dict[int, int] = {}
+        out, found, held = [], [], 0
+
+        def top(c):
+            while up.get(c, c) != c:
+                c = up[c] = up.get(up[c], up[c])
+            return c
+
+        def check():
+            i, j = np.divmod(np.unique(np.concatenate(found)), ids.size)
+            for k in range(0, i.size, 200_000):
+                tops = np.array([top(r) for r in root.tolist()])
+                at = np.flatnonzero(tops[i[k : k + 200_000]] != tops[j[k : k + 200_000]]) + k
+                for n in at[inliers_of(feats, i[at], j[at]) >= MIN_INLIERS].tolist():
+                    x, y = top(int(root[i[n]])), top(int(root[j[n]]))
+                    if x != y:
+                        up[x] = y
+                        out.append(sorted((int(ids[i[n]]), int(ids[j[n]]))))
+
+        for at, end in zip(start.tolist(), [*start[1:].tolist(), key.size]):
+            mine = corner[at:end]
+            left, right = (mine[block[image[mine]] == k] for k in (first, second))
+            for k in range(0, left.size, 1_000):
+                some = left[k : k + 1_000]
+                far = sum(np.bitwise_count(words[some, None, w] ^ words[None, right, w]).astype(np.uint16) for w in range(4))
+                i, j = np.nonzero((far <= MAX_DISTANCE) & (root[image[some]][:, None] != root[image[right]][None]))
+                i, j = image[some[i]], image[right[j]]
+                found.append(np.unique(np.minimum(i, j) * ids.size + np.maximum(i, j)))
+                held += found[-1].size
+                if held > 2_000_000:
+                    check()
+                    found, held = [], 0
+        if held:
+            check()
+        give_back()
+        return pa.table({c: pa.array([v[n] for v in out], pa.int64()) for n, c in enumerate("ab")})
+
+    columns = feats.select("id", "desc")
+    long = columns.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT)
+    long = stage(long.select("key"), "long-lists")
+    few = lambda t: F.broadcast(t) if t.count() <= BROADCAST_IDS else t  # noqa: E731  # keys and ids only
+    held = columns.mapInArrow(deal, "key long, id long").join(few(long), "key")
+    held = stage(held.join(few(groups), "id", "left").withColumn("root", F.coalesce("root", "id")), "long-list-entries")
+    apart = held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    buckets = -(-held.count() // ENTRIES_PER_GROUP)
+    apart = apart.select("key", F.ceil(F.col("n") / IMAGES_PER_BLOCK).cast("int").alias("blocks"))
+    apart = apart.withColumn("bucket", F.when(F.col("blocks") == 1, F.expr(f"pmod(key, {max(1, buckets)}L)")).otherwise(F.col("key")))
+    dealt = held.join(apart, "key").withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("bucket", "blocks", "key", "id", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    dealt = dealt.groupBy("bucket", "blocks", "first", "second", "id", "root", "block").agg(F.collect_set("key").alias("keys"))
+    out = stage(dealt.join(feats, "id").groupBy("bucket", "blocks", "first", "second").applyInArrow(compare, "a long, b long").distinct(), "long-list-links")
+    unstage(long, held)
+    return out
+
+
 def verified(pairs: DataFrame) -> DataFrame:
     """(a, b) of pairs (a, b and both sides' features) that are copies."""
     import pyarrow as pa
@@ -464,7 +559,7 @@ def copies(images: DataFrame) -> DataFrame:
     edges = stage(verified(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_xy", "a_angle", "a_desc", "b_xy", "b_angle", "b_desc")), "copies")
     unstage(pairs)
     groups = stage(components(edges), "image-groups")
-    more = stage(links_of_long_lists(members, groups, feats), "copies-of-lists")
+    more = stage(links_of_long_lists(members, groups, feats).unionByName(links_across_parts(groups, feats)), "copies-of-lists")
     if more.limit(1).count():
         groups = stage(components(edges.unionByName(more)), "image-groups")
     degree = links_in_groups(groups, feats).select(F.col("id").alias("dg"), "n_links")
