@@ -178,7 +178,7 @@ def test_captures_without_an_id_or_under_one_id_are_rows_of_their_own(spark):
 
 def test_copies_that_share_parts_of_long_lists_only_are_found(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    one, feats = media.describe(media.draw("common")[None])[0], []
+    one, feats = tuple(f[:8] for f in media.describe(media.draw("common")[None])[0]), []
     for k in range(16):
         desc = rng.integers(0, 256, one[2].shape, np.uint8)
         desc[:, :6] = one[2][:, :6]  # all share the corners' first parts, so these lists hold over SHORT entries
@@ -191,8 +191,9 @@ def test_copies_that_share_parts_of_long_lists_only_are_found(spark, monkeypatch
     want = {(i, j) for j in range(16) for i in range(j) if media.inliers(feats[i], feats[j]) >= media.MIN_INLIERS}
     assert want == {(3, 7), (3, 12), (7, 12)} and not media.candidates(df)[0].count()
     alone = df.select("id", F.col("id").alias("root"))
-    for block in (2_000, 3):
+    for block, copies in ((2_000, 100), (8, 10)):
         monkeypatch.setattr(media, "IMAGES_PER_BLOCK", block)
+        monkeypatch.setattr(media, "COPIES_AT_ONCE", copies)
         got = {(min(r.a, r.b), max(r.a, r.b)) for r in media.links_across_parts(alone, df).collect()}
         assert got <= want and len({x for pair in got for x in pair}) == 3
     joined = alone.withColumn("root", F.when(F.col("id").isin(3, 7, 12), 3).otherwise(F.col("id")))

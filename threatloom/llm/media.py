@@ -37,7 +37,7 @@ PARTS = 5
 SHORT = 8
 BLOCK = 256
 ENTRIES_PER_BUCKET = 1_000_000
-IMAGES_PER_BLOCK, ENTRIES_PER_GROUP = 2_000, 50_000
+IMAGES_PER_BLOCK, ENTRIES_PER_GROUP, COPIES_AT_ONCE = 2_000, 50_000, 2
 SHIFT = 24
 HALF = 2**17
 BROADCAST_IDS = 500_000
@@ -500,7 +500,18 @@ def links_across_parts(groups: DataFrame, feats: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select("bucket", "blocks", "key", "id", "root", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     dealt = dealt.groupBy("bucket", "blocks", "first", "second", "id", "root", "block").agg(F.collect_set("key").alias("keys"))
-    out = stage(dealt.join(feats, "id").groupBy("bucket", "blocks", "first", "second").applyInArrow(compare, "a long, b long").distinct(), "long-list-links")
+    dealt = stage(dealt, "long-list-images")
+    # features travel COPIES_AT_ONCE times at a time, and their shuffle files go before the next part is dealt
+    passes = max(1, -(-dealt.count() // max(1, COPIES_AT_ONCE * feats.count())))
+    found = []
+    for k in range(passes):
+        mine = dealt.where(F.expr(f"pmod(xxhash64(bucket, first, second), {passes}L) = {k}"))
+        found.append(stage(mine.join(feats, "id").groupBy("bucket", "blocks", "first", "second").applyInArrow(compare, "a long, b long"), "long-list-links"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    out = stage(out.distinct(), "long-list-links")
+    unstage(dealt, *found)
     unstage(long, held)
     return out
 
