@@ -188,6 +188,33 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, short):
     assert got == sorted(brute_components(rows, 4, 85, 100))
 
 
+@pytest.mark.parametrize("block", [250_000, 600])
+def test_members_of_many_long_lists_are_compared_once(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)
+    rng = random.Random(4)
+    bases = [[rng.randrange(2**62) for _ in range(n)] for n in (40, 50, 50, 200)]
+    sets = {c: sorted({*b[rng.randrange(3) :], rng.randrange(2**62)}) for b in bases for c in rng.sample(range(10**9), 24)}
+    comp = {c: min(list(sets)[72:]) if k >= 72 else c for k, c in enumerate(sets)}  # the last group is connected already
+    held = [(key, c, len(sets[c]), comp[c]) for key in range(12) for c in rng.sample(list(sets), 70)]
+    held += [(99, c, len(s), comp[c]) for c, s in sets.items()]
+    out = jaccard.links_in_lists(spark.createDataFrame(held, "key long, cls long, size long, comp long"), spark.createDataFrame(list(sets.items()), "cls long, toks array<long>"), 80, 100)
+    got = {(r.x, r.y) for r in out.collect()}
+    links = {(a, b) for a in sets for b in sets if a < b and comp[a] != comp[b] and len({*sets[a]} & {*sets[b]}) * 100 >= 80 * len({*sets[a], *sets[b]})}
+
+    def roots(pairs):
+        up = dict(comp)
+        while True:
+            least = {**up}
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+            if least == up:
+                return up
+            up = least
+
+    assert got <= links and roots(got) == roots(links) and len({*roots(got).values()}) == 4
+    assert len(got) == 3 * 23 or block < 1_000  # one block: no more links than connect
+
+
 def test_jaccard_edges(odd, none):
     got = [tuple(r) for r in jaccard.near_duplicates(odd, 4, 85, 100).collect()]
     assert len(got) == len(ODD) and got.count((6, *next(x[1:] for x in got if x[0] == 6))) == 2
