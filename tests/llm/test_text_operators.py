@@ -188,6 +188,47 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, short):
     assert got == sorted(brute_components(rows, 4, 85, 100))
 
 
+def test_lists_of_medium_length_are_compared_without_pivots(spark, monkeypatch):
+    """A shared line makes lists of over SHORT entries; its few links are found in tasks, and dense or huge lists are left whole."""
+    rng = random.Random(12)
+    line, word = "a line that very many texts share", lambda: str(rng.randrange(10**9))
+    texts = [" ".join(word() for _ in range(rng.choice([3, 9, 40, 120]))) + " " + line for _ in range(60)]
+    texts += [t + " " + word() for t in texts[:5]]
+    rows = list(enumerate(texts))
+    want = sorted(brute_components(rows, 4, 85, 100))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "SHORT", 4)
+    with monkeypatch.context() as m:
+        m.setattr(jaccard, "answers", None)  # what a pivot's comparison needs
+        assert sorted(tuple(r) for r in jaccard.near_duplicates(df, 4, 85, 100).collect()) == want
+    assert 1 < len({c for _, _, c in want}) < 65
+    for limit, value in (("LIKELY", 0), ("MEDIUM", 10)):
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, limit, value)
+            assert sorted(tuple(r) for r in jaccard.near_duplicates(df, 4, 85, 100).collect()) == want
+
+
+@pytest.mark.parametrize("likely, widths", [(4, (40, 90)), (10**6, (40, 90)), (10**6, (50, 700))])
+def test_pairs_in_lists_are_those_that_parities_leave(spark, monkeypatch, likely, widths):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "LIKELY", likely)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 800, np.uint64)
+    sets = {c: np.unique(np.r_[base[: rng.integers(*widths)], rng.integers(0, 2**63, rng.integers(0, 9), np.uint64)]) for c in range(40)}
+    sets |= {c: np.unique(rng.integers(0, 2**63, 60, np.uint64)) for c in range(40, 90)}
+    lists = {7: range(40), 8: range(30, 90), -9: range(38, 41)}
+    marks = spark.createDataFrame([(c, len(s), jaccard.parity(s).tolist()) for c, s in sets.items()], "cls long, size long, bits array<long>")
+    got = jaccard.pairs_in_lists(spark.createDataFrame([(k, c) for k, cs in lists.items() for c in cs], "key long, cls long"), marks, 80, 100).collect()
+    near = lambda a, b: len({*sets[a].tolist()} & {*sets[b].tolist()}) * 100 >= 80 * len({*sets[a].tolist(), *sets[b].tolist()})
+    whole = {r.key for r in got if r.x is None}
+    assert (7 in whole) == (likely == 4) and len({(r.key, r.x, r.y) for r in got}) == len(got)
+    for key, cs in lists.items():
+        pairs = {(r.x, r.y) for r in got if r.key == key and r.x is not None}
+        links = {(a, b) for a in cs for b in cs if a < b and near(a, b)}
+        assert not pairs if key in whole else links <= pairs <= {(a, b) for a in cs for b in cs if a < b}
+
+
 @pytest.mark.parametrize("block", [250_000, 600])
 def test_members_of_many_long_lists_are_compared_once(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK_TOKENS", block)
