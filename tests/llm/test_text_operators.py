@@ -208,6 +208,28 @@ def test_lists_of_medium_length_are_compared_without_pivots(spark, monkeypatch):
             assert sorted(tuple(r) for r in jaccard.near_duplicates(df, 4, 85, 100).collect()) == want
 
 
+@pytest.mark.parametrize("bound", [0, 500_000])
+def test_tokens_are_dealt_in_parts(spark, monkeypatch, tmp_path, bound):
+    """No shuffle holds all prefixes, and results stay the same with and without broadcasts and with many exact copies."""
+    rng = random.Random(5)
+    word = lambda: str(rng.randrange(10**9))
+    texts = [" ".join(word() for _ in range(400)) for _ in range(200)]
+    texts += [t + " " + word() for t in texts[:40]] + texts[:100] * 2 + [None, ""]
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    for name, value in (("SHORT", 2), ("TOKENS_AT_ONCE", 0), ("BROADCAST_TOKENS", bound)):
+        monkeypatch.setattr(jaccard, name, value, raising=False)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.read.parquet(f"{tmp_path}/documents"), 4, 85, 100).collect())
+    assert got == sorted(brute_components(rows, 4, 85, 100))
+    done = stages()
+    written = max(done.apply(i).shuffleWriteBytes() for i in range(done.size()) if done.apply(i).stageId() not in before)
+    tokens = sum(jaccard.prefix_length(397, 85, 100) for t in set(texts) if t)
+    assert not bound or written < 10 * tokens  # without broadcasts the pairs' sets are dealt, which is more here
+
+
 @pytest.mark.parametrize("likely, widths", [(4, (40, 90)), (10**6, (40, 90)), (10**6, (50, 700))])
 def test_pairs_in_lists_are_those_that_parities_leave(spark, monkeypatch, likely, widths):
     import numpy as np
