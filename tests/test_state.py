@@ -187,3 +187,25 @@ def test_pairs_are_dealt_part_by_part_and_as_hashes(spark, small, monkeypatch):
     plain = bayes.fisher(asked, stats, 30, 30, "doc_id", bayes.weighted_pairs(bayes.words(F.col("text"))))
     rows = [sorted((r.doc_id, r.n_tokens, round(r.probability, 6)) for r in df.collect()) for df in (plain, bayes.fisher_of_pairs(asked, taught, 30, 30, "doc_id"))]
     assert rows[0] == rows[1] and len(rows[0]) == 82
+
+
+@pytest.mark.parametrize("at_once", [0, 10**9])
+def test_pairs_travel_packed(spark, small, monkeypatch, at_once):
+    """Shuffled rows are blocks of pairs, far fewer than words; keys that repeat or are null, and unlabelled rows, count as in `fisher`."""
+    monkeypatch.setattr(bayes, "WORDS_AT_ONCE", at_once)
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(None, "one two three one two"), ("7", "K\u0130 A1-b2 \u00e9t\u00e9 a1 B2 K a1"), ("7", "a1 b2 a1 b2 a1 b2"), ("8", None), ("9", ""), ("10", "a b")], "id string, text string")
+    asked = docs.select(F.col("doc_id").cast("string").alias("id"), "text").unionByName(odd)
+    is_spam = F.when(F.xxhash64("text") % 5 != 0, F.xxhash64("text") % 2 == 0)
+    taught = asked.where("id is null or length(id) < 3").select("text", is_spam.alias("is_spam"))
+    stats = bayes.learn(taught.where("is_spam is not null"), bayes.sparse_bigrams(bayes.words(F.col("text"))))
+    plain = bayes.fisher(asked, stats, 30, 30, "id", bayes.weighted_pairs(bayes.words(F.col("text")))).collect()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    before = {stages().apply(i).stageId() for i in range(stages().size())}
+    packed = bayes.fisher_of_pairs(asked, taught, 30, 30, "id").collect()
+    done = stages()
+    written = sum(done.apply(i).shuffleWriteRecords() for i in range(done.size()) if done.apply(i).stageId() not in before)
+    rows = [sorted((str(r.id), r.n_tokens, round(r.probability, 6)) for r in df) for df in (plain, packed)]
+    assert rows[0] == rows[1] and len(packed) == asked.select("id").distinct().count() and len({r[1] for r in rows[0]}) > 20
+    assert written < asked.agg(F.sum(F.size(bayes.words(F.col("text"))))).first()[0] / 3

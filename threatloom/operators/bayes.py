@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatloom.functions import refdata as R
 from threatloom.functions.text import once
-from threatloom.runtime import stage, unstage
+from threatloom.runtime import give_back, ship, stage, stage_parts, unstage
 
 TOKEN = "[a-z0-9]+"
 
@@ -144,42 +145,158 @@ def combined(sums: DataFrame, n_spam: int, n_ham: int, key: str) -> DataFrame:
     return indicators.select(key, "n_tokens", F.when(F.lit(min(n_spam, n_ham) >= R.MIN_LEARNS), probability).alias("probability"))
 
 
-#: Beyond so many words the pairs of a distance are dealt in SLICES parts, one after the other.
-WORDS_AT_ONCE, SLICES = 5_000_000, 4
-
-
-def pair_hashes(words: Column, d: int, part: int, parts: int) -> Column:
-    """ARRAY<BIGINT>: the distinct hashes of pairs of hashed words at distance d, of one of the parts."""
-
-    def pairs(w: Column) -> Column:
-        return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - d, F.lit(0))), F.slice(w, d + 1, F.size(w)), lambda x, y: F.xxhash64(x, y))
-
-    mine = lambda h: F.pmod(h, F.lit(parts)) == part
-    return F.array_distinct(F.filter(pairs(words), mine) if parts > 1 else pairs(words))
+#: Beyond so many words the pairs of a distance are dealt in SLICES parts, one after the other; a group joins some ENTRIES of them.
+WORDS_AT_ONCE, SLICES, ENTRIES, LEAST_GROUPS = 5_000_000, 4, 1_000_000, 8
+
+
+class WordHash(dict):
+    """Word to 64-bit hash; a bounded cache."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def hashed_words(rows: DataFrame, name: str) -> DataFrame:
+    """(name, _i, _n, _w) of rows (name, text), staged: a number of the row, how many words it has and their 64-bit hashes, packed."""
+    import pyarrow as pa
+
+    ship(rows.sparkSession)
+
+    def cut(batches):
+        import re
+
+        find, known = re.compile(TOKEN.encode()).findall, WordHash()
+        for batch in batches:
+            counts, packed = [], []
+            for text in batch.column(1).to_pylist():
+                found = find((text or "").lower().encode("utf-8", "surrogatepass"))
+                counts.append(len(found))
+                packed.append(np.fromiter(map(known.__getitem__, found), np.uint64, len(found)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], names=[name, "_n", "_w"])
+        give_back()
+
+    kind = rows.schema[name].dataType.simpleString()
+    cuts = rows.select(name, "text").mapInArrow(cut, f"`{name}` {kind}, _n long, _w binary")
+    return stage(cuts.withColumn("_i", F.monotonically_increasing_id()), "words")
+
+
+def pair_entries(rows: DataFrame, mark: str, d: int, part: int, parts: int, groups: int) -> DataFrame:
+    """(grp, block, toks, marks): distinct pairs at distance d of each row (_i, mark, _w), of one part of the first words' hashes,
+    by ranges of the pairs' hashes. A block is a run of rows with numbers from `block` on; an entry's mark is its row's place in it, or with mark "is_spam"
+    the row's class (the block is null then)."""
+    import pyarrow as pa
+
+    def work(batches):
+        edges = np.array([(g << 64) // groups for g in range(1, groups)], np.uint64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            cuts = sorted({0, *(np.flatnonzero(np.diff(ids) != 1) + 1).tolist(), *range(0, ids.size, 2**16), ids.size})  # places take 16 bits
+            packed = batch.column(2).to_pylist()
+            for lo, hi in zip(cuts, cuts[1:]):
+                w = np.frombuffer(b"".join(packed[lo:hi]), np.uint64)
+                doc = np.repeat(np.arange(hi - lo, dtype=np.uint16), [len(p) // 8 for p in packed[lo:hi]])
+                same = doc[:-d] == doc[d:]
+                same = np.flatnonzero(same & (w[: same.size] % np.uint64(parts) == part) if parts > 1 else same)
+                with np.errstate(over="ignore"):
+                    h = (w[same] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xFF51AFD7ED558CCD)
+                    h = ((h ^ (h >> np.uint64(32))) + w[same + d]) * np.uint64(0xC4CEB9FE1A85EC53)
+                    h ^= h >> np.uint64(29)
+                order = np.argsort(h, kind="stable")  # rows stay in order
+                h, doc = h[order], doc[same[order]]
+                once = np.r_[True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])][: h.size]
+                h, doc = h[once], doc[once]
+                if mark == "is_spam":
+                    doc = np.array(batch.column(1).to_pylist()[lo:hi], np.uint8)[doc] if h.size else doc.astype(np.uint8)
+                at = np.r_[0, np.searchsorted(h, edges), h.size]
+                held = np.flatnonzero(np.diff(at)).tolist()
+                block = None if mark == "is_spam" else int(ids[lo]) if hi > lo else 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(held, pa.int32()), pa.array([block] * len(held), pa.int64()), *(pa.array([x[at[g] : at[g + 1]].tobytes() for g in held], pa.binary()) for x in (h, doc))],
+                    names=["grp", "block", "toks", "marks"],
+                )
+        give_back()
+
+    return rows.select("_i", mark, "_w").mapInArrow(work, "grp int, block long, toks binary, marks binary")
+
+
+def pair_evidence(asked: DataFrame, taught: DataFrame, d: int, part: int, parts: int, groups: int, n_spam: int, n_ham: int) -> DataFrame:
+    """(_i, n_tokens, _spam, _ham) of rows with telling pairs of one distance and part: `evidence`, joined within groups of hashes.
+
+    A group's pairs are as many on average whatever the corpus; a pair that all rows hold makes one larger by an entry a row.
+    """
+    import pyarrow as pa
+
+    weight = PAIR_WEIGHTS[d - 1]
+    sums = "block long, docs binary, counts binary, spam binary, ham binary"
+
+    def join(table):
+        out = [[] for _ in range(5)]
+        learnt = table.filter(pa.compute.is_null(table.column("block")))
+        toks = np.frombuffer(b"".join(learnt.column("toks").to_pylist()), np.uint64)
+        order = np.argsort(toks, kind="stable")
+        toks = toks[order]
+        start = np.flatnonzero(np.r_[True, toks[1:] != toks[:-1]][: toks.size])
+        if start.size:
+            spam = np.add.reduceat(np.frombuffer(b"".join(learnt.column("marks").to_pylist()), np.uint8)[order].astype(np.int64), start)
+            toks, seen = toks[start], np.diff(np.r_[start, toks.size]).astype(float)
+            s, h = spam / max(1.0, float(n_spam)), (seen - spam) / max(1.0, float(n_ham))
+            trust = weight * seen / (1 + weight * seen)
+            p = (trust * PRIOR + seen * (s / (s + h))) / (trust + seen)
+            tells = np.abs(p - 0.5) >= SILENT
+            p = np.clip(p, 1e-6, 1 - 1e-6)[tells]
+            toks, for_spam, for_ham = toks[tells], -np.log(p), -np.log(1 - p)
+        rows = table.filter(pa.compute.is_valid(table.column("block")))
+        for block, mine, docs in zip(rows.column("block").to_pylist(), rows.column("toks").to_pylist(), rows.column("marks").to_pylist()):
+            if not toks.size:
+                break
+            mine, docs = np.frombuffer(mine, np.uint64), np.frombuffer(docs, np.uint16)
+            at = np.minimum(np.searchsorted(toks, mine), toks.size - 1)
+            hit = np.flatnonzero(toks[at] == mine)
+            if not hit.size:
+                continue
+            at, docs = at[hit], docs[hit]
+            n = np.bincount(docs)
+            told = np.flatnonzero(n)
+            for c, v in zip(out, (block, told.astype(np.uint16), n[told].astype(np.uint32), *(np.bincount(docs, x[at])[told] for x in (for_spam, for_ham)))):
+                c.append(v if c is out[0] else v.tobytes())
+        give_back()
+        return pa.table([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], names=["block", "docs", "counts", "spam", "ham"])
+
+    def add(table):
+        docs, counts, spam, ham = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("docs", np.uint16), ("counts", np.uint32), ("spam", float), ("ham", float)))
+        n = np.bincount(docs, counts).astype(np.int64)
+        told = np.flatnonzero(n)
+        first = table.column("block")[0].as_py()
+        return pa.table([pa.array(told + first, pa.int64()), pa.array(n[told]), *(pa.array(np.bincount(docs, x)[told], pa.float64()) for x in (spam, ham))], names=["_i", "n_tokens", "_spam", "_ham"])
+
+    entries = pair_entries(asked, "_i", d, part, parts, groups).unionByName(pair_entries(taught, "is_spam", d, part, parts, groups))
+    found = entries.groupBy("grp").applyInArrow(join, sums)
+    return found.groupBy("block").applyInArrow(add, "_i long, n_tokens long, _spam double, _ham double")
 
 
 def fisher_of_pairs(docs: DataFrame, labelled: DataFrame, n_spam: int, n_ham: int, key: str) -> DataFrame:
     """What `fisher` gives for docs (key, text) with the weighted pairs of their words, learnt from labelled (text, is_spam).
 
-    Texts are cut into words once, kept as 64-bit hashes. Pairs of one distance, and of one part of their hashes, are dealt at
-    a time, as a hash and a key; a part leaves one row a document, and its shuffle files go before the next is dealt. So disk
-    holds a part of the pairs, never all.
+    Texts are cut into words once, kept as 64-bit hashes. Pairs of one distance, and of one part of their first words, are dealt at
+    a time, packed by blocks of rows and ranges of hashes; a part leaves one row a document, and its shuffle files go before the
+    next is dealt. So disk holds a part of the pairs, never all.
     """
-    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("_w")
-    asked, taught = stage(docs.select(key, hashed), "asked-words"), stage(labelled.select("is_spam", hashed), "taught-words")
-    n = asked.agg(F.sum(F.size("_w"))).first()[0] or 0
+    asked, taught = hashed_words(docs, key), hashed_words(labelled.where("is_spam is not null"), "is_spam")
+    n = sum(t.agg(F.sum("_n")).first()[0] or 0 for t in (asked, taught))
     parts = SLICES if n > WORDS_AT_ONCE else 1
-    found = [asked.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("_spam"), F.lit(0.0).alias("_ham"))]
-    for d, weight in enumerate(PAIR_WEIGHTS, 1):
-        for part in range(parts):
-            feature = pair_hashes(F.col("_w"), d, part, parts)
-            known = asked.select(key, F.explode(feature).alias("token")).join(learn(taught, feature), "token")
-            found.append(stage(evidence(known, F.lit(weight), n_spam, n_ham, key), "evidence"))
-    sums = found[0]
-    for more in found[1:]:
-        sums = sums.unionByName(more)
-    sums = stage(sums.groupBy(key).agg(*(F.sum(c).alias(c) for c in ("n_tokens", "_spam", "_ham"))), "evidence")
-    unstage(asked, taught, *found[1:])
+    groups = max(LEAST_GROUPS, -(-n // (parts * ENTRIES)))
+    turns = [(d, part) for d in range(1, len(PAIR_WEIGHTS) + 1) for part in range(parts)]
+    found = stage_parts((pair_evidence(asked, taught, d, part, parts, groups, n_spam, n_ham) for d, part in turns), "evidence")
+    none = asked.select("_i", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("_spam"), F.lit(0.0).alias("_ham"))
+    sums = none.unionByName(found).groupBy("_i").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "_spam", "_ham")))
+    # rows that share a key are one document, as in `fisher`
+    sums = stage(asked.select(key, "_i").join(sums, "_i").groupBy(key).agg(*(F.sum(c).alias(c) for c in ("n_tokens", "_spam", "_ham"))), "evidence")
+    unstage(asked, taught, found)
     return combined(sums, n_spam, n_ham, key)
 
 
