@@ -145,8 +145,9 @@ def combined(sums: DataFrame, n_spam: int, n_ham: int, key: str) -> DataFrame:
     return indicators.select(key, "n_tokens", F.when(F.lit(min(n_spam, n_ham) >= R.MIN_LEARNS), probability).alias("probability"))
 
 
-#: Beyond so many words the pairs of a distance are dealt in SLICES parts, one after the other; a group joins some ENTRIES of them.
-WORDS_AT_ONCE, SLICES, ENTRIES, LEAST_GROUPS = 5_000_000, 4, 1_000_000, 8
+#: Beyond so many words the pairs of a distance are dealt in SLICES parts, one after the other, beyond MANY_WORDS in twice as many; a
+#: group joins some ENTRIES of them.
+WORDS_AT_ONCE, MANY_WORDS, SLICES, ENTRIES, LEAST_GROUPS = 5_000_000, 1_000_000_000, 4, 4_000_000, 8
 
 
 class WordHash(dict):
@@ -288,7 +289,7 @@ def fisher_of_pairs(docs: DataFrame, labelled: DataFrame, n_spam: int, n_ham: in
     """
     asked, taught = hashed_words(docs, key), hashed_words(labelled.where("is_spam is not null"), "is_spam")
     n = sum(t.agg(F.sum("_n")).first()[0] or 0 for t in (asked, taught))
-    parts = SLICES if n > WORDS_AT_ONCE else 1
+    parts = 1 if n <= WORDS_AT_ONCE else SLICES if n <= MANY_WORDS else 2 * SLICES
     groups = max(LEAST_GROUPS, -(-n // (parts * ENTRIES)))
     turns = [(d, part) for d in range(1, len(PAIR_WEIGHTS) + 1) for part in range(parts)]
     found = stage_parts((pair_evidence(asked, taught, d, part, parts, groups, n_spam, n_ham) for d, part in turns), "evidence")
